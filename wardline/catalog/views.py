@@ -83,12 +83,18 @@ def _with_placeholders(sql: str, names: list[str]) -> str:
     return sql
 
 
+def _requests(rows: DataFrame) -> DataFrame:
+    return rows.select("request_id", "tenant_id", F.col("ts").cast("timestamp").alias("ts"), "prompt")
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, PROMPTS_SQL).select("request_id", "tenant_id", "ts", "prompt")
+    return _requests(view(spark, sf_dir, PROMPTS_SQL))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, RESPONSES_SQL)
+    # The number of documents comes from the file footers.
+    n = table(spark, sf_dir, "documents").count()
+    return view(spark, sf_dir, RESPONSES_SQL.replace("(SELECT count(*) FROM documents)", str(n)))
 
 
 def prompts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +102,7 @@ def prompts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load_requests(
         spark, f"{sf_dir.rstrip('/')}/events*.parquet", streaming=True, schema=table(spark, sf_dir, "events").schema
     )
-    sql = _with_placeholders(PROMPTS_SQL, ["events"])
-    return spark.sql(sql, events=events).select("request_id", "tenant_id", "ts", "prompt")
+    return _requests(spark.sql(_with_placeholders(PROMPTS_SQL, ["events"]), events=events))
 
 
 def policies(spark: SparkSession) -> DataFrame:

@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wardline.functions.text import bind
+
 
 class PiiPattern(NamedTuple):
     """``needs`` is an optional character class that every match contains."""
@@ -66,28 +68,36 @@ def _may_match(text: Column, pattern: PiiPattern) -> Column:
     return text.rlike(java_regex(pattern.needs)) & loose if pattern.needs else loose
 
 
-def mask_columns(df, text: str, patterns=PII_PATTERNS, masked: str = "clean", types: str = "pii_types"):
-    """Add the masked text and the list of types found, pattern by pattern in order.
+def masked(text: Column, patterns=PII_PATTERNS) -> Column:
+    """``struct(clean, types)``: the masked text and the types found, pattern by pattern in order.
 
-    Each pattern sees the text that the earlier ones left, and a match becomes ``<TYPE>``.
-    A null text gives a null ``masked`` and no types.
+    Each pattern sees the text that the earlier ones left, and a match becomes ``<TYPE>``. All
+    steps are bound inside one expression: as columns they would be multiplied out wherever the
+    optimizer moves a filter on the result below them.
     """
-    steps = [text]
-    for i, pattern in enumerate(_as_patterns(patterns)):
-        before = F.col(steps[-1])
+    patterns = _as_patterns(patterns)
+
+    def step(texts: list[Column]) -> Column:
+        if len(texts) > len(patterns):
+            found = [F.when(after != before, F.lit(p.type)) for p, before, after in zip(patterns, texts, texts[1:])]
+            return F.struct(texts[-1].alias("clean"), F.array_compact(F.array(*found)).alias("types"))
+        before, pattern = texts[-1], patterns[len(texts) - 1]
         replaced = F.regexp_replace(before, F.lit(java_regex(pattern.regex)), F.lit(f"<{pattern.type}>"))
-        steps.append(f"__{masked}_{i}")
-        df = df.withColumn(steps[-1], F.when(_may_match(before, pattern), replaced).otherwise(before))
-    found = [
-        F.when(F.col(after) != F.col(before), F.lit(p.type))
-        for p, before, after in zip(_as_patterns(patterns), steps, steps[1:])
-    ]
-    return df.withColumns({masked: F.col(steps[-1]), types: F.array_compact(F.array(*found))}).drop(*steps[1:])
+        after = F.when(_may_match(before, pattern), replaced).otherwise(before)
+        return bind(after, lambda t: step([*texts, t]))
+
+    return bind(text, lambda t: step([t]))
 
 
 def pii_types(text: Column, patterns=PII_PATTERNS) -> Column:
     """The types present in the raw text, each pattern on its own."""
-    hits = [
-        F.when(_may_match(text, p) & text.rlike(java_regex(p.regex)), F.lit(p.type)) for p in _as_patterns(patterns)
-    ]
-    return F.array_compact(F.array(*hits))
+
+
+    def hits(t: Column) -> Column:
+        return F.array_compact(
+            F.array(
+                *[F.when(_may_match(t, p) & t.rlike(java_regex(p.regex)), F.lit(p.type)) for p in _as_patterns(patterns)]
+            )
+        )
+
+    return bind(text, hits)

@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardline.functions.text import bind
+
 # Fixed value: a ratio above this is a near match (kept apart from the policy's threshold).
 NEAR_MATCH_RATIO = 0.80
 
@@ -45,19 +47,22 @@ def may_be_near(text: Column, profiles: Column, longest: Column) -> Column:
     In whole numbers: ratio > 4/5 needs ``5 * M > 2 * (len(term) + len(text))``.
     """
 
-    def close_enough(p: Column) -> Column:
-        total = p["n"] + F.length(text)
+    def close_enough(t: Column, p: Column) -> Column:
+        total = p["n"] + F.length(t)
         shared = F.aggregate(
             p["letters"],
             F.lit(0),
-            lambda acc, c: acc + F.least(c["n"], F.length(text) - F.length(F.replace(text, c["ch"], F.lit("")))),
+            lambda acc, c: acc + F.least(c["n"], F.length(t) - F.length(F.replace(t, c["ch"], F.lit("")))),
         )
-        in_band = 5 * F.least(p["n"], F.length(text)) > 2 * total
+        in_band = 5 * F.least(p["n"], F.length(t)) > 2 * total
         return F.when(in_band, 5 * shared > 2 * total).otherwise(F.lit(False))
 
-    # 5 * longest > 2 * (longest + len) is the widest band; most texts stop here.
-    short = 2 * F.length(text) < 3 * longest
-    return F.when(short, F.exists(profiles, close_enough)).otherwise(F.lit(False))
+    # The widest band is that of the longest term; most texts stop here.
+    def test(t: Column) -> Column:
+        short = 2 * F.length(t) < 3 * longest
+        return F.when(short, F.exists(profiles, lambda p: close_enough(t, p))).otherwise(F.lit(False))
+
+    return bind(text, test)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -13,7 +13,7 @@ def bind(value: Column, body) -> Column:
 
 def contained_terms(text: Column, terms: Column) -> Column:
     """The terms that occur in the text as substrings, in the order of ``terms``."""
-    return F.filter(terms, lambda term: F.contains(text, term))
+    return bind(text, lambda t: F.filter(terms, lambda term: F.contains(t, term)))
 
 
 def first_contained(text: Column, terms: Column) -> Column:

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions.pii import PII_PATTERNS, mask_columns
+from wardline.functions.pii import PII_PATTERNS, masked
 from wardline.functions.similarity import may_be_near, near_match_score
 from wardline.functions.text import first_contained
 from wardline.operators.guards import (
     HITL_REASON,
     SCORE_VIOLATION,
     UNFAIR_REASON,
-    bias_term,
-    lower_case,
     verify_output,
 )
 from wardline.operators.lookups import bind_policy
@@ -72,36 +70,34 @@ def decide(
     row is shuffled.
     """
     columns = requests.columns
-    rows = lower_case(bind_policy(requests.filter("prompt IS NOT NULL"), policies, default_tenant))
-    rows = rows.withColumn("terms", lexicon_terms(lexicon))
+    rows = bind_policy(requests.filter("prompt IS NOT NULL"), policies, default_tenant)
+    rows = rows.withColumns({"lower_prompt": F.lower("prompt"), "terms": lexicon_terms(lexicon)})
     text, policy = F.col("lower_prompt"), F.col("policy")
 
     rows = rows.withColumn("forbidden_term", first_contained(text, policy["forbidden"]))
-    may_hit = F.col("forbidden_term").isNull() & may_be_near(text, policy["profiles"], policy["longest"])
-    rows = rows.withColumn("near_text", F.when(may_hit, text))
-    rows = rows.withColumn("safety_score", near_match_score(F.col("near_text"), policy["forbidden"]))
-    rows = rows.withColumn(
-        "halted",
-        F.when(F.col("forbidden_term").isNotNull(), FORBIDDEN).when(
-            F.col("safety_score") < policy["threshold"], SCORE
-        ),
-    )
-
-    # A halted prompt is neither masked nor read further; its text stays as it came.
-    rows = rows.withColumn("unmasked", F.when(F.col("halted").isNull(), F.col("prompt")))
-    rows = mask_columns(rows, "unmasked", patterns, masked="clean", types="pii_detected")
+    unseen = F.col("forbidden_term").isNull()
     rows = rows.withColumns(
         {
-            "trigger": F.when(F.col("halted").isNull(), first_contained(text, policy["triggers"])),
-            "stop": F.coalesce(
-                "halted", F.when((F.size("pii_detected") > 0) & ~policy["mask_pii"], PII), F.lit(NONE)
-            ),
+            "near_text": F.when(unseen & may_be_near(text, policy["profiles"], policy["longest"]), text),
+            # A prompt with a forbidden term is not masked.
+            "pii": F.when(unseen, masked(F.col("prompt"), patterns)),
+            "trigger": F.when(unseen, first_contained(text, policy["triggers"])),
         }
     )
-    rows = rows.withColumn("stop", F.when((F.col("stop") == NONE) & F.col("trigger").isNotNull(), HITL).otherwise(F.col("stop")))
-    rows = rows.withColumn("bias_term", F.when(F.col("stop") == NONE, bias_term(text, F.col("terms"))))
+    rows = rows.withColumn("safety_score", near_match_score(F.col("near_text"), policy["forbidden"]))
+    rows = rows.withColumn(
+        "stop",
+        F.when(F.col("forbidden_term").isNotNull(), FORBIDDEN)
+        .when(F.col("safety_score") < policy["threshold"], SCORE)
+        .when((F.size("pii.types") > 0) & ~policy["mask_pii"], PII)
+        .when(F.col("trigger").isNotNull(), HITL)
+        .otherwise(NONE),
+    )
+    rows = rows.withColumn("bias_term", F.when(F.col("stop") == NONE, first_contained(text, F.col("terms"))))
 
     stop, flagged = F.col("stop"), F.col("bias_term").isNotNull()
+    # The first two guards leave the prompt as it came.
+    halted = stop.isin(FORBIDDEN, SCORE)
     rows = rows.withColumns(
         {
             "allowed": stop == NONE,
@@ -113,7 +109,8 @@ def decide(
             .otherwise(PASSED_REASON),
             "requires_review": (stop == HITL) | flagged,
             "review_reason": F.when(flagged, F.format_string(UNFAIR_REASON, "bias_term")),
-            "anonymized_prompt": F.coalesce("clean", "prompt"),
+            "anonymized_prompt": F.when(halted, F.col("prompt")).otherwise(F.col("pii.clean")),
+            "pii_detected": F.when(halted, F.array().cast("array<string>")).otherwise(F.col("pii.types")),
         }
     )
     return rows.withColumn("explanation", explanation()).select(*columns, *DECISION_COLUMNS)

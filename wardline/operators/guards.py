@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions.pii import PII_PATTERNS, mask_columns, pii_types
+from wardline.functions.pii import PII_PATTERNS, masked, pii_types
 from wardline.functions.similarity import may_be_near, near_match_score
-from wardline.functions.text import bind, contained_terms, first_contained
+from wardline.functions.text import bind, first_contained
 from wardline.sources.policies import lexicon_terms
 
 # Messages.
@@ -29,17 +29,12 @@ def validate(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return requests.filter("prompt IS NOT NULL"), rejected
 
 
-def lower_case(df: DataFrame) -> DataFrame:
-    return df.withColumn("lower_prompt", F.lower("prompt"))
-
-
 def guard_forbidden(df: DataFrame) -> DataFrame:
     """Add ``forbidden_term``, the first forbidden term in the text, else null.
 
     Terms are compared as written with the lower-cased text, so one in upper case never hits.
     """
-    hit = bind(F.lower("prompt"), lambda text: first_contained(text, F.col("policy.forbidden")))
-    return df.withColumn("forbidden_term", hit)
+    return df.withColumn("forbidden_term", first_contained(F.lower("prompt"), F.col("policy.forbidden")))
 
 
 def safety_candidates(df: DataFrame) -> DataFrame:
@@ -66,8 +61,10 @@ def guard_threshold(df: DataFrame) -> DataFrame:
 
 def mask_pii(df: DataFrame, text: str = "prompt", patterns=PII_PATTERNS) -> DataFrame:
     """Add ``has_pii``, ``pii_types`` and ``clean``, the text with typed placeholders."""
-    masked = mask_columns(df, text, patterns)
-    return masked.withColumn("has_pii", F.size("pii_types") > 0)
+    found = df.withColumn("__pii", masked(F.col(text), patterns))
+    return found.withColumns(
+        {"has_pii": F.size("__pii.types") > 0, "pii_types": F.col("__pii.types"), "clean": F.col("__pii.clean")}
+    ).drop("__pii")
 
 
 def detect_pii(df: DataFrame, text: str = "prompt", patterns=PII_PATTERNS) -> DataFrame:
@@ -83,20 +80,14 @@ def guard_pii_block(df: DataFrame, patterns=PII_PATTERNS) -> DataFrame:
 
 def guard_hitl(df: DataFrame) -> DataFrame:
     """Add ``hitl_trigger``, the first trigger in policy order in the text, else null."""
-    hit = bind(F.lower("prompt"), lambda text: first_contained(text, F.col("policy.triggers")))
-    return df.withColumn("hitl_trigger", hit)
-
-
-def bias_term(lower_text: Column, terms: Column) -> Column:
-    """The alphabetically first lexicon term in the text (``terms`` is sorted)."""
-    return F.get(contained_terms(lower_text, terms), 0)
+    return df.withColumn("hitl_trigger", first_contained(F.lower("prompt"), F.col("policy.triggers")))
 
 
 def fairness_flag(df: DataFrame, lexicon: DataFrame, text: str = "prompt") -> DataFrame:
     """Add ``is_fair``, ``fairness_score``, ``bias_term`` and ``fairness_reason``."""
     with_terms = df.withColumn("__terms", lexicon_terms(lexicon))
-    hit = bind(F.lower(text), lambda lowered: bias_term(lowered, F.col("__terms")))
-    flagged = with_terms.withColumn("bias_term", hit).drop("__terms")
+    # The list is sorted, so the first hit is the alphabetically first one.
+    flagged = with_terms.withColumn("bias_term", first_contained(F.lower(text), F.col("__terms"))).drop("__terms")
     fair = F.col("bias_term").isNull()
     return flagged.withColumns(
         {

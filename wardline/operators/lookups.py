@@ -11,14 +11,16 @@ from wardline.plans.joins import lookup_join
 from wardline.sources.policies import policy_structs
 
 
-def bind_policy(requests: DataFrame, policies: DataFrame, default_tenant: str | None = None) -> DataFrame:
+def bind_policy(
+    requests: DataFrame, policies: DataFrame, default_tenant: str | None = None, spread: str = "request_id"
+) -> DataFrame:
     """Add ``policy``, the rules of the request's tenant.
 
     Tenants without a policy of their own get that of ``default_tenant``; with no default
     their ``policy`` is null.
     """
     rules = policy_structs(policies)
-    bound = lookup_join(requests, rules, ["tenant_id"])
+    bound = lookup_join(requests, rules, ["tenant_id"], spread=spread)
     if default_tenant is None:
         return bound
     default = rules.filter(F.col("tenant_id") == default_tenant).select("policy").limit(1).scalar()
