@@ -95,7 +95,7 @@ def load_requests(spark, sf):
 @query
 def bias_lexicon(spark, sf):
     lexicon = views.lexicon(spark)
-    docs = views.table(spark, sf, "documents").withColumn("terms", policies.lexicon_terms(lexicon))
+    docs = views.texts(spark, sf, "documents").withColumn("terms", policies.lexicon_terms(lexicon))
     hits = (
         docs.select(F.explode(contained_terms(F.lower("text"), F.col("terms"))).alias("term"))
         .groupBy("term")
@@ -185,7 +185,7 @@ def safety_candidates(spark, sf):
 
 @query
 def safety_candidates_documents(spark, sf):
-    docs = views.table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"), F.lit("tenant_0").alias("tenant_id"))
+    docs = views.texts(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"), F.lit("tenant_0").alias("tenant_id"))
     bound = lookups.bind_policy(docs, views.policies(spark), spread="doc_id")
     return guards.safety_candidates(bound).select("doc_id", "candidate")
 
@@ -208,13 +208,13 @@ def mask_pii(spark, sf):
 
 @query
 def mask_pii_documents(spark, sf):
-    docs = views.table(spark, sf, "documents")
+    docs = views.texts(spark, sf, "documents")
     return guards.mask_pii(docs, "text").select("doc_id", "has_pii", "clean", "pii_types").withColumns(joined("pii_types"))
 
 
 @query
 def mask_pii_pages(spark, sf):
-    pages = views.table(spark, sf, "pages")
+    pages = views.texts(spark, sf, "pages")
     return guards.mask_pii(pages, "html").select("page_id", "has_pii", "clean", "pii_types").withColumns(joined("pii_types"))
 
 
@@ -226,13 +226,13 @@ def detect_pii(spark, sf):
 
 @query
 def detect_pii_documents(spark, sf):
-    docs = views.table(spark, sf, "documents")
+    docs = views.texts(spark, sf, "documents")
     return guards.detect_pii(docs, "text").select("doc_id", "has_pii", "pii_types").withColumns(joined("pii_types"))
 
 
 @query
 def detect_pii_pages(spark, sf):
-    pages = views.table(spark, sf, "pages")
+    pages = views.texts(spark, sf, "pages")
     return guards.detect_pii(pages, "html").select("page_id", "has_pii", "pii_types").withColumns(joined("pii_types"))
 
 
@@ -255,7 +255,7 @@ def fairness_flag(spark, sf):
 
 @query
 def fairness_flag_documents(spark, sf):
-    docs = views.table(spark, sf, "documents")
+    docs = views.texts(spark, sf, "documents")
     return guards.fairness_flag(docs, views.lexicon(spark), "text").select("doc_id", "is_fair", "bias_term")
 
 
@@ -276,7 +276,7 @@ def verify_output(spark, sf):
 
 @query
 def verify_output_documents(spark, sf):
-    docs = views.table(spark, sf, "documents")
+    docs = views.texts(spark, sf, "documents")
     return guards.verify_output(docs, "text").select("doc_id", "output_allowed", "output_reason")
 
 
@@ -306,7 +306,7 @@ def sdk_result(spark, sf):
 
 @query
 def token_count_documents(spark, sf):
-    return views.table(spark, sf, "documents").select("doc_id", token_count(F.col("text")).alias("n_tokens"))
+    return views.texts(spark, sf, "documents").select("doc_id", token_count(F.col("text")).alias("n_tokens"))
 
 
 @query
@@ -540,7 +540,7 @@ def format_passages(spark, sf):
 
 @query
 def embed_tfidf(spark, sf):
-    docs = views.table(spark, sf, "documents").select("doc_id", "text")
+    docs = views.texts(spark, sf, "documents").select("doc_id", "text")
     embedded = retrieval.embed(retrieval.fit_tfidf(docs), docs)
     return embedded.select("doc_id", F.size(F.filter("vector", lambda x: x != 0)).alias("n_features"))
 
@@ -548,7 +548,7 @@ def embed_tfidf(spark, sf):
 @query
 def question_passages(spark, sf):
     """The passages nearest to every benchmark text under the lexical embedding."""
-    docs = views.table(spark, sf, "documents").select("doc_id", "text")
+    docs = views.texts(spark, sf, "documents").select("doc_id", "text")
     model = retrieval.fit_tfidf(docs)
     questions = retrieval.embed(model, views.table(spark, sf, "benchmark")).select(F.col("item_id").alias("query_id"), "vector")
     items = retrieval.embed(model, docs).select(F.col("doc_id").alias("item_id"), "vector")

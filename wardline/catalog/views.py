@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.session import spread
 from wardline.sources.policies import bias_lexicon, load_policy
 from wardline.sources.requests import load_requests
 
@@ -71,6 +72,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are expensive to work on."""
+    return spread(table(spark, sf_dir, name))
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """One of the views above, over the tables in ``sf_dir``."""
     names = [name for name in ("events", "documents") if name in sql]
@@ -88,7 +94,8 @@ def _requests(rows: DataFrame) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _requests(view(spark, sf_dir, PROMPTS_SQL))
+    events = texts(spark, sf_dir, "events")
+    return _requests(spark.sql(_with_placeholders(PROMPTS_SQL, ["events"]), events=events))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import groupby
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -12,22 +13,25 @@ from wardline.functions.text import bind
 
 
 class PiiPattern(NamedTuple):
-    """``needs`` is an optional character class that every match contains."""
+    """``needs`` is an optional, cheap pattern that every text with a match contains."""
 
     type: str
     regex: str
     needs: str | None = None
 
 
+# Each type but the first holds three digits in a row or a digit, a dot and a digit.
+_DIGITS = r"\d(?:\d\d|\.\d)"
+
 # The seven identifier types, in the order in which they are masked.
 PII_PATTERNS = [
     PiiPattern("EMAIL", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", "@"),
-    PiiPattern("PHONE", r"\b(?:\+\d{1,3}[\s\-.]?)?\(?\d{3}\)?[\s\-.]?\d{3}[\s\-.]?\d{4}\b", r"\d"),
-    PiiPattern("CREDIT_CARD", r"\b(?:\d{4}[\s\-]?){3}\d{4}\b", r"\d"),
-    PiiPattern("SSN", r"\b(?:\d{3}-\d{2}-\d{4}|\d{9})\b", r"\d"),
-    PiiPattern("IP_ADDRESS", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", r"\d"),
-    PiiPattern("PASSPORT", r"\b[A-Z]{1,2}\d{6,9}\b", r"\d"),
-    PiiPattern("PHI_MRN", r"\b(?:MRN|mrn|Patient ID)[\s:#\-]*\d{5,10}\b", r"\d"),
+    PiiPattern("PHONE", r"\b(?:\+\d{1,3}[\s\-.]?)?\(?\d{3}\)?[\s\-.]?\d{3}[\s\-.]?\d{4}\b", _DIGITS),
+    PiiPattern("CREDIT_CARD", r"\b(?:\d{4}[\s\-]?){3}\d{4}\b", _DIGITS),
+    PiiPattern("SSN", r"\b(?:\d{3}-\d{2}-\d{4}|\d{9})\b", _DIGITS),
+    PiiPattern("IP_ADDRESS", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", _DIGITS),
+    PiiPattern("PASSPORT", r"\b[A-Z]{1,2}\d{6,9}\b", _DIGITS),
+    PiiPattern("PHI_MRN", r"\b(?:MRN|mrn|Patient ID)[\s:#\-]*\d{5,10}\b", _DIGITS),
 ]
 
 # Java spellings of the Unicode-aware classes that Python gives these escapes.
@@ -60,12 +64,20 @@ def _as_patterns(patterns) -> list[PiiPattern]:
     return [PiiPattern(*p) for p in patterns]
 
 
+def _has(text: Column, needs: str) -> Column:
+    return F.contains(text, F.lit(needs)) if re.escape(needs) == needs else text.rlike(java_regex(needs))
+
+
 def _may_match(text: Column, pattern: PiiPattern) -> Column:
     """A cheap test that holds for every text the pattern matches."""
-    loose = text.rlike(java_regex(pattern.regex, boundaries=False))
     if re.search(r"\(\?<?!", pattern.regex):
-        loose = F.lit(True)
-    return text.rlike(java_regex(pattern.needs)) & loose if pattern.needs else loose
+        return F.lit(True)
+    return text.rlike(java_regex(pattern.regex, boundaries=False))
+
+
+def _groups(patterns: list[PiiPattern]):
+    """Runs of patterns with the same ``needs``, which is then tested once per text."""
+    return [(needs, list(run)) for needs, run in groupby(patterns, key=lambda p: p.needs)]
 
 
 def masked(text: Column, patterns=PII_PATTERNS) -> Column:
@@ -75,29 +87,43 @@ def masked(text: Column, patterns=PII_PATTERNS) -> Column:
     steps are bound inside one expression: as columns they would be multiplied out wherever the
     optimizer moves a filter on the result below them.
     """
-    patterns = _as_patterns(patterns)
 
-    def step(texts: list[Column]) -> Column:
-        if len(texts) > len(patterns):
+    def result(clean: Column, types: Column) -> Column:
+        return F.struct(clean.alias("clean"), types.alias("types"))
+
+    def steps(state: Column, patterns: list[PiiPattern], texts: list[Column]) -> Column:
+        done = len(texts) - 1
+        if done == len(patterns):
             found = [F.when(after != before, F.lit(p.type)) for p, before, after in zip(patterns, texts, texts[1:])]
-            return F.struct(texts[-1].alias("clean"), F.array_compact(F.array(*found)).alias("types"))
-        before, pattern = texts[-1], patterns[len(texts) - 1]
+            return result(texts[-1], F.concat(state["types"], F.array_compact(F.array(*found))))
+        before, pattern = texts[-1], patterns[done]
         replaced = F.regexp_replace(before, F.lit(java_regex(pattern.regex)), F.lit(f"<{pattern.type}>"))
         after = F.when(_may_match(before, pattern), replaced).otherwise(before)
-        return bind(after, lambda t: step([*texts, t]))
+        return bind(after, lambda t: steps(state, patterns, [*texts, t]))
+
+    def group(state: Column, needs: str | None, patterns: list[PiiPattern]) -> Column:
+        masked_further = steps(state, patterns, [state["clean"]])
+        return masked_further if needs is None else F.when(_has(state["clean"], needs), masked_further).otherwise(state)
+
+    def all_groups(state: Column, groups) -> Column:
+        if not groups:
+            return state
+        return bind(group(state, *groups[0]), lambda after: all_groups(after, groups[1:]))
 
-    return bind(text, lambda t: step([t]))
+    empty = F.array().cast("array<string>")
+    return bind(text, lambda t: bind(result(t, empty), lambda state: all_groups(state, _groups(_as_patterns(patterns)))))
 
 
 def pii_types(text: Column, patterns=PII_PATTERNS) -> Column:
     """The types present in the raw text, each pattern on its own."""
+    empty = F.array().cast("array<string>")
 
+    def hits(t: Column, run: list[PiiPattern]) -> Column:
+        found = [F.when(_may_match(t, p) & t.rlike(java_regex(p.regex)), F.lit(p.type)) for p in run]
+        return F.array_compact(F.array(*found))
 
-    def hits(t: Column) -> Column:
-        return F.array_compact(
-            F.array(
-                *[F.when(_may_match(t, p) & t.rlike(java_regex(p.regex)), F.lit(p.type)) for p in _as_patterns(patterns)]
-            )
-        )
+    def group(t: Column, needs: str | None, run: list[PiiPattern]) -> Column:
+        return hits(t, run) if needs is None else F.when(_has(t, needs), hits(t, run)).otherwise(empty)
 
-    return bind(text, hits)
+    groups = _groups(_as_patterns(patterns))
+    return bind(text, lambda t: F.concat(empty, *[group(t, *g) for g in groups]))

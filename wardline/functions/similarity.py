@@ -83,6 +83,11 @@ def _near_match_score(texts: pd.Series, terms: pd.Series) -> pd.Series:
     return scores
 
 
+# The score is a pure function of its inputs. Declared otherwise, it is evaluated once per row:
+# the optimizer does not copy it, and the work it depends on, into filters on later columns.
+_near_match_score = _near_match_score.asNondeterministic()
+
+
 def near_match_score(candidate: Column, terms: Column) -> Column:
     """0.0 for a candidate text that nearly matches a term, else 1.0 (also for null)."""
     return _near_match_score(candidate, F.when(candidate.isNotNull(), terms))

@@ -66,8 +66,9 @@ def decide(
     """Decide on every request: forbidden term, near match, identifiers, human review, bias.
 
     The first guard that stops a request settles it; bias only flags. Requests without a
-    prompt are not decided on. One narrow pass: the policies are looked up by broadcast, and no
-    row is shuffled.
+    prompt are not decided on. One narrow pass: the policies are looked up by broadcast, no row is
+    shuffled, and each guard runs once per row. Filters on the result do not reach the scan, so
+    pick days or tenants on ``requests``.
     """
     columns = requests.columns
     rows = bind_policy(requests.filter("prompt IS NOT NULL"), policies, default_tenant)

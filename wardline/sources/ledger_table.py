@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from wardline.operators.ledger import BLOCK_ROWS, drop_duplicates, duplicate_requests, seal
 from wardline.schemas import AUDIT_COLUMNS, LEDGER
+from wardline.session import stage
 
 
 class DuplicateRequestError(ValueError):
@@ -31,9 +32,11 @@ def ledger_append(
     """Seal entries and append them, going on from the chains that are stored.
 
     ``on_duplicate='error'`` appends nothing if a request id is not new; ``'skip'`` keeps the
-    first entry of each new id. One writer at a time, as chains go on from what is stored.
+    first entry of each new id. One writer at a time, as chains go on from what is stored. The
+    entries are staged, as they are checked, sampled and sealed in turn.
     """
     ledger = ledger_scan(entries.sparkSession, path)
+    entries = stage(entries, "entries")
     if on_duplicate == "skip":
         entries = drop_duplicates(entries, ledger)
     else:
