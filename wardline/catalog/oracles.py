@@ -412,14 +412,14 @@ ORACLES: dict[str, str] = {
     ),
     "load_report": _sql(
         _STATS,
-        """SELECT run, count(*) AS n, round(count(*) / (sum(latency_ms) / 1000), 4) AS req_per_s,
+        """SELECT run, count(*) AS n, count(*) / (round(sum(latency_ms), 2) / 1000) AS req_per_s,
           count(*) FILTER (status = 200) AS approved, count(*) FILTER (status = 403) AS blocked,
           count(*) FILTER (status NOT IN (200, 403, 503)) AS other,
-          round(count(*) FILTER (status = 200) / count(*) * 100, 4) AS approved_pct,
-          round(count(*) FILTER (status = 403) / count(*) * 100, 4) AS blocked_pct,
-          round(avg(latency_ms), 4) AS mean_ms, max(latency_ms) AS max_ms,
+          count(*) FILTER (status = 200) / count(*) * 100 AS approved_pct,
+          count(*) FILTER (status = 403) / count(*) * 100 AS blocked_pct,
+          round(sum(latency_ms), 2) / count(*) AS mean_ms, max(latency_ms) AS max_ms,
           max(latency_ms) FILTER (pos = floor(0.95 * n)) AS p95_ms, max(latency_ms) FILTER (pos = floor(0.99 * n)) AS p99_ms,
-          round(median(latency_ms), 4) AS median_ms
+          median(latency_ms) AS median_ms
         FROM placed GROUP BY run""",
     ),
     "red_team_cases": _sql(_CASES, "SELECT *, expected_status = actual_status AS passed FROM judged"),
