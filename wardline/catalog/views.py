@@ -101,7 +101,8 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The number of documents comes from the file footers.
     n = table(spark, sf_dir, "documents").count()
-    return view(spark, sf_dir, RESPONSES_SQL.replace("(SELECT count(*) FROM documents)", str(n)))
+    sql = _with_placeholders(RESPONSES_SQL.replace("(SELECT count(*) FROM documents)", str(n)), ["events", "documents"])
+    return spark.sql(sql, events=table(spark, sf_dir, "events"), documents=texts(spark, sf_dir, "documents"))
 
 
 def prompts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from wardline.functions.hashing import GENESIS, entry_payload, recomputed_hash
 from wardline.plans.ranking import number_rows
 from wardline.schemas import LEDGER
+from wardline.session import stage
 
 CHAIN = ["tenant_id", "segment", "block"]
 BLOCK_ROWS = 100_000
@@ -93,16 +94,30 @@ def chain_rows(numbered: DataFrame, ledger: DataFrame | None = None) -> DataFram
     return rows.repartition(*CHAIN).sortWithinPartitions(*CHAIN, "seq").mapInArrow(_link, LEDGER)
 
 
-def seal(
+def seal_staged(
     entries: DataFrame,
     segment: Column | None = None,
     block_rows: int | None = BLOCK_ROWS,
     ledger: DataFrame | None = None,
 ) -> DataFrame:
-    """Number and chain the entries; rows already in ``ledger`` are never touched."""
+    """Number and chain entries that are cheap to read twice, such as a stored table."""
     return chain_rows(assign_seq(entries, segment, block_rows, ledger), ledger)
 
 
+def seal(
+    entries: DataFrame,
+    segment: Column | None = None,
+    block_rows: int | None = BLOCK_ROWS,
+    ledger: DataFrame | None = None,
+) -> DataFrame:
+    """Number and chain the entries; rows already in ``ledger`` are never touched.
+
+    The entries are staged, so that the decisions behind them are made once: numbering samples
+    its input before it reads it.
+    """
+    return seal_staged(stage(entries, "entries"), segment, block_rows, ledger)
+
+
 def seal_segments(ledger: DataFrame) -> DataFrame:
     """Chain the heads of a tenant's chains, so that a lost tail or a lost chain shows.
 

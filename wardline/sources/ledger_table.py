@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from wardline.operators.ledger import BLOCK_ROWS, drop_duplicates, duplicate_requests, seal
+from wardline.operators.ledger import BLOCK_ROWS, drop_duplicates, duplicate_requests, seal_staged
 from wardline.schemas import AUDIT_COLUMNS, LEDGER
 from wardline.session import stage
 
@@ -43,7 +43,7 @@ def ledger_append(
         repeated = duplicate_requests(entries, ledger).select("request_id").take(5)
         if repeated:
             raise DuplicateRequestError(", ".join(row[0] for row in repeated))
-    write_sealed(seal(entries, segment, block_rows, None if ledger.isEmpty() else ledger), path)
+    write_sealed(seal_staged(entries, segment, block_rows, None if ledger.isEmpty() else ledger), path)
 
 
 def write_sealed(sealed: DataFrame, path: str, mode: str = "append") -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.pii import PII_PATTERNS
 from wardline.operators.decide import decide, ledger_entries
-from wardline.operators.ledger import BLOCK_ROWS, duplicate_requests, seal
+from wardline.operators.ledger import BLOCK_ROWS, duplicate_requests, seal_staged
 from wardline.session import stage
 from wardline.sources.control import control_state
 from wardline.sources.ledger_table import DuplicateRequestError, ledger_scan
@@ -68,7 +68,7 @@ def seal_batch(entries: DataFrame, batch_id: int, path: str, block_rows: int | N
     repeated = duplicate_requests(entries, others).select("request_id").take(5)
     if repeated:
         raise DuplicateRequestError(", ".join(row[0] for row in repeated))
-    sealed = seal(entries, F.lit(segment), block_rows).withColumn("id", F.col("id") + F.lit(batch_id * BATCH_ID_SPAN))
+    sealed = seal_staged(entries, F.lit(segment), block_rows).withColumn("id", F.col("id") + F.lit(batch_id * BATCH_ID_SPAN))
     (
         sealed.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
