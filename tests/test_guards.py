@@ -85,6 +85,11 @@ def test_unknown_tenant_takes_the_default(requests_of, policies, lexicon):
     assert {r["action"] for r in got} == {"BLOCKED", "PASSED"}
 
 
+def test_unknown_tenant_without_default_is_an_error(requests_of, policies, lexicon):
+    with pytest.raises(Exception, match="no policy for tenant someone"):
+        decide(requests_of(["fine"], "someone"), policies, lexicon).collect()
+
+
 def test_upper_case_term_never_hits(spark, requests_of, policies):
     shouting = policies.withColumn("block_forbidden_tokens", F.array(F.lit("MALWARE")))
     bound = bind_policy(requests_of(["MALWARE here", "malware there"]), shouting)

@@ -95,6 +95,13 @@ def test_a_hot_day_is_split_into_blocks(spark, entries_of):
     assert as_dict(sealed) == plain_chains(ordered, 50)
 
 
+def test_rows_alike_in_every_key_are_numbered_apart(spark, entries_of):
+    rows = entries_of([(None, "t", "PASSED", None)] * 500).withColumn("ts", F.timestamp_seconds(F.lit(1704067200)))
+    sealed = stage(L.seal(rows, block_rows=100), "test-alike")
+    assert sorted(r["id"] for r in sealed.collect()) == list(range(1, 501))
+    assert tuple(L.verify_chain(sealed).first()) == (True, -1) and L.chain_links(sealed).count() == 0
+
+
 def test_duplicates_are_refused_or_skipped(spark, entries_of):
     path = work_folder(spark, "test-ledger")
     T.ledger_append(entries_of([("a", "t", "PASSED", None), (None, "t", "PASSED", None), (None, "t", "PASSED", None)]), path)

@@ -46,8 +46,9 @@ def test_exact(spark, items, partitions, k):
     assert got == brute(questions, items, k)
 
 
-def test_many_questions_take_several_passes(spark, items, monkeypatch):
-    monkeypatch.setattr(R, "QUERIES_PER_PASS", 10)
+def test_many_questions_meet_the_corpus_in_blocks(spark, items, monkeypatch):
+    monkeypatch.setattr(R, "MAX_SENT_QUERIES", 10)
+    monkeypatch.setattr(R, "CORPUS_BLOCK_ROWS", 50)
     corpus = spark.createDataFrame(items, "item_id long, vector array<double>")
     questions = items[:45]
     got = ranked(R.cosine_topk(spark.createDataFrame(questions, "query_id long, vector array<double>"), corpus, 3))
@@ -71,6 +72,16 @@ def test_buckets_find_most_neighbours_and_rank_them_exactly(spark):
     assert same.filter("abs(n.similarity - e.similarity) > 1e-6").count() == 0
 
 
+def test_buckets_for_many_questions(spark, items, monkeypatch):
+    corpus = spark.createDataFrame(items, "item_id long, vector array<double>")
+    questions = spark.createDataFrame(items[:45], "query_id long, vector array<double>")
+    model = R.fit_buckets(corpus)
+    few = R.ann_topk(model, R.bucket_index(model, corpus), questions, 3).collect()
+    monkeypatch.setattr(R, "MAX_SENT_QUERIES", 10)
+    many = R.ann_topk(model, R.bucket_index(model, corpus), questions, 3).collect()
+    assert sorted(map(tuple, few)) == sorted(map(tuple, many)) and len(few) > 100
+
+
 def test_embedding_has_unit_length_and_finds_its_own_text(spark):
     docs = views.table(spark, SF, "documents").select("doc_id", "text").dropDuplicates(["text"])
     model = R.fit_tfidf(docs)

@@ -15,7 +15,7 @@ from wardline.operators import decide as dec
 from wardline.operators import guards, ledger, lookups, outcomes, reports, retrieval
 from wardline.functions.text import contained_terms, token_count
 from wardline.plans.gateway import gate, gateway_ledger
-from wardline.session import work_folder
+from wardline.session import stage, work_folder
 from wardline.sources import control, corpus, ledger_table, policies, requests
 from wardline.streaming import jobs
 
@@ -107,7 +107,7 @@ def bias_lexicon(spark, sf):
 def _append_in_two(spark, sf):
     """Even requests first, odd ones later into the same days, so that chains go on."""
     path = work_folder(spark, "ledger")
-    rows = entries(spark, sf)
+    rows = stage(entries(spark, sf), "entries")
     for half in (0, 1):
         ledger_table.ledger_append(rows.filter(event_no() % 2 == half), path, block_rows=SHORT_BLOCK)
     return ledger_table.ledger_scan(spark, path)

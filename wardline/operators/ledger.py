@@ -32,10 +32,12 @@ def assign_seq(
     segment: Column | None = None,
     block_rows: int | None = BLOCK_ROWS,
     ledger: DataFrame | None = None,
+    last_id: Column | None = None,
 ) -> DataFrame:
     """Number the entries in append order: ``id`` over all, ``seq`` and ``block`` within a segment.
 
-    Append order is ``(ts, request_id, is_output)``. With a ``ledger``, numbers go on from it.
+    Append order is ``(ts, request_id, is_output)``. With a ``ledger``, numbers go on from it;
+    it may be cut down to the segments of the entries if ``last_id`` is given as well.
     """
     rows = entries.withColumn("segment", day_segment() if segment is None else segment)
     order, group = ["ts", "request_id", "is_output"], ["tenant_id", "segment"]
@@ -43,7 +45,7 @@ def assign_seq(
         rows = number_rows(rows, order, group, "id", "seq")
     else:
         ends = ledger.groupBy(*group).agg(F.max("seq").alias("end"))
-        last_id = ledger.agg(F.max("id")).scalar()
+        last_id = ledger.agg(F.max("id")).scalar() if last_id is None else last_id
         rows = number_rows(rows, order, group, "id", "seq", ends)
         rows = rows.withColumn("id", F.col("id") + F.coalesce(last_id, F.lit(0)))
     return rows.withColumn("block", F.lit(0).cast("long") if block_rows is None else F.expr(f"(seq - 1) div {block_rows}"))
@@ -99,9 +101,10 @@ def seal_staged(
     segment: Column | None = None,
     block_rows: int | None = BLOCK_ROWS,
     ledger: DataFrame | None = None,
+    last_id: Column | None = None,
 ) -> DataFrame:
     """Number and chain entries that are cheap to read twice, such as a stored table."""
-    return chain_rows(assign_seq(entries, segment, block_rows, ledger), ledger)
+    return chain_rows(assign_seq(entries, segment, block_rows, ledger, last_id), ledger)
 
 
 def seal(

@@ -16,13 +16,14 @@ def bind_policy(
 ) -> DataFrame:
     """Add ``policy``, the rules of the request's tenant.
 
-    Tenants without a policy of their own get that of ``default_tenant``; with no default
-    their ``policy`` is null.
+    Tenants without a policy of their own get that of ``default_tenant``. With no default they
+    are an error: no request may pass because nobody wrote rules for it.
     """
     rules = policy_structs(policies)
     bound = lookup_join(requests, rules, ["tenant_id"], spread=spread)
     if default_tenant is None:
-        return bound
+        missing = F.raise_error(F.concat(F.lit("no policy for tenant "), F.coalesce("tenant_id", F.lit("null"))))
+        return bound.withColumn("policy", F.coalesce("policy", missing))
     default = rules.filter(F.col("tenant_id") == default_tenant).select("policy").limit(1).scalar()
     return bound.withColumn("policy", F.coalesce("policy", default))
 

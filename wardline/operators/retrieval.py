@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,12 +9,12 @@ from pyspark.sql import functions as F
 
 from wardline.functions.text import stripped
 from wardline.functions.vectors import norm
-from wardline.plans.joins import is_small
 from wardline.session import stage
 
 TOP_K = 2
-# Queries that one pass over the corpus serves; more are served in further passes.
-QUERIES_PER_PASS = 1_000
+# Up to this many queries are sent to the corpus; more meet it in blocks.
+MAX_SENT_QUERIES = 1_000
+CORPUS_BLOCK_ROWS = 100_000
 # Similarities closer than this may round alike, and then the id decides.
 RANK_MARGIN = 2e-6
 
@@ -78,28 +76,55 @@ def _at_least_kth(similarity: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     return np.nonzero(usable & (similarity >= kth - RANK_MARGIN))
 
 
-def _in_passes(queries: DataFrame, one_pass) -> DataFrame:
-    """``one_pass(queries)`` for all queries, or in parts if there are more than one pass serves."""
-    if is_small(queries, QUERIES_PER_PASS):
-        return one_pass(queries)
-    queries = stage(queries, "queries")
-    passes = 2 * -(-queries.count() // QUERIES_PER_PASS)
-    slot = F.pmod(F.xxhash64("query_id"), F.lit(passes))
-    return reduce(DataFrame.unionByName, [one_pass(queries.filter(slot == i)) for i in range(passes)])
-
-
-def _search(queries: DataFrame, corpus: DataFrame, k: int, tables: int = 0) -> DataFrame:
-    """The best of every partition of the corpus for one pass of queries."""
-    schema = (
+def _found_schema(queries: DataFrame, corpus: DataFrame) -> str:
+    return (
         f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
         f"item_id {corpus.schema['item_id'].dataType.simpleString()}, similarity double"
     )
-    rows = queries.orderBy("query_id").collect()
+
+
+def _arrays(query_ids, vectors, buckets):
+    matrix = np.array([np.asarray(v) for v in vectors], dtype=np.float64)
+    return list(query_ids), matrix, None if buckets is None else np.array([np.asarray(b) for b in buckets])
+
+
+def _search(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` and ties per query of every part of the corpus.
+
+    Few queries go to all partitions of the corpus, which stays where it is. Many are cut into
+    blocks, as is the corpus, and every pair of blocks meets in one bounded group.
+    """
+    schema = _found_schema(queries, corpus)
+    bucketed = "buckets" in queries.columns
+    rows = queries.limit(MAX_SENT_QUERIES + 1).collect()
     if not rows:
         return corpus.sparkSession.createDataFrame([], schema)
-    matrix = np.array([row["vector"] for row in rows], dtype=np.float64)
-    buckets = np.array([row["buckets"] for row in rows]) if tables else None
-    return corpus.mapInPandas(_best_of_partition([row["query_id"] for row in rows], matrix, k, buckets), schema)
+    if len(rows) <= MAX_SENT_QUERIES:
+        buckets = [row["buckets"] for row in rows] if bucketed else None
+        ids, matrix, buckets = _arrays([r["query_id"] for r in rows], [r["vector"] for r in rows], buckets)
+        if bucketed:
+            shared = queries.select(F.posexplode("buckets").alias("table", "bucket")).distinct()
+            corpus = corpus.join(F.broadcast(shared), ["table", "bucket"], "left_semi")
+        return corpus.mapInPandas(_best_of_partition(ids, matrix, k, buckets), schema)
+
+    queries = stage(queries, "queries")
+    query_blocks = -(-queries.count() // (MAX_SENT_QUERIES // 2))
+    corpus_blocks = -(-corpus.count() // CORPUS_BLOCK_ROWS)
+    in_block = lambda df, key, n: df.withColumn(f"{key}_block", F.pmod(F.xxhash64(f"{key}_id"), F.lit(n)))
+    to_all = lambda df, key, n: df.withColumn(f"{key}_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    left = to_all(in_block(queries, "query", query_blocks), "item", corpus_blocks)
+    right = to_all(in_block(corpus, "item", corpus_blocks), "query", query_blocks)
+    pair = ["query_block", "item_block"]
+
+    def best(some_queries: pd.DataFrame, some_items: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(some_queries) and len(some_items):
+            buckets = some_queries["buckets"] if bucketed else None
+            ids, matrix, buckets = _arrays(some_queries["query_id"], some_queries["vector"], buckets)
+            found = list(_best_of_partition(ids, matrix, k, buckets)([some_items]))
+        return found[0] if found else pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
+
+    return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(best, schema)
 
 
 def _rank(found: DataFrame, k: int, digits: int) -> DataFrame:
@@ -118,7 +143,7 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, digits: i
     """
     queries = queries.filter("vector IS NOT NULL").select("query_id", "vector")
     corpus = corpus.filter("vector IS NOT NULL").select("item_id", "vector")
-    return _rank(_in_passes(queries, lambda some: _search(some, corpus, k)), k, digits)
+    return _rank(_search(queries, corpus, k), k, digits)
 
 
 def mean_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -165,7 +190,8 @@ def fit_buckets(corpus: DataFrame, bucket_length: float = 0.25, tables: int = 12
 def _unit(vectors: DataFrame) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
-    scaled = F.transform("vector", lambda x: x.cast("double") / F.col("__norm"))
+    divisor = F.when(F.col("__norm") > 0, F.col("__norm")).otherwise(1.0)
+    scaled = F.transform("vector", lambda x: x.cast("double") / divisor)
     return (
         vectors.filter("vector IS NOT NULL")
         .withColumn("__norm", norm(F.col("vector")))
@@ -196,14 +222,8 @@ def ann_topk(model, index: DataFrame, queries: DataFrame, k: int = TOP_K, digits
     The index is cut to the buckets the queries fall into; each partition keeps its best ``k``
     per query, so a crowded bucket costs time where it is read and never a larger shuffle.
     """
-    tables = model.getNumHashTables()
     queries = with_buckets(model, queries.select("query_id", "vector"))
-
-    def one_pass(some: DataFrame) -> DataFrame:
-        wanted = some.select(F.posexplode("buckets").alias("table", "bucket")).distinct()
-        return _search(some, index.join(F.broadcast(wanted), ["table", "bucket"], "left_semi"), k, tables)
-
-    return _rank(_in_passes(queries, one_pass), k, digits)
+    return _rank(_search(queries, index, k), k, digits)
 
 
 def passages(found: DataFrame, corpus: DataFrame) -> DataFrame:

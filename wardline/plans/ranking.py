@@ -26,13 +26,17 @@ def number_rows(
 ) -> DataFrame:
     """Add ``index``, the position over the whole table, and ``group_index``, that within ``groups``.
 
-    Both start at 1 and follow ``order``, which must identify a row. ``group_ends`` has the
-    groups and an ``end``: numbers taken before, from which a group goes on. The sorted rows
-    are staged once, as range bounds are sampled anew each time a plan runs.
+    Both start at 1 and follow ``order``; rows alike in it come in any order, and a last sort
+    column of distinct values lets them spread over partitions too. ``group_ends`` has the groups
+    and an ``end``: numbers taken before, from which a group goes on. The sorted rows are staged
+    once, as range bounds are sampled anew each time a plan runs.
     """
+    keys = [*order, "__tie"]
     placed = stage(
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        df.withColumn("__tie", F.monotonically_increasing_id())
+        .repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .drop("__tie")
         .withColumn("__pos", F.monotonically_increasing_id()),
         "ranked",
     ).withColumns(

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardline.operators.ledger import BLOCK_ROWS, drop_duplicates, duplicate_requests, seal_staged
+from wardline.operators.ledger import BLOCK_ROWS, day_segment, drop_duplicates, duplicate_requests, seal_staged
 from wardline.schemas import AUDIT_COLUMNS, LEDGER
 from wardline.session import stage
 
 
+# Up to this many segments of a batch are named in the filter that prunes the ledger's folders.
+MAX_SEGMENTS = 1_000
+
+
 class DuplicateRequestError(ValueError):
     """A request id that may occur only once was to be appended again."""
 
@@ -43,7 +48,20 @@ def ledger_append(
         repeated = duplicate_requests(entries, ledger).select("request_id").take(5)
         if repeated:
             raise DuplicateRequestError(", ".join(row[0] for row in repeated))
-    write_sealed(seal_staged(entries, segment, block_rows, None if ledger.isEmpty() else ledger), path)
+    if ledger.isEmpty():
+        write_sealed(seal_staged(entries, segment, block_rows), path)
+    else:
+        last_id = ledger.agg(F.max("id")).scalar()
+        touched = _segments_of(entries, ledger, day_segment() if segment is None else segment)
+        write_sealed(seal_staged(entries, segment, block_rows, touched, last_id), path)
+
+
+def _segments_of(entries: DataFrame, ledger: DataFrame, segment: Column) -> DataFrame:
+    """The part of the ledger that the entries go on from, by its folders if they are not many."""
+    names = [row[0] for row in entries.select(segment).distinct().limit(MAX_SEGMENTS + 1).collect()]
+    if len(names) > MAX_SEGMENTS or None in names:
+        return ledger
+    return ledger.filter(F.col("segment").isin(names))
 
 
 def write_sealed(sealed: DataFrame, path: str, mode: str = "append") -> None:

@@ -6,7 +6,7 @@ segment of its own, so a replayed batch overwrites its own segment and nothing e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.pii import PII_PATTERNS
@@ -56,19 +56,25 @@ def stream_health(decisions: DataFrame, width: str = "5 seconds", delay: str = "
     )
 
 
-def seal_batch(entries: DataFrame, batch_id: int, path: str, block_rows: int | None = BLOCK_ROWS) -> None:
+def seal_batch(
+    entries: DataFrame, batch_id: int, path: str, block_rows: int | None = BLOCK_ROWS, check_ids: bool = True
+) -> None:
     """Seal one micro-batch into its own segment; a replay of the batch replaces it.
 
-    Request ids are checked against the rest of the ledger, not against the segment itself.
+    ``check_ids`` looks the request ids up in the rest of the ledger (not in the segment itself),
+    which reads that column of all of it: on a long ledger with frequent batches, deduplicate the
+    stream instead and check from time to time.
     """
     spark = entries.sparkSession
     segment = SEGMENT % batch_id
     entries = stage(entries, "batch")
-    others = ledger_scan(spark, path).filter(F.col("segment") != segment)
+    others = ledger_scan(spark, path).filter(F.col("segment") != segment) if check_ids else None
     repeated = duplicate_requests(entries, others).select("request_id").take(5)
     if repeated:
         raise DuplicateRequestError(", ".join(row[0] for row in repeated))
-    sealed = seal_staged(entries, F.lit(segment), block_rows).withColumn("id", F.col("id") + F.lit(batch_id * BATCH_ID_SPAN))
+    sealed = seal_staged(entries, F.lit(segment), block_rows).withColumn(
+        "id", F.col("id") + F.lit(batch_id * BATCH_ID_SPAN)
+    )
     (
         sealed.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -77,11 +83,11 @@ def seal_batch(entries: DataFrame, batch_id: int, path: str, block_rows: int | N
     )
 
 
-def ledger_sink(path: str, block_rows: int | None = BLOCK_ROWS):
+def ledger_sink(path: str, block_rows: int | None = BLOCK_ROWS, check_ids: bool = True):
     """A ``foreachBatch`` function that seals decisions into the ledger exactly once."""
 
     def write(decisions: DataFrame, batch_id: int) -> None:
-        seal_batch(ledger_entries(decisions), batch_id, path, block_rows)
+        seal_batch(ledger_entries(decisions), batch_id, path, block_rows, check_ids)
 
     return write
 
