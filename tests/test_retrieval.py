@@ -101,3 +101,42 @@ def test_answers(spark):
     got = {r["query_id"]: r["answer"] for r in R.format_passages(questions, found).collect()}
     assert got[1] == "**[EU AI ACT]**\nfirst\nline\n\n---\n\n**[ISO 42001]**\nsecond"
     assert got[2] == "No relevant regulatory guidance found in the index."
+
+
+def test_embedding_agrees_with_plain_tfidf(spark):
+    import math
+    import re
+    from collections import Counter
+
+    from wardline.sources.corpus import load_corpus
+
+    corpus = load_corpus(spark)
+    texts = {r["doc_id"]: Counter(re.findall(r"[^\W_]+", r["text"].lower())) for r in corpus.collect()}
+    df = Counter(token for counts in texts.values() for token in counts)
+    weights = {
+        d: {t: n * math.log((len(texts) + 1) / (df[t] + 1)) for t, n in counts.items()} for d, counts in texts.items()
+    }
+    length = {d: math.sqrt(sum(w * w for w in ws.values())) for d, ws in weights.items()}
+    # So many features that no two words of this corpus share one.
+    embedded = {r["doc_id"]: np.array(r["vector"]) for r in R.embed(R.fit_tfidf(corpus, features=1 << 18), corpus).collect()}
+    for a in texts:
+        for b in texts:
+            expected = sum(w * weights[b].get(t, 0.0) for t, w in weights[a].items()) / length[a] / length[b]
+            assert abs(float(embedded[a] @ embedded[b]) - expected) < 1e-4
+
+
+def test_question_finds_its_passage(spark):
+    from wardline.sources.corpus import load_corpus
+
+    corpus = load_corpus(spark)
+    model = R.fit_tfidf(corpus)
+    questions = spark.createDataFrame(
+        [(1, "What does Article 12 say about automatic event logs?"), (2, "lawful basis and data minimisation")], "query_id long, text string"
+    )
+    items = R.embed(model, corpus).withColumnRenamed("doc_id", "item_id")
+    found = R.cosine_topk(R.embed(model, questions), items)
+    ranked = R.passages(found, corpus).withColumn("doc_id", F.col("item_id"))
+    answers = {r["query_id"]: r["answer"] for r in R.format_passages(questions, ranked).collect()}
+    assert answers[1].startswith("**[EU AI ACT OBLIGATIONS]**\n")
+    assert answers[2].startswith("**[GDPR AI INTERSECTION]**\n")
+    assert all(a.count("\n\n---\n\n") == 1 for a in answers.values())

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,20 +23,16 @@ NEAR_MATCH_RATIO = 0.80
 
 
 def term_profiles(terms: Column) -> Column:
-    """Per term: its text, its length, and how often each character occurs in it."""
+    """Per term: its length, its distinct characters and how often each occurs."""
 
     def profile(term: Column) -> Column:
         letters = F.split(term, "")
         return F.struct(
-            term.alias("term"),
             F.length(term).alias("n"),
-            F.transform(
-                F.array_distinct(letters),
-                lambda ch: F.struct(
-                    ch.alias("ch"),
-                    F.size(F.filter(letters, lambda other: other == ch)).alias("n"),
-                ),
-            ).alias("letters"),
+            F.array_distinct(letters).alias("letters"),
+            F.transform(F.array_distinct(letters), lambda ch: F.size(F.filter(letters, lambda other: other == ch))).alias(
+                "counts"
+            ),
         )
 
     return F.transform(F.filter(terms, lambda term: F.length(term) > 0), profile)
@@ -49,11 +46,10 @@ def may_be_near(text: Column, profiles: Column, longest: Column) -> Column:
 
     def close_enough(t: Column, p: Column) -> Column:
         total = p["n"] + F.length(t)
-        shared = F.aggregate(
-            p["letters"],
-            F.lit(0),
-            lambda acc, c: acc + F.least(c["n"], F.length(t) - F.length(F.replace(t, c["ch"], F.lit("")))),
+        in_both = F.zip_with(
+            p["letters"], p["counts"], lambda ch, n: F.least(n, F.length(t) - F.length(F.replace(t, ch, F.lit(""))))
         )
+        shared = F.aggregate(in_both, F.lit(0), lambda acc, n: acc + n)
         in_band = 5 * F.least(p["n"], F.length(t)) > 2 * total
         return F.when(in_band, 5 * shared > 2 * total).otherwise(F.lit(False))
 
@@ -67,10 +63,10 @@ def may_be_near(text: Column, profiles: Column, longest: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def _near_match_score(texts: pd.Series, terms: pd.Series) -> pd.Series:
-    scores = pd.Series(1.0, index=texts.index)
+    present = texts.notna().to_numpy()
+    keys = [(text, tuple(some)) for text, some in zip(texts[present], terms[present])]
     seen: dict = {}
-    for i in texts.index[texts.notna()]:
-        key = (texts[i], tuple(terms[i]))
+    for key in keys:
         if key not in seen:
             matcher = SequenceMatcher(None, "", key[0])
             seen[key] = 1.0
@@ -79,8 +75,9 @@ def _near_match_score(texts: pd.Series, terms: pd.Series) -> pd.Series:
                 if matcher.ratio() > NEAR_MATCH_RATIO:
                     seen[key] = 0.0
                     break
-        scores[i] = seen[key]
-    return scores
+    scores = np.ones(len(texts))
+    scores[present] = [seen[key] for key in keys]
+    return pd.Series(scores)
 
 
 # The score is a pure function of its inputs. Declared otherwise, it is evaluated once per row:
@@ -88,6 +85,12 @@ def _near_match_score(texts: pd.Series, terms: pd.Series) -> pd.Series:
 _near_match_score = _near_match_score.asNondeterministic()
 
 
-def near_match_score(candidate: Column, terms: Column) -> Column:
-    """0.0 for a candidate text that nearly matches a term, else 1.0 (also for null)."""
-    return _near_match_score(candidate, F.when(candidate.isNotNull(), terms))
+def near_candidate(text: Column, policy: Column, unless: Column) -> Column:
+    """``struct(text, terms)`` where the text may be near a term of the policy, else null."""
+    may_hit = ~unless & may_be_near(text, policy["profiles"], policy["longest"])
+    return F.when(may_hit, F.struct(text.alias("text"), policy["forbidden"].alias("terms")))
+
+
+def near_match_score(candidate: Column) -> Column:
+    """0.0 for a candidate whose text nearly matches one of its terms, else 1.0 (also for null)."""
+    return _near_match_score(candidate["text"], candidate["terms"])

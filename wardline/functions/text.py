@@ -11,6 +11,12 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def fill(template: str, value: Column | str) -> Column:
+    """``template`` with ``value`` in the place of its ``%s``; null for a null value."""
+    before, after = template.split("%s")
+    return F.concat(F.lit(before), F.col(value) if isinstance(value, str) else value, F.lit(after))
+
+
 def contained_terms(text: Column, terms: Column) -> Column:
     """The terms that occur in the text as substrings, in the order of ``terms``."""
     return bind(text, lambda t: F.filter(terms, lambda term: F.contains(t, term)))

@@ -14,8 +14,3 @@ def dot(a: Column, b: Column) -> Column:
 
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity in double precision; null for a zero vector."""
-    return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.pii import PII_PATTERNS, masked
-from wardline.functions.similarity import may_be_near, near_match_score
-from wardline.functions.text import first_contained
+from wardline.functions.similarity import near_candidate, near_match_score
+from wardline.functions.text import fill, first_contained
 from wardline.operators.guards import (
     HITL_REASON,
     SCORE_VIOLATION,
@@ -46,12 +46,12 @@ DECISION_COLUMNS = [
 def explanation() -> Column:
     """Plain-language account of a decision, from its columns."""
     scrubbed = F.when(
-        F.size("pii_detected") > 0, F.format_string(EXPLAIN_SCRUBBED, F.array_join("pii_detected", ", "))
+        F.size("pii_detected") > 0, fill(EXPLAIN_SCRUBBED, F.array_join("pii_detected", ", "))
     ).otherwise("")
     return (
-        F.when(F.col("action") == "BLOCKED", F.concat(F.format_string(EXPLAIN_BLOCKED, "reason"), scrubbed))
-        .when(F.col("action") == "PENDING_HITL", F.format_string(EXPLAIN_HITL, "reason"))
-        .when(F.col("requires_review"), F.format_string(EXPLAIN_FLAGGED, F.coalesce("review_reason", "reason")))
+        F.when(F.col("action") == "BLOCKED", F.concat(fill(EXPLAIN_BLOCKED, "reason"), scrubbed))
+        .when(F.col("action") == "PENDING_HITL", fill(EXPLAIN_HITL, "reason"))
+        .when(F.col("requires_review"), fill(EXPLAIN_FLAGGED, F.coalesce("review_reason", "reason")))
         .otherwise(EXPLAIN_PASSED)
     )
 
@@ -72,44 +72,55 @@ def decide(
     """
     columns = requests.columns
     rows = bind_policy(requests.filter("prompt IS NOT NULL"), policies, default_tenant)
-    rows = rows.withColumns({"lower_prompt": F.lower("prompt"), "terms": lexicon_terms(lexicon)})
     text, policy = F.col("lower_prompt"), F.col("policy")
-
-    rows = rows.withColumn("forbidden_term", first_contained(text, policy["forbidden"]))
-    unseen = F.col("forbidden_term").isNull()
     rows = rows.withColumns(
         {
-            "near_text": F.when(unseen & may_be_near(text, policy["profiles"], policy["longest"]), text),
-            # A prompt with a forbidden term is not masked.
-            "pii": F.when(unseen, masked(F.col("prompt"), patterns)),
-            "trigger": F.when(unseen, first_contained(text, policy["triggers"])),
+            "lower_prompt": F.lower("prompt"),
+            "forbidden_term": first_contained(F.lower("prompt"), policy["forbidden"]),
+            "terms": lexicon_terms(lexicon),
         }
     )
-    rows = rows.withColumn("safety_score", near_match_score(F.col("near_text"), policy["forbidden"]))
+
+    # All that reads the policy and the lexicon, so that rows do not carry them any further.
+    forbidden = F.col("forbidden_term").isNotNull()
+    rows = rows.select(
+        *columns,
+        "forbidden_term",
+        near_candidate(text, policy, unless=forbidden).alias("near"),
+        # A prompt with a forbidden term is not masked.
+        F.when(~forbidden, masked(F.col("prompt"), patterns)).alias("pii"),
+        F.when(~forbidden, first_contained(text, policy["triggers"])).alias("trigger"),
+        F.when(~forbidden, first_contained(text, F.col("terms"))).alias("bias_term"),
+        policy["threshold"].alias("threshold"),
+        policy["mask_pii"].alias("may_mask"),
+        policy["fallbacks"]["token_violation"].alias("token_violation"),
+        policy["fallbacks"]["pii_violation"].alias("pii_violation"),
+    )
+    rows = rows.withColumn("safety_score", near_match_score(F.col("near")))
     rows = rows.withColumn(
         "stop",
-        F.when(F.col("forbidden_term").isNotNull(), FORBIDDEN)
-        .when(F.col("safety_score") < policy["threshold"], SCORE)
-        .when((F.size("pii.types") > 0) & ~policy["mask_pii"], PII)
+        F.when(forbidden, FORBIDDEN)
+        .when(F.col("safety_score") < F.col("threshold"), SCORE)
+        .when((F.size("pii.types") > 0) & ~F.col("may_mask"), PII)
         .when(F.col("trigger").isNotNull(), HITL)
         .otherwise(NONE),
     )
-    rows = rows.withColumn("bias_term", F.when(F.col("stop") == NONE, first_contained(text, F.col("terms"))))
 
-    stop, flagged = F.col("stop"), F.col("bias_term").isNotNull()
+    stop = F.col("stop")
+    flagged = (stop == NONE) & F.col("bias_term").isNotNull()
     # The first two guards leave the prompt as it came.
     halted = stop.isin(FORBIDDEN, SCORE)
     rows = rows.withColumns(
         {
             "allowed": stop == NONE,
             "action": F.when(stop == NONE, "PASSED").when(stop == HITL, "PENDING_HITL").otherwise("BLOCKED"),
-            "reason": F.when(stop == FORBIDDEN, policy["fallbacks"]["token_violation"])
+            "reason": F.when(stop == FORBIDDEN, F.col("token_violation"))
             .when(stop == SCORE, SCORE_VIOLATION)
-            .when(stop == PII, policy["fallbacks"]["pii_violation"])
-            .when(stop == HITL, F.format_string(HITL_REASON, "trigger"))
+            .when(stop == PII, F.col("pii_violation"))
+            .when(stop == HITL, fill(HITL_REASON, "trigger"))
             .otherwise(PASSED_REASON),
             "requires_review": (stop == HITL) | flagged,
-            "review_reason": F.when(flagged, F.format_string(UNFAIR_REASON, "bias_term")),
+            "review_reason": F.when(flagged, fill(UNFAIR_REASON, "bias_term")),
             "anonymized_prompt": F.when(halted, F.col("prompt")).otherwise(F.col("pii.clean")),
             "pii_detected": F.when(halted, F.array().cast("array<string>")).otherwise(F.col("pii.types")),
         }

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.pii import PII_PATTERNS, masked, pii_types
-from wardline.functions.similarity import may_be_near, near_match_score
-from wardline.functions.text import bind, first_contained
+from wardline.functions.similarity import near_candidate, near_match_score
+from wardline.functions.text import bind, fill, first_contained
 from wardline.sources.policies import lexicon_terms
 
 # Messages.
@@ -39,19 +39,15 @@ def guard_forbidden(df: DataFrame) -> DataFrame:
 
 def safety_candidates(df: DataFrame) -> DataFrame:
     """Add ``candidate``: the lower-cased text where it may nearly match a term, else null."""
-    near = bind(
-        F.lower("prompt"),
-        lambda text: F.when(may_be_near(text, F.col("policy.profiles"), F.col("policy.longest")), text),
-    )
+    near = bind(F.lower("prompt"), lambda text: near_candidate(text, F.col("policy"), F.lit(False))["text"])
     return df.withColumn("candidate", near)
 
 
 def safety_score(df: DataFrame) -> DataFrame:
     """Add ``safety_score``: 0.0 for a near match of a forbidden term, else 1.0."""
-    scored = safety_candidates(df)
-    return scored.withColumn("safety_score", near_match_score(F.col("candidate"), F.col("policy.forbidden"))).drop(
-        "candidate"
-    )
+    near = bind(F.lower("prompt"), lambda text: near_candidate(text, F.col("policy"), F.lit(False)))
+    scored = df.withColumn("__near", near)
+    return scored.withColumn("safety_score", near_match_score(F.col("__near"))).drop("__near")
 
 
 def guard_threshold(df: DataFrame) -> DataFrame:
@@ -93,7 +89,7 @@ def fairness_flag(df: DataFrame, lexicon: DataFrame, text: str = "prompt") -> Da
         {
             "is_fair": fair,
             "fairness_score": F.when(fair, 1.0).otherwise(0.0),
-            "fairness_reason": F.when(fair, FAIR_REASON).otherwise(F.format_string(UNFAIR_REASON, "bias_term")),
+            "fairness_reason": F.when(fair, FAIR_REASON).otherwise(fill(UNFAIR_REASON, "bias_term")),
         }
     )
 
@@ -105,7 +101,7 @@ def verify_output(df: DataFrame, text: str = "response", patterns=PII_PATTERNS)
     return found.withColumns(
         {
             "output_allowed": ~leaks,
-            "output_reason": F.when(leaks, F.format_string(OUTPUT_BLOCKED, F.array_join("__types", ", "))).otherwise(
+            "output_reason": F.when(leaks, fill(OUTPUT_BLOCKED, F.array_join("__types", ", "))).otherwise(
                 OUTPUT_CLEAN
             ),
         }

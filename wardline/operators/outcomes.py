@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # Fixed value: the message while the switch is on.
 SERVICE_OFF = "Service Unavailable: Global kill switch is active. Contact your compliance officer."
-MODEL_NAME = "mock-gpt-governance-v1"
 
 
 def gateway_response(
