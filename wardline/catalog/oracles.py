@@ -253,6 +253,15 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY latency_ms) -
 
 ORACLES: dict[str, str] = {
     "load_requests": _sql(_PROMPTS, "SELECT request_id, tenant_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, prompt FROM prompts"),
+    "load_policy": _sql(
+        _PROMPTS,
+        f"""SELECT tenant_id, '{_POLICY['policy_metadata']['version']}' AS version,
+          {_quoted(','.join(_POLICY['policy_metadata']['frameworks']))} AS frameworks,
+          {_quoted(','.join(_TOKENS))} AS forbidden, {_quoted(','.join(_TRIGGERS))} AS triggers,
+          tenant_id <> 'tenant_3' AS enforce_pii_masking, 0.8::DOUBLE AS minimum_safety_threshold,
+          {_quoted(_POLICY['fallbacks']['kill_switch'])} AS kill_switch_message, count(*) AS n_requests
+        FROM prompts GROUP BY tenant_id""",
+    ),
     "bias_lexicon": "SELECT category, term, (SELECT count(*) FROM documents WHERE contains(lower(text), term)) AS n_docs FROM (VALUES "
     + ", ".join(f"({_quoted(c)}, {_quoted(t.split(' (')[0].lower())})" for c, ts in _LEXICON.items() for t in ts)
     + ") AS lexicon(category, term)",
@@ -355,7 +364,7 @@ ORACLES: dict[str, str] = {
         FROM decisions""",
     ),
     "token_count_documents": f"SELECT doc_id, {_TOKEN_COUNT.format('text')} AS n_tokens FROM documents",
-    "token_count_prompts": _sql(_VALID, f"SELECT request_id, {_TOKEN_COUNT.format('prompt')} AS n_tokens FROM valid"),
+    "token_count": _sql(_VALID, f"SELECT request_id, {_TOKEN_COUNT.format('prompt')} AS n_tokens FROM valid"),
     "ledger_preview_cols": _sql(_LEDGER, f"SELECT {_PREVIEW} FROM ledger"),
     "review_item_cols": _sql(_LEDGER, f"SELECT {_ITEM} FROM ledger"),
     "forward_preview": _sql(
@@ -464,7 +473,7 @@ ORACLES: dict[str, str] = {
         _REVIEWED,
         f"SELECT {_ITEM} FROM (SELECT * FROM reviewed WHERE review_status = 'PENDING_REVIEW' ORDER BY id DESC LIMIT 10)",
     ),
-    "gateway_ledger_feed": _sql(f"{_GATEWAY_ENTRIES}, {_sealed(source='feed')}", f"SELECT {_LEDGER_COLUMNS} FROM ledger"),
+    "gateway_ledger": _sql(f"{_GATEWAY_ENTRIES}, {_sealed(source='feed')}", f"SELECT {_LEDGER_COLUMNS} FROM ledger"),
     "cosine_topk": _sql(_nearest(10, "embeddings"), "SELECT query_id, item_id, similarity, rank FROM nearest"),
     "retrieve_passages": _sql(
         _NEAREST_DOCUMENTS,

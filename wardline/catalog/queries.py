@@ -25,8 +25,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SHORT_BLOCK = 40
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
+def query(fn=None, *, name: str | None = None):
+    """Register a query under its own name, or under ``name``."""
+    if fn is None:
+        return lambda f: query(f, name=name)
+    QUERIES[name or fn.__name__] = fn
     return fn
 
 
@@ -92,6 +95,23 @@ def load_requests(spark, sf):
     return rows.select("request_id", "tenant_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "prompt")
 
 
+@query
+def load_policy(spark, sf):
+    """The loaded rules of every tenant and the requests they apply to."""
+    seen = views.prompts(spark, sf).groupBy("tenant_id").agg(F.count("*").alias("n_requests"))
+    rules = views.policies(spark).select(
+        "tenant_id",
+        "version",
+        F.array_join("frameworks", ",").alias("frameworks"),
+        F.array_join("block_forbidden_tokens", ",").alias("forbidden"),
+        F.array_join("hitl_triggers", ",").alias("triggers"),
+        "enforce_pii_masking",
+        "minimum_safety_threshold",
+        F.col("fallbacks")["kill_switch"].alias("kill_switch_message"),
+    )
+    return rules.join(seen, "tenant_id")
+
+
 @query
 def bias_lexicon(spark, sf):
     lexicon = views.lexicon(spark)
@@ -185,7 +205,8 @@ def safety_candidates(spark, sf):
 
 @query
 def safety_candidates_documents(spark, sf):
-    docs = views.texts(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"), F.lit("tenant_0").alias("tenant_id"))
+    docs = views.texts(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
+    docs = docs.withColumn("tenant_id", F.concat(F.lit("tenant_"), F.col("doc_id") % 4))
     bound = lookups.bind_policy(docs, views.policies(spark), spread="doc_id")
     return guards.safety_candidates(bound).select("doc_id", "candidate")
 
@@ -309,7 +330,7 @@ def token_count_documents(spark, sf):
     return views.texts(spark, sf, "documents").select("doc_id", token_count(F.col("text")).alias("n_tokens"))
 
 
-@query
+@query(name="token_count")
 def token_count_prompts(spark, sf):
     valid, _ = guards.validate(views.prompts(spark, sf))
     return valid.select("request_id", token_count(F.col("prompt")).alias("n_tokens"))
@@ -485,8 +506,8 @@ def review_queue(spark, sf):
     return reports.review_queue(ledger.apply_reviews(sealed_ledger(spark, sf), views.view(spark, sf, views.REVIEWS_SQL)))
 
 
-@query
-def gateway_ledger_feed(spark, sf):
+@query(name="gateway_ledger")
+def gateway_ledger_rows(spark, sf):
     rows = gateway_ledger(
         views.prompts(spark, sf),
         views.responses(spark, sf),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wardline import config
 from wardline.plans.joins import lookup_join
 from wardline.schemas import CONTROL_FILE
+from wardline.session import stage
 
 
 def control_state(spark: SparkSession, path: str = config.CONTROL_STATE) -> DataFrame:
@@ -37,9 +38,10 @@ def flag_as_of(requests: DataFrame, control_log: DataFrame) -> DataFrame:
 
     A change holds until the next one. Changes are cut at day bounds and looked up by day, so
     the join is an equi-join and no window runs over the requests; after the last change the
-    state is a constant. The log is a short list of an operator's actions, hence its own window.
+    state is a constant. The log is a short list of an operator's actions, hence its own window;
+    it is staged, as it is read several times.
     """
-    changes = control_log.groupBy("ts").agg(F.bool_or("active").alias("active"))
+    changes = stage(control_log.groupBy("ts").agg(F.bool_or("active").alias("active")), "switch")
     spans = changes.select(
         F.col("ts").alias("__since"), F.lead("ts").over(Window.orderBy("ts")).alias("__until"), F.col("active").alias("__active")
     ).filter("__until IS NOT NULL")
