@@ -31,13 +31,13 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import as_binary, texts_of
+from wardline.llm.common import as_binary, slices, texts_of
 
 BLOCK = 1 << 16
 #: Bytes from which a piece is merged before its end is known.
 LONG_PIECE = 1 << 12
 #: Pieces whose tokens are remembered; the table is emptied when it is full.
-TABLE = 400_000
+TABLE = 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -91,12 +91,14 @@ class Vocabulary:
         self.singles = {t: k for k, t in enumerate(sorted(t for t in self.ids if len(t) == 1))}
         self.ranks = self.singles | {x + y: len(self.singles) + k for k, (x, y) in enumerate(self.merges)}
         self.of_rank = [self.ids[t] for t in self.ranks]
-        self.core = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=self.ranks, special_tokens={})
         self.several = tiktoken.Encoding("several", pat_str=r"[^\x00]+|\x00", mergeable_ranks=self.ranks, special_tokens={})
 
     def ids_of(self, piece: str) -> bytes:
         """The ids of a piece: always the earliest merge of the list, leftmost first."""
-        ids = [self.of_rank[r] for r in self.core.encode_ordinary(piece)]
+        if "\0" in piece:
+            ids = [self.ids[t] for t in _merge_long(self, piece.encode())]
+        else:
+            ids = [self.of_rank[r] for r in self.several.encode_ordinary(piece)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids_of_each(self, pieces: list[str]) -> list[bytes]:
@@ -355,7 +357,7 @@ def decode(vocab: Vocabulary, ids: bytes) -> str:
 
 
 #: Characters that are pre-tokenized together; bounds the memory of ``encode_many``.
-GROUP = 1 << 21
+GROUP = 1 << 19
 _LETTER, _NUMBER, _OTHER, _SPACE, _END = range(5)
 _STEP = 0x9E3779B97F4A7C15
 
@@ -462,7 +464,7 @@ def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         encoder = Encoder(vocab)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             ids = encode_many(encoder, [text.decode() for text in texts_of(batch.column("text"))])
             texts = [decode(vocab, x) for x in ids]
             yield pa.RecordBatch.from_arrays(

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,17 @@ def texts_of(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def slices(batch: pa.RecordBatch, text: str, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``size`` bytes of text, one row at least: what one step holds in memory."""
+    start = held = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
+        if held and held + n > size:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    yield batch.slice(start)
+
+
 def as_binary(text: str) -> Column:
     """The text as bytes, empty for null: Arrow hands them to Python without decoding."""
     return F.coalesce(F.col(text), F.lit("")).cast("binary")

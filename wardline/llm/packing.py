@@ -19,6 +19,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import math
+import zlib
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.bpe import Encoder, encode_many, vocabulary
-from wardline.llm.common import as_binary, texts_of
+from wardline.llm.common import as_binary, slices, texts_of
 from wardline.session import stage
 
 CAPACITY = 2048
@@ -36,40 +37,37 @@ CAPACITY = 2048
 END = 0
 
 
-def token_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """``id, piece, start, length, ids`` (little-endian 32-bit) of each row's ids, cut at the capacity.
+def token_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+    """``id, piece, start, length, ids_crc32`` of each row's ids, cut at the capacity; with ``keep_ids`` also the ``ids``.
 
     The first piece takes what is left over, so that all others are full.
     """
 
+    def cut(ids: bytes) -> Iterator[tuple]:
+        n = len(ids) // 4
+        first = n % capacity or capacity
+        for piece, (a, b) in enumerate(zip([0, *range(first, n, capacity)], range(first, n + 1, capacity), strict=True)):
+            part = ids[4 * a : 4 * b]
+            yield piece, a, b - a, zlib.crc32(part), *([part] if keep_ids else ())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder(vocabulary(path)), END.to_bytes(4, "little")
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), *((pa.binary(),) if keep_ids else ()))
         for batch in batches:
-            docs, rows, held = [], [], 0
-            for i, ids in enumerate(encode_many(encoder, [t.decode() for t in texts_of(batch.column("text"))])):
-                ids += end
-                n = len(ids) // 4
-                first = n % capacity or capacity
-                for piece, (a, b) in enumerate(zip([0, *range(first, n, capacity)], range(first, n + 1, capacity), strict=True)):
-                    docs.append(i)
-                    rows.append((piece, a, b - a, ids[4 * a : 4 * b]))
-                    held += 4 * (b - a)
-                if held > 1 << 24:
-                    yield _piece_batch(batch, docs, rows)
-                    docs, rows, held = [], [], 0
-            yield _piece_batch(batch, docs, rows)
+            for part in slices(batch, "text"):
+                docs, rows = [], []
+                for i, ids in enumerate(encode_many(encoder, [t.decode() for t in texts_of(part.column("text"))])):
+                    new = list(cut(ids + end))
+                    docs.extend([i] * len(new))
+                    rows.extend(new)
+                columns = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id").take(pa.array(docs, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
+                    names=["id", "piece", "start", "length", "ids_crc32", "ids"][: 1 + len(types)],
+                )
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), as_binary(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, piece int, start long, length long, ids binary")
-
-
-def _piece_batch(batch: pa.RecordBatch, docs: list[int], rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [batch.column("id").take(pa.array(docs, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
-        names=["id", "piece", "start", "length", "ids"],
-    )
+    return rows.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else ""))
 
 
 class RoomTree:
@@ -185,9 +183,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def packed(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """Each piece of each row with its place. Without ``keep_ids`` the ids are given by their CRC-32."""
-    pieces = token_pieces(df, path, id_col, text_col, capacity)
-    columns = ["id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), *(["ids"] if keep_ids else [])]
-    return pack(pieces.select(*columns), capacity).withColumnRenamed("id", id_col)
+    return pack(token_pieces(df, path, id_col, text_col, capacity, keep_ids), capacity).withColumnRenamed("id", id_col)
 
 
 __all__ = ["RoomTree", "best_fit_plan", "pack", "packed", "token_pieces"]
