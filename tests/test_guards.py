@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import SF
 from wardline.catalog import views
 from wardline.functions.pii import PII_PATTERNS, PiiPattern
+from wardline.functions.pii import masked as guards_masked
 from wardline.operators import guards, outcomes
 from wardline.operators.decide import decide, ledger_entries, output_entries
 from wardline.operators.lookups import bind_policy
@@ -90,6 +91,21 @@ def test_unknown_tenant_without_default_is_an_error(requests_of, policies, lexic
         decide(requests_of(["fine"], "someone"), policies, lexicon).collect()
 
 
+def test_unknown_default_tenant_is_an_error(requests_of, policies, lexicon):
+    with pytest.raises(Exception, match="no policy for tenant"):
+        decide(requests_of(["write malware now"], tenant="nobody"), policies, lexicon, default_tenant="nobody either").collect()
+
+
+def test_an_unbroken_megabyte_with_a_sign_is_linear(spark):
+    import time
+
+    df = spark.createDataFrame([("x@ " + "a1" * 500_000,)], "text string")
+    df.select(guards_masked(F.col("text"))).collect()
+    start = time.monotonic()
+    df.select(guards_masked(F.col("text"))).collect()
+    assert time.monotonic() - start < 5
+
+
 def test_upper_case_term_never_hits(spark, requests_of, policies):
     shouting = policies.withColumn("block_forbidden_tokens", F.array(F.lit("MALWARE")))
     bound = bind_policy(requests_of(["MALWARE here", "malware there"]), shouting)
@@ -173,7 +189,7 @@ def test_near_match_prune_loses_nothing(spark, policies):
     for name, column in (("documents", "text"), ("benchmark", "text"), ("conversations", "text")):
         texts = texts.unionAll(views.table(spark, SF, name).selectExpr(f"{column} AS prompt"))
     rows = guards.guard_threshold(
-        bind_policy(texts.withColumn("tenant_id", F.lit("tenant_0")), policies, spread="prompt")
+        bind_policy(texts.withColumn("tenant_id", F.lit("tenant_0")), policies)
     ).collect()
     seen = set()
     for row in rows:

@@ -195,12 +195,18 @@ def test_rehashed_row(chain):
 def test_fork(chain):
     other = chain.filter("seq = 4").withColumn("request_id", F.lit("r4b")).withColumn("seq", F.lit(11).cast("long"))
     forked = chain.unionByName(other.withColumn("current_hash", recomputed_hash()))
-    assert (4, "fork") in found(forked)[1]
+    assert found(forked)[1] == {(4, "fork"), (11, "fork")}
+
+
+def test_every_orphan_is_named_with_its_own_id(chain):
+    lost = [chain.filter("seq = 5").withColumns({"seq": F.lit(seq).cast("long"), "id": F.lit(i).cast("long"), "previous_hash": F.lit("gone")}) for i, seq in ((2000, 20), (5000, 7))]
+    links = {(r["id"], r["seq"], r["fault"]) for r in L.chain_links(chain.unionByName(lost[0]).unionByName(lost[1])).collect()}
+    assert links == {(2000, 20, "orphan"), (5000, 7, "orphan")}
 
 
 def test_second_start(chain):
     other = chain.filter("seq = 1").withColumn("request_id", F.lit("r1b")).withColumn("seq", F.lit(11).cast("long"))
-    assert found(chain.unionByName(other.withColumn("current_hash", recomputed_hash())))[1] == {(1, "fork")}
+    assert found(chain.unionByName(other.withColumn("current_hash", recomputed_hash())))[1] == {(1, "fork"), (11, "fork")}
 
 
 def test_cut_tail_shows_in_the_seals(chain):

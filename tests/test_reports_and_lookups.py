@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
+from wardline.session import stage
 from wardline.catalog import views
 from wardline.operators import reports
 from wardline.operators.lookups import bind_policy, pair_turns
-from wardline.plans import joins
 from wardline.plans.gateway import gate
 from wardline.sources import control
 
@@ -46,15 +46,22 @@ def test_battery_counts_bypasses_and_false_alarms(spark):
     assert rows[200, 200]["n_passed"] == 1 and rows[422, 422]["n_passed"] == 1
 
 
-def test_large_lookup_gives_what_a_broadcast_gives(spark, policies, monkeypatch):
+def test_large_lookup_gives_what_a_broadcast_gives(spark, policies):
     requests = views.prompts(spark, SF)
-    small = bind_policy(requests, policies)
-    monkeypatch.setattr(joins.lookup_join, "__defaults__", (*joins.lookup_join.__defaults__[:-1], 2))
-    salted = bind_policy(requests, policies)
-    assert "__salt" in salted._jdf.queryExecution().analyzed().toString()
     columns = ["request_id", "tenant_id", "policy.mask_pii", "policy.longest"]
-    assert small.select(*columns).exceptAll(salted.select(*columns)).count() == 0
-    assert salted.count() == requests.count()
+    small = stage(bind_policy(requests, policies).select(*columns), "small-lookup")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = stage(bind_policy(requests, policies).select(*columns), "shuffled-lookup")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert small.exceptAll(shuffled).count() == 0 and shuffled.count() == requests.count()
+
+
+def test_two_policies_of_a_tenant_are_an_error(spark, policies):
+    with pytest.raises(Exception, match="several policies for tenant tenant_0"):
+        bind_policy(views.prompts(spark, SF), policies.unionByName(policies.where("tenant_id = 'tenant_0'"))).select("policy").collect()
 
 
 def test_switch_history(spark):

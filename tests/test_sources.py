@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from wardline import config
 from wardline.functions.text import stripped, token_count
 from wardline.session import work_folder
@@ -23,14 +25,39 @@ def test_policy_defaults_and_rejects(spark, tmp_path):
         "security_rules": {"block_forbidden_tokens": ["x"], "minimum_safety_threshold": 0.85},
         "fallbacks": {"token_violation": "no"},
     }
-    legacy = {"policy_metadata": {"version": "1.0"}, "security_rules": good["security_rules"]}
     (tmp_path / "good.json").write_text(json.dumps(good, indent=1))
-    (tmp_path / "legacy.json").write_text(json.dumps(legacy, indent=1))
     rows = policies.load_policy(spark, str(tmp_path)).collect()
     assert len(rows) == 1
     assert rows[0]["hitl_triggers"] == [] and rows[0]["enforce_pii_masking"] is True
 
 
+GOOD = {
+    "policy_metadata": {"tenant_id": "t", "version": "1"},
+    "security_rules": {"block_forbidden_tokens": ["x"], "minimum_safety_threshold": 0.85},
+    "fallbacks": {"token_violation": "no"},
+}
+
+
+@pytest.mark.parametrize(
+    "part, change",
+    [
+        ("policy_metadata", {"version": "1.0"}),
+        ("security_rules", {"minimum_safety_threshold": 0.85}),
+        ("security_rules", {"block_forbidden_tokens": ["x"]}),
+        ("security_rules", {"block_forbidden_tokens": ["x"], "minimum_safety_threshold": "high"}),
+        ("security_rules", {"block_forbidden_tokens": ["x"], "minimum_safety_threshold": 0.85, "enforce_pii_masking": False}),
+        ("fallbacks", {}),
+        (None, None),
+    ],
+)
+def test_a_policy_that_lacks_a_rule_is_an_error(spark, tmp_path, part, change):
+    (tmp_path / "good.json").write_text(json.dumps(GOOD))
+    other = {**GOOD, part: change}
+    (tmp_path / "other.json").write_text(json.dumps(other) if part else '{"policy_metadata": {')
+    with pytest.raises(Exception, match="lacks|MALFORMED|FAILED_READ"):
+        policies.load_policy(spark, str(tmp_path)).collect()
+
+
 def test_lexicon(spark, tmp_path):
     rows = policies.bias_lexicon(spark).collect()
     assert len(rows) == 34 and len({r["category"] for r in rows}) == 5

@@ -67,6 +67,13 @@ def test_dedup(spark, feed):
     assert spark.read.parquet(out).count() == views.prompts(spark, SF).count()
 
 
+def test_rows_without_an_id_all_pass(spark, tmp_path):
+    spark.sql("SELECT * FROM VALUES (NULL, timestamp'2024-01-01'), (NULL, timestamp'2024-01-01'), (NULL, timestamp'2024-01-02'), ('a', timestamp'2024-01-01'), ('a', timestamp'2024-01-01') AS t(request_id, ts)").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("request_id string, ts timestamp").parquet(str(tmp_path / "in"))
+    jobs.run_available(jobs.stream_dedup(stream, "40 days"), str(tmp_path / "progress"), str(tmp_path / "out"))
+    assert sorted(r["request_id"] or "" for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["", "", "", "a"]
+
+
 def test_switch_is_read_per_batch(spark, feed, policies, lexicon, tmp_path):
     path, state = work_folder(spark, "test-ledger"), tmp_path / "state.json"
     state.write_text(json.dumps({"kill_switch_active": True}))

@@ -207,7 +207,7 @@ def safety_candidates(spark, sf):
 def safety_candidates_documents(spark, sf):
     docs = views.texts(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
     docs = docs.withColumn("tenant_id", F.concat(F.lit("tenant_"), F.col("doc_id") % 4))
-    bound = lookups.bind_policy(docs, views.policies(spark), spread="doc_id")
+    bound = lookups.bind_policy(docs, views.policies(spark))
     return guards.safety_candidates(bound).select("doc_id", "candidate")
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.session import spread
 from wardline.sources.policies import bias_lexicon, load_policy
 from wardline.sources.requests import load_requests
 
@@ -74,7 +73,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table whose rows are expensive to work on."""
-    return spread(table(spark, sf_dir, name))
+    return table(spark, sf_dir, name)
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -72,7 +72,9 @@ def _may_match(text: Column, pattern: PiiPattern) -> Column:
     """A cheap test that holds for every text the pattern matches."""
     if re.search(r"\(\?<?!", pattern.regex):
         return F.lit(True)
-    return text.rlike(java_regex(pattern.regex, boundaries=False))
+    # One character of a leading run will do: a whole run would be tried from each of its characters.
+    one = re.sub(r"^(?:\\b)?(\[[^\]]*\])\+", r"\1", pattern.regex)
+    return text.rlike(java_regex(one, boundaries=False))
 
 
 def _groups(patterns: list[PiiPattern]):

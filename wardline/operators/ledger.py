@@ -167,32 +167,24 @@ def verify_chain(ledger: DataFrame) -> DataFrame:
 
 
 def chain_links(ledger: DataFrame) -> DataFrame:
-    """Rows whose link to the rest of their chain is wrong, with the fault.
+    """Rows whose link to the rest of their chain is wrong, each with its id, its seq and the fault.
 
     ``orphan``: no row has the previous hash; ``order``: that row does not come just before;
-    ``fork``: several rows follow the same row or several start the chain. Rows find their
-    parent by an equi-join on the hash, which spreads evenly; there is no sort and no window.
+    ``fork``: several rows follow the same row or several start the chain, and each is named. Rows
+    are counted by the hash they follow and joined to their parent on it: both by the same keys,
+    which spread evenly.
     """
-    follows = ledger.select(*CHAIN, "id", "seq", "previous_hash")
-    starts = follows.filter(F.col("previous_hash") == GENESIS)
-    first = starts.groupBy(*CHAIN).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+    keys = [*CHAIN, "previous_hash"]
+    follows = ledger.select(*keys, "id", "seq").withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
     parents = ledger.groupBy(*CHAIN, F.col("current_hash").alias("previous_hash")).agg(F.min("seq").alias("parent_seq"))
-    children = (
-        follows.filter(F.col("previous_hash") != GENESIS)
-        .groupBy(*CHAIN, "previous_hash")
-        .agg(F.count("*").alias("n"), F.min("seq").alias("seq"), F.max("seq").alias("last_seq"), F.min("id").alias("id"))
-    )
-    linked = children.join(parents, [*CHAIN, "previous_hash"], "left")
+    starts = F.col("previous_hash") == GENESIS
     fault = (
-        F.when(F.col("parent_seq").isNull(), "orphan")
+        F.when(~starts & F.col("parent_seq").isNull(), "orphan")
         .when(F.col("n") > 1, "fork")
-        .when(F.col("parent_seq") + 1 != F.col("seq"), "order")
-    )
-    broken = linked.select(*CHAIN, "id", "seq", fault.alias("fault")).filter("fault IS NOT NULL")
-    several = first.filter("n > 1").select(
-        *CHAIN, F.lit(None).cast("long").alias("id"), F.col("first_seq").alias("seq"), F.lit("fork").alias("fault")
+        .when(~starts & (F.col("parent_seq") + 1 != F.col("seq")), "order")
     )
-    return broken.unionByName(several)
+    linked = follows.join(parents, keys, "left")
+    return linked.select(*CHAIN, "id", "seq", fault.alias("fault")).filter("fault IS NOT NULL")
 
 
 def duplicate_requests(batch: DataFrame, ledger: DataFrame | None = None) -> DataFrame:

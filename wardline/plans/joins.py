@@ -1,4 +1,4 @@
-"""Lookups of a large table in a smaller one whose size is checked first."""
+"""Lookups of a large table in a smaller one."""
 
 from __future__ import annotations
 
@@ -8,48 +8,15 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A broadcast side of this many rows of a few KB stays far below executor memory.
-MAX_BROADCAST_ROWS = 20_000
-SALTS = 32
 
-
-def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than it must."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    keys: list[str],
-    spread: str = "request_id",
-    condition: Column | None = None,
-    max_rows: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
+def lookup_join(facts: DataFrame, lookup: DataFrame, keys: list[str], condition: Column | None = None) -> DataFrame:
     """Left-join ``facts`` to a lookup table on ``keys`` and an optional further condition.
 
-    A small lookup is broadcast, so the facts do not move. A larger one is replicated over
-    salts and joined on ``keys`` plus a salt taken from the ``spread`` column of the facts, so
-    that a key that holds a third of the facts is spread over that many tasks.
+    Spark picks the plan by the lookup's size in bytes: broadcast below its threshold, else a shuffled
+    join, whose hot keys adaptive execution splits on the side of the facts.
     """
-    if is_small(lookup, max_rows):
-        right, on = F.broadcast(lookup), keys
-    else:
-        facts = facts.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-        right = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        on = [*keys, "__salt"]
-    right = right.withColumnsRenamed({c: f"__lookup_{c}" for c in on})
-    matches = reduce(and_, [F.col(c) == F.col(f"__lookup_{c}") for c in on])
+    right = lookup.withColumnsRenamed({c: f"__lookup_{c}" for c in keys})
+    matches = reduce(and_, [F.col(c) == F.col(f"__lookup_{c}") for c in keys])
     if condition is not None:
         matches = matches & condition
-    return facts.join(right, matches, "left").drop("__salt", *[f"__lookup_{c}" for c in on])
-
-
-def small_column(df: DataFrame, expr: Column, what: str, max_rows: int = MAX_BROADCAST_ROWS) -> Column:
-    """An aggregate of a small configuration table as one value, checked for size.
-
-    Becomes a scalar subquery: it runs once and its result is a constant of the main plan.
-    """
-    if not is_small(df, max_rows):
-        raise ValueError(f"{what} has more than {max_rows} rows; it is meant to be a small configuration table")
-    return df.agg(expr).scalar()
+    return facts.join(right, matches, "left").drop(*[f"__lookup_{c}" for c in keys])

@@ -55,13 +55,3 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     path = work_folder(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Put a scan of few files on all cores, for work that is heavy per row.
-
-    A file with one row group is one task with all the rows, whatever the scan's task count says.
-    A scan with twice as many tasks as there are cores, as any large table has, is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df

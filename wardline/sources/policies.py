@@ -8,21 +8,36 @@ from pyspark.sql import functions as F
 
 from wardline import config
 from wardline.functions.similarity import term_profiles
-from wardline.plans.joins import small_column
 from wardline.schemas import POLICY_FILE
 
+#: What a policy file must have for every guard to work.
+REQUIRED = (
+    "policy_metadata.tenant_id",
+    "security_rules.block_forbidden_tokens",
+    "security_rules.minimum_safety_threshold",
+    "fallbacks",
+    "fallbacks['token_violation']",
+)
 LEXICON_METADATA = "bias_lexicon_metadata"
 
 
 def load_policy(spark: SparkSession, name_or_path: str = "global_baseline") -> DataFrame:
     """One row per policy of a JSON file or folder; an unknown name is taken as a path.
 
-    Files that name no tenant or no fallback messages are not policies and are left out.
+    A file that cannot be read as a policy is an error, and so is one that lacks what a guard
+    needs: a guard without its rule would let everything pass.
     """
     path = config.POLICY_ALIASES.get(name_or_path, name_or_path)
-    raw = spark.read.schema(POLICY_FILE).option("multiLine", True).json(path)
-    return raw.filter("policy_metadata.tenant_id IS NOT NULL AND fallbacks IS NOT NULL").select(
-        "policy_metadata.tenant_id",
+    raw = spark.read.schema(POLICY_FILE).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    # Where identifiers are not masked they block, with a message of their own.
+    blocks = F.expr("NOT security_rules.enforce_pii_masking AND fallbacks['pii_violation'] IS NULL")
+    lacks = F.coalesce(
+        *[F.when(F.expr(field).isNull(), F.lit(field)) for field in REQUIRED],
+        F.when(blocks, F.lit("fallbacks['pii_violation']")),
+    )
+    error = F.raise_error(F.concat(F.lit("policy file "), F.col("_metadata.file_path"), F.lit(" lacks "), lacks))
+    return raw.select(
+        F.when(lacks.isNotNull(), error).otherwise(F.col("policy_metadata.tenant_id")).alias("tenant_id"),
         "policy_metadata.version",
         "policy_metadata.frameworks",
         "security_rules.block_forbidden_tokens",
@@ -75,5 +90,5 @@ def bias_lexicon(spark: SparkSession, path: str = config.BIAS_LEXICON) -> DataFr
 
 def lexicon_terms(lexicon: DataFrame) -> Column:
     """All terms as one sorted list, the same for every row."""
-    terms = small_column(lexicon, F.array_sort(F.collect_set("term")), "the bias lexicon")
+    terms = lexicon.agg(F.array_sort(F.collect_set("term"))).scalar()
     return F.coalesce(terms, F.array().cast("array<string>"))

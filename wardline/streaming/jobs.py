@@ -22,8 +22,13 @@ BATCH_ID_SPAN = 10**11
 
 
 def stream_dedup(requests: DataFrame, delay: str = "1 hour", key: str = "request_id") -> DataFrame:
-    """The first of every request id; ids are remembered for ``delay`` after their event time."""
-    return requests.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
+    """The first of every request id; ids are remembered for ``delay`` after their event time.
+
+    Rows without an id are nobody's duplicates: they pass beside the state.
+    """
+    marked = requests.withWatermark("ts", delay)
+    first = marked.filter(F.col(key).isNotNull()).dropDuplicatesWithinWatermark([key])
+    return first.unionByName(marked.filter(F.col(key).isNull()))
 
 
 def stream_decide(requests: DataFrame, policies: DataFrame, lexicon: DataFrame, patterns=PII_PATTERNS, default_tenant=None) -> DataFrame:
