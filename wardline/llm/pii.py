@@ -33,8 +33,8 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Every identifier has one of these; most texts have neither.
-_NECESSARY = "[0-9@]|[A-Fa-f]{32}"
+#: Every valid identifier has one of these; most texts have neither.
+_NECESSARY = "[0-9@]"
 _ISSUER = r"^(?:4|5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|6(?:011|5|4[4-9]))"
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
