@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import as_binary, texts_of
+from wardline.llm.common import as_binary, slices, texts_of
 
 #: Bound on the labelled documents that the space and the votes come from, the least hashes of their ids.
 MAX_LABELLED = 3000
@@ -35,7 +35,7 @@ TERMS = WORD_TERMS + SHAPE_TERMS + REPEAT_TERMS
 RANK = 48
 NEIGHBOURS = 15
 THRESHOLD = 0.7
-_BLOCK = 1024
+_BLOCK = 512
 
 
 def _class_table() -> np.ndarray:
@@ -134,7 +134,7 @@ def fit_from(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = df.select(F.col(id_col).alias("__id"), as_binary(text_col).alias("text")).join(F.broadcast(chosen), "__id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", 1 << 20)):
             counts = [term_counts(t).astype(np.float16).tobytes() for t in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("label"), pa.array(counts, pa.binary())], names=["__id", "label", "counts"])
 
