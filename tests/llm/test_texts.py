@@ -142,6 +142,17 @@ def test_license_wording():
     assert matcher.find("Released under the terms of the MIT License.")[2] == ["+terms", "+of", "+the"]
 
 
+def test_license_in_long_lines(spark):
+    """A notice is found wherever it stands in a line, and blocks stay short."""
+    prose, notice = "the cat sat on a mat and looked at it " * 3000, licenses.TEMPLATES["MPL-2.0"]
+    line = f"{prose}{notice} {prose}{licenses.TEMPLATES['MIT']} {prose}{notice}"
+    rows = licenses.scan(spark.createDataFrame([(1, line), (2, "ü" * 5000 + " licence " * 9000), (3, "license" * 150000), (4, f"{notice} {prose}")], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["line"], r["license"]) for r in rows) == [(1, 0, "MIT"), (1, 0, "MPL-2.0"), (4, 0, "MPL-2.0")]
+    reach = licenses.Matcher().reach
+    blocks = list(licenses.blocks_of(line.encode(), reach))
+    assert all(len(b) <= 5 * reach + 20 for b in blocks) and sum(notice.encode() in b for b in blocks) == 2
+
+
 def test_license_scan_finds_each_known_line(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     wanted = {(r["doc_id"], n) for r in docs.collect() for n, line in enumerate(r["text"].split("\n")) if line in licenses.TEMPLATES.values()}

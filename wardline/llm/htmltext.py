@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.llm.common import slices
+
 #: Common words of English, French, Spanish and German.
 STOP_WORDS = frozenset(
     """a about after all also am an and any are as at be because been but by can could did do does for from had has have he
@@ -219,7 +221,8 @@ def extract(df: DataFrame, html_col: str = "html", text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page.as_py() or "") for page in batch.column("__html")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*kept, text_col])
+            for part in slices(batch, "__html"):
+                texts = [main_text(page.as_py() or "") for page in part.column("__html")]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*kept, text_col])
 
     return df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(html_col), F.lit("")).alias("__html")).mapInArrow(run, schema)

@@ -1,12 +1,13 @@
 """Licence notices in documents by conditional compression.
 
-A block (a line) that mentions a licence at all is compressed with each template as a raw zstandard
-dictionary. What a template saves against compression without one says how much of the block it
+A block (a line, or of a long line the surroundings of each mention) that mentions a licence at all is
+compressed with each template as a raw zstandard dictionary. What a template saves against compression without one says how much of the block it
 explains; templates are ranked by that. The best ones are confirmed by the words in which block and
 template really differ: a block is that licence when at most ``MAX_DIFFERENCE`` of the template's words
 are missing or changed, and all of its telling words (name and version) are there.
 
-Null and empty texts have no blocks. Repeated rows have their findings each.
+Null and empty texts have no blocks. Repeated rows have their findings each. A line has one finding per
+licence, its first.
 """
 
 from __future__ import annotations
@@ -51,6 +52,30 @@ FINALISTS = 4
 _LEVEL = 19
 
 
+def blocks_of(line: bytes, reach: int) -> Iterator[bytes]:
+    """The line without outer white space, or of a long line the ``reach`` bytes around its mentions.
+
+    Mentions within ``reach`` of the first one share a block. A block is cut at blanks and has at most five
+    times ``reach`` bytes and those of a mention.
+    """
+    if len(line) <= 4 * reach:
+        if _CUE.search(line):
+            yield line.strip()
+        return
+    first = last = None
+    for cue in [*_CUE.finditer(line), None]:
+        if first is not None and (cue is None or cue.end() > first + reach):
+            # The blanks are sought within another ``reach``; a character at a cut is left out.
+            least, most = max(first - 2 * reach, 0), min(last + 2 * reach, len(line))
+            begin = max(line.rfind(b" ", least, max(first - reach, 0)), least)
+            end = line.find(b" ", last + reach, most)
+            end = most if end < 0 else end
+            yield line[begin:end].decode(errors="ignore").strip().encode()
+            first = None
+        if cue is not None:
+            first, last = cue.start() if first is None else first, cue.end()
+
+
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -62,6 +87,7 @@ class Matcher:
         self.templates = templates or TEMPLATES
         self.words = {name: words_of(text) for name, text in self.templates.items()}
         self.telling = {name: [w for w in words if w not in _COMMON] for name, words in self.words.items()}
+        self.reach = 2 * max(len(text.encode()) for text in self.templates.values())
         self.plain = zstandard.ZstdCompressor(level=_LEVEL, write_content_size=False)
         self.with_template = {
             name: zstandard.ZstdCompressor(level=_LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
@@ -118,13 +144,15 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
                 if not _CUE.search(text):
                     continue
                 for n, line in enumerate(text.split(b"\n")):
-                    if _CUE.search(line):
-                        block = line.strip()
+                    reported = set()
+                    for block in blocks_of(line, matcher.reach):
                         if block not in known:
                             if len(known) >= 10_000:
                                 known.clear()
                             known[block] = matcher.find(block.decode())
-                        if found := known[block]:
+                        found = known[block]
+                        if found and found[0] not in reported:
+                            reported.add(found[0])
                             docs.append(i)
                             rows.append((n, found[0], round(found[1], 6), len(found[2]), " ".join(found[2]), block.decode()))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
