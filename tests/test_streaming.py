@@ -7,6 +7,7 @@ import pytest
 from conftest import SF
 from wardline.catalog import queries, views
 from wardline.operators import ledger as L
+from wardline.operators import reports
 from wardline.session import work_folder
 from wardline.sources import ledger_table as T
 from wardline.sources import requests
@@ -60,6 +61,33 @@ def test_replayed_batch_changes_nothing(spark, entries_of):
         jobs.seal_batch(batch, 2, path)
 
 
+def test_repeated_ids_do_not_stop_the_stream(spark, entries_of):
+    path = work_folder(spark, "test-ledger")
+    jobs.seal_batch(entries_of([("a", "t", "PASSED", None)]), 0, path)
+    batch = entries_of([("a", "t", "BLOCKED", "x"), ("b", "t", "PASSED", None), ("b", "t", "BLOCKED", "x"), ("c", "t", "PASSED", None)])
+    for _ in range(2):
+        jobs.seal_batch(batch, 1, path, on_duplicate="quarantine")
+        sealed = T.ledger_scan(spark, path)
+        assert sorted(r["request_id"] for r in sealed.collect()) == ["a", "b", "c"]
+        assert tuple(L.verify_chain(sealed).first()) == (True, -1)
+        assert sorted(r["request_id"] for r in spark.read.parquet(f"{path}-quarantine").collect()) == ["a", "b", "b"]
+    with pytest.raises(ValueError):
+        jobs.seal_batch(batch, 2, path, on_duplicate="ignore")
+
+
+def test_end_of_stream_closes_every_window(spark, feed, policies, lexicon):
+    """The feed comes in five batches in any order, hence the long delay; counts agree with the whole table."""
+    out, end = work_folder(spark, "test-out"), work_folder(spark, "test-end")
+    stream = jobs.stream_health(jobs.with_end(jobs.stream_decide(read_feed(spark, feed), policies, lexicon), end), "1 day", "60 days")
+    for _ in range(2):
+        jobs.run_available(stream, f"{out}-progress", out)
+        jobs.mark_end(spark, end)
+    got = spark.read.schema(stream.schema).parquet(out).groupBy().sum("total", "approved", "blocked", "pending", "fairness_issues").first()
+    whole = reports.ledger_counts(L.seal(queries.entries(spark, SF))).first()
+    health = reports.health_report(L.seal(queries.entries(spark, SF))).first()
+    assert tuple(got) == (whole["total"], whole["approved"], whole["blocked"], whole["pending"], health["fairness_issues"])
+
+
 def test_dedup(spark, feed):
     out = work_folder(spark, "test-out")
     twice = read_feed(spark, feed)

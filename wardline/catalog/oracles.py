@@ -280,6 +280,18 @@ ORACLES: dict[str, str] = {
     "corpus_upsert_new": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN lang = 'en' THEN lower(text) ELSE text END AS text, lang FROM documents",
     "admit_pages": "SELECT page_id, substr(html, 1, 4000) AS html FROM pages WHERE len(html) > 200 AND NOT contains(url, 'example.org')",
     "control_state": "SELECT user_id, arg_max(event_type = 'error', ts) AS kill_switch_active FROM events GROUP BY user_id",
+    "control_state_files": f"""
+        WITH control AS ({CONTROL_LOG_SQL})
+        SELECT file, CASE WHEN file = 'on' THEN (SELECT count(*) > 0 FROM control WHERE active) ELSE false END AS kill_switch_active
+        FROM (VALUES ('on'), ('off'), ('broken'), ('missing')) AS files(file)""",
+    "assign_request_ids": f"""
+        WITH {_PROMPTS},
+        digests AS (
+          SELECT event_id, request_id,
+            sha256(concat(length(CAST(event_id AS VARCHAR)), ':', event_id, length(tenant_id), ':', tenant_id)) AS d FROM prompts)
+        SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN request_id
+          ELSE concat_ws('-', substr(d, 1, 8), substr(d, 9, 4), substr(d, 13, 4), substr(d, 17, 4), substr(d, 21, 12)) END AS request_id
+        FROM digests""",
     "validate_requests": _sql(_PROMPTS, "SELECT request_id, CASE WHEN prompt IS NULL THEN 422 ELSE 0 END AS status FROM prompts"),
     "guard_forbidden": _sql(_VALID, f"SELECT request_id, {_first('lp', _TOKENS)} AS forbidden_term FROM valid"),
     "safety_candidates": _sql(_VALID, f"SELECT request_id, {_candidate('lp')} AS candidate FROM valid"),
@@ -398,12 +410,44 @@ ORACLES: dict[str, str] = {
         FROM batch WHERE n > 1 OR request_id IN (SELECT request_id FROM entries)""",
     ),
     "chain_links": _sql(
-        _DAMAGED,
-        f"""SELECT c.tenant_id, c.segment, c.block, c.id, c.seq,
-          CASE WHEN p.seq IS NULL THEN 'orphan' ELSE 'order' END AS fault
-        FROM damaged c LEFT JOIN damaged p ON p.tenant_id = c.tenant_id AND p.segment = c.segment AND p.block = c.block
-          AND p.current_hash = c.previous_hash
-        WHERE c.previous_hash <> {_GENESIS} AND (p.seq IS NULL OR p.seq + 1 <> c.seq)""",
+        f"""{_DAMAGED},
+        links AS (
+          SELECT * FROM damaged
+          UNION ALL
+          SELECT * REPLACE (id + 1000000000 AS id) FROM damaged WHERE {_EVENT_NO} % 983 = 7 OR (seq = 1 AND {_EVENT_NO} % 7 = 0)),
+        parents AS (SELECT tenant_id, segment, block, current_hash AS previous_hash, min(seq) AS parent_seq FROM links GROUP BY ALL),
+        judged AS (
+          SELECT tenant_id, segment, block, id, seq,
+            CASE WHEN previous_hash <> {_GENESIS} AND parent_seq IS NULL THEN 'orphan'
+                 WHEN count(*) OVER (PARTITION BY tenant_id, segment, block, previous_hash) > 1 THEN 'fork'
+                 WHEN previous_hash <> {_GENESIS} AND parent_seq + 1 <> seq THEN 'order' END AS fault
+          FROM links LEFT JOIN parents USING (tenant_id, segment, block, previous_hash))""",
+        "SELECT * FROM judged WHERE fault IS NOT NULL",
+    ),
+    "verify_seals": _sql(
+        f"""{_LEDGER},
+        sealed AS (
+          SELECT tenant_id, concat(segment, '/', CAST(block AS VARCHAR)) AS chain, count(*) AS n, arg_max(current_hash, seq) AS head
+          FROM ledger WHERE segment NOT LIKE '%-25' GROUP BY ALL),
+        now AS (
+          SELECT tenant_id, concat(segment, '/', CAST(block AS VARCHAR)) AS chain, count(*) AS n,
+            arg_max(CASE WHEN tenant_id = 'tenant_2' AND segment LIKE '%-20' THEN sha256(current_hash) ELSE current_hash END, seq) AS head
+          FROM ledger
+          WHERE segment NOT LIKE '%-15' AND NOT (tenant_id = 'tenant_1' AND segment LIKE '%-10')
+            AND NOT (tenant_id = 'tenant_0' AND segment LIKE '%-05' AND seq > 1)
+          GROUP BY ALL)""",
+        """SELECT * FROM (
+          SELECT tenant_id, chain, CASE WHEN s.n IS NULL THEN 'unsealed' WHEN w.n IS NULL THEN 'lost' WHEN w.n < s.n THEN 'cut'
+            WHEN w.n > s.n THEN 'grown' WHEN w.head <> s.head THEN 'changed' END AS fault
+          FROM sealed s FULL JOIN now w USING (tenant_id, chain))
+        WHERE fault IS NOT NULL""",
+    ),
+    "health_status": _sql(
+        f"{_DAMAGED}, {_CONTROL.split('gated AS')[0].strip().rstrip(',')}, verified AS ("
+        + _VERIFIED.format("intact", "ledger") + " UNION ALL " + _VERIFIED.format("damaged", "damaged") + ")",
+        """SELECT 'ok' AS status, (SELECT coalesce(arg_max(active, ts), false) FROM control) AS kill_switch,
+          CASE WHEN intact THEN 'VERIFIED' ELSE concat('BROKEN at row ', CAST(broken_at AS VARCHAR)) END AS ledger_integrity, ledger
+        FROM verified""",
     ),
     "ledger_counts": _sql(
         _ENTRIES,
@@ -421,12 +465,12 @@ ORACLES: dict[str, str] = {
     ),
     "load_report": _sql(
         _STATS,
-        """SELECT run, count(*) AS n, count(*) / (round(sum(latency_ms), 2) / 1000) AS req_per_s,
+        """SELECT run, count(*) AS n, count(*) / (date_diff('microsecond', min(ts), max(ts)) / 1e6) AS req_per_s,
           count(*) FILTER (status = 200) AS approved, count(*) FILTER (status = 403) AS blocked,
           count(*) FILTER (status NOT IN (200, 403, 503)) AS other,
           count(*) FILTER (status = 200) / count(*) * 100 AS approved_pct,
           count(*) FILTER (status = 403) / count(*) * 100 AS blocked_pct,
-          round(sum(latency_ms), 2) / count(*) AS mean_ms, max(latency_ms) AS max_ms,
+          CAST(sum(CAST(latency_ms AS DECIMAL(18, 6))) AS DOUBLE) / count(latency_ms) AS mean_ms, max(latency_ms) AS max_ms,
           max(latency_ms) FILTER (pos = floor(0.95 * n)) AS p95_ms, max(latency_ms) FILTER (pos = floor(0.99 * n)) AS p99_ms,
           median(latency_ms) AS median_ms
         FROM placed GROUP BY run""",
@@ -492,14 +536,13 @@ ORACLES: dict[str, str] = {
         _PROMPTS, f"SELECT DISTINCT concat('req-', CAST({_EVENT_NO} // 2 AS VARCHAR)) AS request_id FROM prompts"
     ),
     "stream_health": _sql(
-        f"""{_DECISIONS},
-        windows AS (SELECT *, date_trunc('hour', ts) AS ws FROM decisions),
-        horizon AS (SELECT max(ts) - INTERVAL 1 MINUTE AS mark FROM decisions)""",
+        f"{_ENTRIES}, windows AS (SELECT *, date_trunc('hour', ts) AS ws FROM entries)",
         """SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(ws + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end,
-          tenant_id, count(*) AS total, count(*) FILTER (action = 'BLOCKED') AS blocked,
-          count(*) FILTER (action = 'PENDING_HITL') AS hitl,
-          count(*) FILTER (regexp_matches(review_reason, '(?i)bias|fairness')) AS fairness_issues
-        FROM windows WHERE ws + INTERVAL 1 HOUR <= (SELECT mark FROM horizon) GROUP BY ws, tenant_id""",
+          tenant_id, count(*) AS total, count(*) FILTER (action_taken <> 'BLOCKED') AS approved,
+          count(*) FILTER (action_taken = 'BLOCKED') AS blocked, count(*) FILTER (action_taken = 'PENDING_HITL') AS hitl,
+          count(*) FILTER (review_status = 'PENDING_REVIEW') AS pending,
+          count(*) FILTER (regexp_matches(rule_violated, '(?i)bias|fairness')) AS fairness_issues
+        FROM windows GROUP BY ws, tenant_id""",
     ),
     "stream_kill_switch": _sql(_ENTRIES, "SELECT request_id, tenant_id, action_taken, review_status FROM entries"),
 }

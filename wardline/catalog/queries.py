@@ -6,13 +6,14 @@ Lists are joined to text in the results, so that they compare as plain values.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalog import views
 from wardline.operators import decide as dec
-from wardline.operators import guards, ledger, lookups, outcomes, reports, retrieval
+from wardline.operators import audit, guards, identity, ledger, lookups, outcomes, reports, retrieval
 from wardline.functions.text import contained_terms, token_count
 from wardline.plans.gateway import gate, gateway_ledger
 from wardline.session import stage, work_folder
@@ -184,6 +185,28 @@ def control_state(spark, sf):
     return control.latest_state(log, ["user_id"])
 
 
+@query
+def control_state_files(spark, sf):
+    """State files made from the control log, read by the reader: the switch on, off, broken and missing."""
+    path = work_folder(spark, "state")
+    log = views.view(spark, sf, views.CONTROL_LOG_SQL)
+    texts = {
+        "on": log.filter("active").select(F.to_json(F.struct(F.col("active").alias("kill_switch_active"), "ts"))),
+        "off": log.filter("NOT active").select(F.to_json(F.struct(F.col("active").alias("kill_switch_active"), "ts"))),
+        "broken": log.select(F.concat(F.lit("{ not json "), F.col("ts").cast("string"))),
+    }
+    for name, rows in texts.items():
+        rows.coalesce(1).write.text(f"{path}/{name}")
+    states = [control.control_state(spark, f"{path}/{name}").withColumn("file", F.lit(name)) for name in (*texts, "missing")]
+    return reduce(DataFrame.unionByName, states)
+
+
+@query
+def assign_request_ids(spark, sf):
+    rows = views.view(spark, sf, views.PROMPTS_SQL).withColumn("request_id", F.when(F.col("event_id") % 5 != 0, F.col("request_id")))
+    return identity.assign_request_ids(rows, ["event_id", "tenant_id"]).select("event_id", "request_id")
+
+
 # Guards
 
 
@@ -400,7 +423,30 @@ def duplicate_requests(spark, sf):
 
 @query
 def chain_links(spark, sf):
-    return ledger.chain_links(damaged_ledger(spark, sf))
+    """Over the damaged ledger with copies of some rows, which fork chains or start them a second time."""
+    damaged, n = damaged_ledger(spark, sf), event_no()
+    copies = damaged.filter((n % 983 == 7) | ((F.col("seq") == 1) & (n % 7 == 0)))
+    return ledger.chain_links(damaged.unionByName(copies.withColumn("id", F.col("id") + 1_000_000_000)))
+
+
+@query
+def verify_seals(spark, sf):
+    """Seals of all days but the 25th, against a ledger with cut tails, a lost chain, a lost day and altered hashes."""
+    whole, segment, tenant = sealed_ledger(spark, sf), F.col("segment"), F.col("tenant_id")
+    seals = stage(ledger.seal_segments(whole.filter(~segment.endswith("-25"))), "seals")
+    cut = (tenant == "tenant_0") & segment.endswith("-05") & (F.col("seq") > 1)
+    lost = segment.endswith("-15") | ((tenant == "tenant_1") & segment.endswith("-10"))
+    altered = (tenant == "tenant_2") & segment.endswith("-20")
+    now = whole.filter(~(cut | lost)).withColumn("current_hash", F.when(altered, F.sha2("current_hash", 256)).otherwise(F.col("current_hash")))
+    return audit.verify_seals(now, seals)
+
+
+@query
+def health_status(spark, sf):
+    active = control.is_active(control.latest_state(views.view(spark, sf, views.CONTROL_LOG_SQL)))
+    both = {"intact": sealed_ledger(spark, sf), "damaged": damaged_ledger(spark, sf)}
+    intact, damaged = (audit.health_status(rows, active).withColumn("ledger", F.lit(name)) for name, rows in both.items())
+    return intact.unionByName(damaged)
 
 
 # Aggregations
@@ -440,10 +486,7 @@ def hash_uniqueness(spark, sf):
 
 @query
 def load_report(spark, sf):
-    report = reports.load_report(views.view(spark, sf, views.SAMPLES_SQL))
-    # Latencies have two decimals, so this is their sum in whatever order they were added.
-    total = F.round(F.col("mean_ms") * F.col("n"), 2)
-    return report.withColumns({"mean_ms": total / F.col("n"), "req_per_s": F.col("n") / (total / 1000)})
+    return reports.load_report(views.view(spark, sf, views.SAMPLES_SQL))
 
 
 def battery_cases(spark, sf):
@@ -612,10 +655,15 @@ def stream_dedup(spark, sf):
 
 @query
 def stream_health(spark, sf):
+    """The end of the stream is marked after the first run, so that a second one puts out the last windows."""
+    end, path = work_folder(spark, "end"), work_folder(spark, "stream")
     stream = jobs.stream_decide(views.prompts_stream(spark, sf), views.policies(spark), views.lexicon(spark))
-    out = jobs.stream_health(stream, width="1 hour", delay="1 minute")
+    out = jobs.stream_health(jobs.with_end(stream, end), width="1 hour", delay="1 minute")
+    jobs.run_available(out, f"{path}-progress", path)
+    jobs.mark_end(spark, end)
+    jobs.run_available(out, f"{path}-progress", path)
     stamps = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("window_start", "window_end")}
-    return _stream_to_table(spark, out, out.schema).withColumns(stamps)
+    return spark.read.schema(out.schema).parquet(path).withColumns(stamps)
 
 
 @query

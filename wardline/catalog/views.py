@@ -62,7 +62,7 @@ SELECT concat('ghost-', CAST(event_id AS STRING)), 'APPROVED', ts FROM events WH
 SAMPLES_SQL = """
 SELECT CAST(CAST(ts AS DATE) AS STRING) AS run,
        CASE event_type WHEN 'signup' THEN 403 WHEN 'error' THEN 500 WHEN 'purchase' THEN 503 ELSE 200 END AS status,
-       value AS latency_ms
+       value AS latency_ms, ts
 FROM events
 """
 

@@ -69,6 +69,7 @@ def ledger_recent(ledger: DataFrame, n: int = RECENT_ROWS) -> DataFrame:
 def review_items(ledger: DataFrame) -> DataFrame:
     """Rows as items of the review queue."""
     is_hitl = F.col("action_taken") == "PENDING_HITL"
+    # The labels of the queue.
     return ledger.select(
         "id",
         "request_id",
@@ -159,24 +160,28 @@ def values_at_ranks(samples: DataFrame, run: list[str], value: str, ranks: DataF
 def load_report(samples: DataFrame, run: str = "run", seconds: Column | None = None) -> DataFrame:
     """Statuses and latencies per load run.
 
-    ``samples`` has the run, ``status`` and ``latency_ms``. The 95th and 99th percentiles are
+    ``samples`` has the run, ``status``, ``latency_ms`` and mostly ``ts``. The 95th and 99th percentiles are
     the values at position ``floor(q * n)`` of the sorted list, counted from 0; the median is
-    the middle value or the mean of the two. ``seconds`` is the aggregate for a run's duration.
+    the middle value or the mean of the two. ``seconds`` is the aggregate for a run's duration, by
+    default from its first ``ts`` to its last (unknown without that column). Latencies are summed as decimals: the mean does not
+    depend on their order.
     """
     status = F.col("status")
     approved, blocked = F.count_if(status == 200), F.count_if(status == 403)
     other = F.count_if(~status.isin(200, 403, 503))
     n = F.count("*")
-    duration = F.sum("latency_ms") / 1000 if seconds is None else seconds
+    if seconds is None:
+        seconds = F.expr("timestampdiff(MICROSECOND, min(ts), max(ts)) / 1e6D") if "ts" in samples.columns else F.lit(None).cast("double")
+    latency = F.sum(F.col("latency_ms").cast("decimal(18, 6)")).cast("double")
     base = samples.groupBy(run).agg(
         n.alias("n"),
-        (n / F.nullif(duration, F.lit(0.0))).alias("req_per_s"),
+        (n / F.nullif(seconds, F.lit(0.0))).alias("req_per_s"),
         approved.alias("approved"),
         blocked.alias("blocked"),
         other.alias("other"),
         (approved / n * 100).alias("approved_pct"),
         (blocked / n * 100).alias("blocked_pct"),
-        F.avg("latency_ms").alias("mean_ms"),
+        (latency / F.count("latency_ms")).alias("mean_ms"),
         F.max("latency_ms").alias("max_ms"),
         F.count("latency_ms").alias("__n"),
     )

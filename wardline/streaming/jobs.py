@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.pii import PII_PATTERNS
 from wardline.operators.decide import decide, ledger_entries
-from wardline.operators.ledger import BLOCK_ROWS, duplicate_requests, seal_staged
+from wardline.operators.ledger import BLOCK_ROWS, drop_duplicates, duplicate_requests, seal_staged
 from wardline.session import stage
 from wardline.sources.control import control_state
 from wardline.sources.ledger_table import DuplicateRequestError, ledger_scan
@@ -37,16 +37,22 @@ def stream_decide(requests: DataFrame, policies: DataFrame, lexicon: DataFrame,
 
 
 def stream_health(decisions: DataFrame, width: str = "5 seconds", delay: str = "1 minute") -> DataFrame:
-    """Counts per time window and tenant, put out once a window can no longer change."""
+    """Counts per time window and tenant, by the ledger's rules, put out once a window can no longer change.
+
+    The last windows of a stream that ends stay open: see ``with_end``.
+    """
     action = F.col("action")
-    flagged = F.coalesce(F.col("review_reason").rlike("(?i)bias|fairness"), F.lit(False))
+    rule = F.when(F.col("allowed"), F.col("review_reason")).otherwise(F.col("reason"))
+    flagged = F.coalesce(rule.rlike("(?i)bias|fairness"), F.lit(False))
     return (
         decisions.withWatermark("ts", delay)
         .groupBy(F.window("ts", width), "tenant_id")
         .agg(
             F.count("*").alias("total"),
+            F.count_if(action != "BLOCKED").alias("approved"),
             F.count_if(action == "BLOCKED").alias("blocked"),
             F.count_if(action == "PENDING_HITL").alias("hitl"),
+            F.count_if("requires_review").alias("pending"),
             F.count_if(flagged).alias("fairness_issues"),
         )
         .select(
@@ -54,29 +60,63 @@ def stream_health(decisions: DataFrame, width: str = "5 seconds", delay: str = "
             F.col("window.end").alias("window_end"),
             "tenant_id",
             "total",
+            "approved",
             "blocked",
             "hitl",
+            "pending",
             "fairness_issues",
         )
     )
 
 
+def with_end(rows: DataFrame, folder: str) -> DataFrame:
+    """The stream ``rows`` with room for a mark of its end in ``folder``, which ``mark_end`` sets.
+
+    The mark is a row far ahead of all others: it closes their windows, and its own is never put out.
+    """
+    spark = rows.sparkSession
+    spark.range(0).select(F.lit(None).cast("timestamp").alias("ts")).write.mode("ignore").parquet(folder)
+    return rows.unionByName(spark.readStream.schema("ts timestamp").parquet(folder), allowMissingColumns=True)
+
+
+def mark_end(spark, folder: str) -> None:
+    """Mark the end of a stream that has been worked off; a further run of it closes its windows."""
+    spark.range(1).select(F.lit("9999-01-01").cast("timestamp").alias("ts")).write.mode("append").parquet(folder)
+
+
 def seal_batch(
-    entries: DataFrame, batch_id: int, path: str, block_rows: int | None = BLOCK_ROWS, check_ids: bool = True
+    entries: DataFrame,
+    batch_id: int,
+    path: str,
+    block_rows: int | None = BLOCK_ROWS,
+    check_ids: bool = True,
+    on_duplicate: str = "raise",
 ) -> None:
     """Seal one micro-batch into its own segment; a replay of the batch replaces it.
 
     ``check_ids`` looks the request ids up in the rest of the ledger (not in the segment itself),
     which reads that column of all of it: on a long ledger with frequent batches, deduplicate the
-    stream instead and check from time to time.
+    stream instead and check from time to time. A repeated id is an error, or its first entry is
+    sealed if the ledger does not have the id yet: with ``on_duplicate`` ``skip`` nothing else is
+    kept, with ``quarantine`` all entries of repeated ids are also written, by segment, to
+    ``<path>-quarantine``.
     """
+    if on_duplicate not in ("raise", "skip", "quarantine"):
+        raise ValueError(f"on_duplicate: {on_duplicate}")
     spark = entries.sparkSession
     segment = SEGMENT % batch_id
     entries = stage(entries, "batch")
     others = ledger_scan(spark, path).filter(F.col("segment") != segment) if check_ids else None
-    repeated = duplicate_requests(entries, others).select("request_id").take(5)
-    if repeated:
+    duplicates = duplicate_requests(entries, others)
+    repeated = duplicates.select("request_id").take(5)
+    if repeated and on_duplicate == "raise":
         raise DuplicateRequestError(", ".join(row[0] for row in repeated))
+    if on_duplicate == "quarantine":
+        # Written without repeats as well, so that a replay replaces what it left before.
+        held = entries.join(duplicates.select("request_id"), "request_id", "left_semi")
+        held.write.mode("overwrite").parquet(f"{path}-quarantine/segment={segment}")
+    if repeated:
+        entries = stage(drop_duplicates(entries, others), "batch")
     sealed = seal_staged(entries, F.lit(segment), block_rows).withColumn(
         "id", F.col("id") + F.lit(batch_id * BATCH_ID_SPAN)
     )
@@ -88,16 +128,28 @@ def seal_batch(
     )
 
 
-def ledger_sink(path: str, block_rows: int | None = BLOCK_ROWS, check_ids: bool = True):
-    """A ``foreachBatch`` function that seals decisions into the ledger exactly once."""
+def ledger_sink(path: str, block_rows: int | None = BLOCK_ROWS, check_ids: bool = True, on_duplicate: str = "quarantine"):
+    """A ``foreachBatch`` function that seals decisions into the ledger exactly once.
+
+    A repeated id does not stop the stream: see ``seal_batch``.
+    """
 
     def write(decisions: DataFrame, batch_id: int) -> None:
-        seal_batch(ledger_entries(decisions), batch_id, path, block_rows, check_ids)
+        seal_batch(ledger_entries(decisions), batch_id, path, block_rows, check_ids, on_duplicate)
 
     return write
 
 
-def gateway_sink(path: str, state_path: str, policies: DataFrame, lexicon: DataFrame, block_rows: int | None = BLOCK_ROWS):
+def gateway_sink(
+    path: str,
+    state_path: str,
+    policies: DataFrame,
+    lexicon: DataFrame,
+    block_rows: int | None = BLOCK_ROWS,
+    patterns=PII_PATTERNS,
+    default_tenant: str | None = None,
+    on_duplicate: str = "quarantine",
+):
     """A ``foreachBatch`` function for raw requests that reads the kill switch once per batch.
 
     While the switch is on, the batch leaves no trace in the ledger.
@@ -106,7 +158,8 @@ def gateway_sink(path: str, state_path: str, policies: DataFrame, lexicon: DataF
     def write(requests: DataFrame, batch_id: int) -> None:
         if control_state(requests.sparkSession, state_path).first()[0]:
             return
-        seal_batch(ledger_entries(decide(requests, policies, lexicon)), batch_id, path, block_rows)
+        decided = decide(requests, policies, lexicon, patterns, default_tenant)
+        seal_batch(ledger_entries(decided), batch_id, path, block_rows, on_duplicate=on_duplicate)
 
     return write
 
