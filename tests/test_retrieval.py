@@ -47,12 +47,42 @@ def test_exact(spark, items, partitions, k):
 
 
 def test_many_questions_meet_the_corpus_in_blocks(spark, items, monkeypatch):
-    monkeypatch.setattr(R, "MAX_SENT_QUERIES", 10)
-    monkeypatch.setattr(R, "CORPUS_BLOCK_ROWS", 50)
+    monkeypatch.setattr(R, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(R, "CORPUS_BLOCK", 50)
     corpus = spark.createDataFrame(items, "item_id long, vector array<double>")
     questions = items[:45]
-    got = ranked(R.cosine_topk(spark.createDataFrame(questions, "query_id long, vector array<double>"), corpus, 3))
-    assert got == brute(questions, items, 3)
+    asked = spark.createDataFrame(questions, "query_id long, vector array<double>")
+    assert ranked(R.cosine_topk(asked, corpus, 3)) == brute(questions, items, 3)
+    # Also where neither side is broadcast.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert ranked(R.cosine_topk(asked, corpus, 3)) == brute(questions, items, 3)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_ties_leave_each_block_cut_to_k(spark):
+    same = [(i, [1.0, 2.0]) for i in range(5_000)]
+    corpus = spark.createDataFrame(same, "item_id long, vector array<double>").repartition(3)
+    question = spark.createDataFrame([(1, [2.0, 4.0])], "query_id long, vector array<double>")
+    assert ranked(R.cosine_topk(question, corpus, 2)) == {1: [0, 1]}
+    found = [b for part in R._best_of_blocks(2, 6)(iter([_pair(question, same)])) for b in part["item_id"]]
+    assert sorted(found) == [0, 1]
+
+
+def _pair(question, items):
+    import pandas as pd
+
+    unit = lambda rows: (m := np.array(rows)) / np.linalg.norm(m, axis=1, keepdims=True)
+    return pd.DataFrame(
+        {
+            "query_ids": [[1]],
+            "item_ids": [[i for i, _ in items]],
+            "dim": [2],
+            "q": [unit([[2.0, 4.0]]).tobytes()],
+            "c": [unit([v for _, v in items]).tobytes()],
+        }
+    )
 
 
 def test_no_questions(spark, items):
@@ -72,14 +102,15 @@ def test_buckets_find_most_neighbours_and_rank_them_exactly(spark):
     assert same.filter("abs(n.similarity - e.similarity) > 1e-6").count() == 0
 
 
-def test_buckets_for_many_questions(spark, items, monkeypatch):
+def test_buckets_against_the_pairs_that_share_one(spark, items):
     corpus = spark.createDataFrame(items, "item_id long, vector array<double>")
     questions = spark.createDataFrame(items[:45], "query_id long, vector array<double>")
     model = R.fit_buckets(corpus)
-    few = R.ann_topk(model, R.bucket_index(model, corpus), questions, 3).collect()
-    monkeypatch.setattr(R, "MAX_SENT_QUERIES", 10)
-    many = R.ann_topk(model, R.bucket_index(model, corpus), questions, 3).collect()
-    assert sorted(map(tuple, few)) == sorted(map(tuple, many)) and len(few) > 100
+    buckets = {r["item_id"]: r["buckets"] for r in R.with_buckets(model, corpus).collect()}
+    got = ranked(R.ann_topk(model, R.bucket_index(model, corpus), questions, 3))
+    for i, q in items[:45]:
+        shared = [(n, v) for n, v in items if n in buckets and any(a == b for a, b in zip(buckets[i], buckets[n], strict=True))]
+        assert got[i] == brute([(i, q)], shared, 3)[i]
 
 
 def test_embedding_has_unit_length_and_finds_its_own_text(spark):

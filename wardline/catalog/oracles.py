@@ -382,8 +382,7 @@ ORACLES: dict[str, str] = {
     "forward_preview": _sql(
         _DECISIONS,
         """SELECT request_id,
-          concat('[MOCK LLM] Processed input: ''', substr(anonymized_prompt, 1, 80), '...'' — Response: Safe, verified, compliant.') AS processed,
-          concat('[MOCK LLM] Governance-verified response for: ''', substr(anonymized_prompt, 1, 60), '...''') AS verified
+          substr(anonymized_prompt, 1, 80) AS preview_80, substr(anonymized_prompt, 1, 60) AS preview_60
         FROM decisions WHERE allowed""",
     ),
     "bind_policy": _sql(

@@ -336,11 +336,10 @@ def gated_prompts(spark, sf):
 @query
 def gateway_response(spark, sf):
     gated = gated_prompts(spark, sf)
-    open_requests, unavailable = gated.filter(~F.col("kill_switch_active")), gated.filter("kill_switch_active")
-    valid, rejected = guards.validate(open_requests)
-    decided = dec.decide(valid, views.policies(spark), views.lexicon(spark))
+    turned_away = F.col("kill_switch_active") | F.col("prompt").isNull()
+    decided = dec.decide(gated.filter(~turned_away), views.policies(spark), views.lexicon(spark))
     checked = guards.verify_output(views.responses(spark, sf))
-    return outcomes.gateway_response(decided, unavailable, rejected, checked).withColumns(joined("pii_redacted"))
+    return outcomes.gateway_response(decided, gated.filter(turned_away), checked).withColumns(joined("pii_redacted"))
 
 
 @query

@@ -9,19 +9,23 @@ from pyspark.sql import functions as F
 SERVICE_OFF = "Service Unavailable: Global kill switch is active. Contact your compliance officer."
 
 
-def gateway_response(
-    decisions: DataFrame, unavailable: DataFrame, rejected: DataFrame, checked_responses: DataFrame | None = None
-) -> DataFrame:
+def gateway_response(decisions: DataFrame, turned_away: DataFrame, checked_responses: DataFrame | None = None) -> DataFrame:
     """One row per incoming request with its status and what is returned.
 
-    503 for the ``unavailable`` requests (switch on), 422 for the ``rejected`` ones (no prompt),
-    403 if stopped before or after the model, else 200 with the masked prompt.
-    ``checked_responses`` has ``request_id``, ``output_allowed`` and ``output_reason``; only the
-    leaking ones join, and the turned-away requests are appended without a join.
+    ``turned_away`` has the requests that were not decided on, with ``kill_switch_active``: 503 while
+    the switch was on, else 422 (no prompt). They are neither looked up by tenant nor joined, as neither
+    answer depends on it. Decided ones get 403 if stopped before or after the model, else 200 with the
+    masked prompt. ``checked_responses`` has ``request_id``, ``output_allowed`` and ``output_reason``;
+    only the leaking ones join, and a request without an id has no response.
     """
     if checked_responses is not None:
-        leaking = checked_responses.filter(~F.col("output_allowed")).select("request_id", "output_reason")
-        rows = decisions.join(leaking, "request_id", "left")
+        leaking = checked_responses.filter(~F.col("output_allowed") & F.col("request_id").isNotNull()).select(
+            F.col("request_id").alias("__id"), F.lit(0).cast("long").alias("__spread"), "output_reason"
+        )
+        # Requests without an id are spread over tasks instead of meeting in one.
+        spread = F.when(F.col("request_id").isNull(), F.xxhash64("tenant_id", "anonymized_prompt", "ts")).otherwise(0)
+        same = [F.coalesce("request_id", F.lit("")) == F.col("__id"), F.col("__at") == F.col("__spread")]
+        rows = decisions.withColumn("__at", spread).join(leaking, same, "left")
     else:
         rows = decisions.withColumn("output_reason", F.lit(None).cast("string"))
     ok = F.col("allowed") & F.col("output_reason").isNull()
@@ -36,15 +40,11 @@ def gateway_response(
         F.when(ok, F.col("explanation")).alias("explanation"),
         F.when(~F.col("allowed"), F.col("explanation")).otherwise(F.col("output_reason")).alias("detail"),
     )
-
-    def turned_away(requests: DataFrame, status: int, detail: str | None) -> DataFrame:
-        return requests.select(
-            "request_id", "tenant_id", F.lit(status).alias("http_status"), F.lit(detail).cast("string").alias("detail")
-        )
-
-    return answered.unionByName(turned_away(unavailable, 503, SERVICE_OFF), allowMissingColumns=True).unionByName(
-        turned_away(rejected, 422, None), allowMissingColumns=True
+    off = F.col("kill_switch_active")
+    undecided = turned_away.select(
+        "request_id", "tenant_id", F.when(off, 503).otherwise(422).alias("http_status"), F.when(off, SERVICE_OFF).alias("detail")
     )
+    return answered.unionByName(undecided, allowMissingColumns=True)
 
 
 def library_result(decisions: DataFrame) -> DataFrame:
@@ -68,12 +68,6 @@ def library_result(decisions: DataFrame) -> DataFrame:
 
 
 def forward_preview(decisions: DataFrame) -> DataFrame:
-    """The messages that quote the start of a forwarded prompt (80 and 60 characters)."""
+    """The starts of a forwarded prompt that messages quote (80 and 60 characters)."""
     head = lambda n: F.substring("anonymized_prompt", 1, n)
-    return decisions.filter("allowed").select(
-        "request_id",
-        F.concat(
-            F.lit("[MOCK LLM] Processed input: '"), head(80), F.lit("...' — Response: Safe, verified, compliant.")
-        ).alias("processed"),
-        F.concat(F.lit("[MOCK LLM] Governance-verified response for: '"), head(60), F.lit("...'")).alias("verified"),
-    )
+    return decisions.filter("allowed").select("request_id", head(80).alias("preview_80"), head(60).alias("preview_60"))

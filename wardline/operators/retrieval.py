@@ -2,148 +2,111 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.text import stripped
-from wardline.functions.vectors import norm
-from wardline.session import stage
+from wardline.functions.vectors import dot, norm
 
 TOP_K = 2
-# Up to this many queries are sent to the corpus; more meet it in blocks.
-MAX_SENT_QUERIES = 1_000
-CORPUS_BLOCK_ROWS = 100_000
-# Similarities closer than this may round alike, and then the id decides.
-RANK_MARGIN = 2e-6
+# Vectors in one block of queries and in one block of the corpus: what one product holds in memory.
+QUERY_BLOCK, CORPUS_BLOCK = 256, 4_096
+# Keys over which blocks of the corpus are dealt out where they are shuffled; adaptive execution splits
+# what is still large. Each block of queries goes to all of them.
+SLOTS = 16
 
 # The format of an answer.
 NOTHING_FOUND = "No relevant regulatory guidance found in the index."
 PASSAGE_BREAK = "\n\n---\n\n"
 
 
-def _best_of_partition(query_ids: list, query_matrix: np.ndarray, k: int, query_buckets: np.ndarray | None = None):
-    """A function that keeps the ``k`` nearest vectors per query while it reads a partition.
+def _blocks(vectors: DataFrame, key: str, size: int, slot: str) -> DataFrame:
+    """``slot``, the ids ``<key>s`` and the ``matrix`` (unit rows) of blocks of at most ``size`` vectors.
 
-    Ties at the border are all kept, so that the final ranking settles them by id. With
-    ``query_buckets``, a row counts for a query only from the first table in which they share
-    a bucket, so that a pair found in several tables counts once.
+    Blocks are cut where the vectors lie, without a shuffle. Null and zero vectors have no direction
+    and are left out. ``slot`` is a column expression over the block's ``number``.
     """
-    norms = np.linalg.norm(query_matrix, axis=1, keepdims=True)
-    unit_queries = np.divide(query_matrix, norms, out=np.zeros_like(query_matrix), where=norms > 0)
-
-    def run(batches):
-        best = None
+    schema = f"number int, {key}s array<{vectors.schema[key].dataType.simpleString()}>, dim int, matrix binary"
+
+    def packed(ids: list, rows: list[np.ndarray], number: int) -> Iterator[pd.DataFrame]:
+        # Vectors of different lengths never meet.
+        lengths = np.array([len(r) for r in rows])
+        for dim in np.unique(lengths):
+            at = np.flatnonzero(lengths == dim)
+            matrix = np.stack([rows[i] for i in at])
+            length = np.linalg.norm(matrix, axis=1)
+            at, matrix = at[length > 0], matrix[length > 0] / length[length > 0][:, None]
+            if len(at):
+                yield pd.DataFrame({"number": [number], f"{key}s": [[ids[i] for i in at]], "dim": [dim], "matrix": [matrix.tobytes()]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, rows, number = [], [], 0
         for batch in batches:
-            if batch.empty:
-                continue
-            vectors = np.stack([np.asarray(v, dtype=np.float64) for v in batch["vector"]])
-            lengths = np.linalg.norm(vectors, axis=1)
-            similarity = unit_queries @ (vectors / np.where(lengths > 0, lengths, 1.0)[:, None]).T
-            usable = np.broadcast_to((lengths > 0)[None, :] & (norms > 0), similarity.shape)
-            if query_buckets is not None:
-                buckets = np.stack(batch["buckets"].to_list())
-                shared = buckets[None, :, :] == query_buckets[:, None, :]
-                usable = usable & shared.any(axis=2) & (shared.argmax(axis=2) == batch["table"].to_numpy()[None, :])
-            similarity = np.where(usable, similarity, -np.inf)
-            q, i = _at_least_kth(similarity, k)
-            found = pd.DataFrame({"q": q, "item_id": batch["item_id"].to_numpy()[i], "similarity": similarity[q, i]})
-            best = found if best is None else pd.concat([best, found], ignore_index=True)
-            kth = best.groupby("q")["similarity"].transform(lambda s: s.nlargest(k).iloc[-1])
-            best = best[best["similarity"] >= kth - RANK_MARGIN]
-        if best is not None:
-            yield pd.DataFrame(
-                {
-                    "query_id": [query_ids[q] for q in best["q"]],
-                    "item_id": best["item_id"].to_numpy(),
-                    "similarity": best["similarity"].to_numpy(),
-                }
-            )
-
-    return run
-
-
-def _at_least_kth(similarity: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the finite values that reach the ``k``-th largest of their row.
-
-    Values that round alike may be ranked by id later, hence the margin.
-    """
-    usable = np.isfinite(similarity)
-    if similarity.shape[1] <= k:
-        return np.nonzero(usable)
-    kth = -np.partition(-similarity, k - 1, axis=1)[:, k - 1 : k]
-    return np.nonzero(usable & (similarity >= kth - RANK_MARGIN))
+            for i, v in zip(batch[key].tolist(), batch["vector"], strict=True):
+                ids.append(i)
+                rows.append(np.asarray(v, np.float64))
+                if len(ids) == size:
+                    yield from packed(ids, rows, number)
+                    ids, rows, number = [], [], number + 1
+        if ids:
+            yield from packed(ids, rows, number)
 
+    some = vectors.filter("vector IS NOT NULL").select(key, "vector")
+    return some.mapInPandas(run, schema).withColumn("slot", F.expr(slot)).drop("number")
 
-def _found_schema(queries: DataFrame, corpus: DataFrame) -> str:
-    return (
-        f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
-        f"item_id {corpus.schema['item_id'].dataType.simpleString()}, similarity double"
-    )
 
+def _best_of_blocks(k: int, digits: int):
+    """A function that keeps exactly the ``k`` nearest of a block for each query, in the final order."""
+    scale = 10.0**digits
 
-def _arrays(query_ids, vectors, buckets):
-    matrix = np.array([np.asarray(v) for v in vectors], dtype=np.float64)
-    return list(query_ids), matrix, None if buckets is None else np.array([np.asarray(b) for b in buckets])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for queries, items, dim, q, c in zip(batch["query_ids"], batch["item_ids"], batch["dim"], batch["q"], batch["c"], strict=True):
+                left, right = (np.frombuffer(m, np.float64).reshape(-1, dim) for m in (q, c))
+                items = np.asarray(items)
+                # Columns stand in the order of their ids, so that of equal similarities the first one wins.
+                order = np.argsort(items, kind="stable")
+                near = (left @ right.T)[:, order] * scale
+                rounded = (np.sign(near) * np.floor(np.abs(near) + 0.5)).astype(np.int64)
+                keys = rounded * len(items) - np.arange(len(items))
+                n = min(k, len(items))
+                best = np.argpartition(-keys, n - 1, axis=1)[:, :n]
+                yield pd.DataFrame(
+                    {
+                        "query_id": np.repeat(np.asarray(queries), n),
+                        "item_id": items[order[best]].ravel(),
+                        "similarity": np.take_along_axis(rounded, best, axis=1).ravel() / scale,
+                    }
+                )
 
+    return run
 
-def _search(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` and ties per query of every part of the corpus.
 
-    Few queries go to all partitions of the corpus, which stays where it is. Many are cut into
-    blocks, as is the corpus, and every pair of blocks meets in one bounded group.
-    """
-    schema = _found_schema(queries, corpus)
-    bucketed = "buckets" in queries.columns
-    rows = queries.limit(MAX_SENT_QUERIES + 1).collect()
-    if not rows:
-        return corpus.sparkSession.createDataFrame([], schema)
-    if len(rows) <= MAX_SENT_QUERIES:
-        buckets = [row["buckets"] for row in rows] if bucketed else None
-        ids, matrix, buckets = _arrays([r["query_id"] for r in rows], [r["vector"] for r in rows], buckets)
-        if bucketed:
-            shared = queries.select(F.posexplode("buckets").alias("table", "bucket")).distinct()
-            corpus = corpus.join(F.broadcast(shared), ["table", "bucket"], "left_semi")
-        return corpus.mapInPandas(_best_of_partition(ids, matrix, k, buckets), schema)
-
-    queries = stage(queries, "queries")
-    query_blocks = -(-queries.count() // (MAX_SENT_QUERIES // 2))
-    corpus_blocks = -(-corpus.count() // CORPUS_BLOCK_ROWS)
-    in_block = lambda df, key, n: df.withColumn(f"{key}_block", F.pmod(F.xxhash64(f"{key}_id"), F.lit(n)))
-    to_all = lambda df, key, n: df.withColumn(f"{key}_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    left = to_all(in_block(queries, "query", query_blocks), "item", corpus_blocks)
-    right = to_all(in_block(corpus, "item", corpus_blocks), "query", query_blocks)
-    pair = ["query_block", "item_block"]
-
-    def best(some_queries: pd.DataFrame, some_items: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(some_queries) and len(some_items):
-            buckets = some_queries["buckets"] if bucketed else None
-            ids, matrix, buckets = _arrays(some_queries["query_id"], some_queries["vector"], buckets)
-            found = list(_best_of_partition(ids, matrix, k, buckets)([some_items]))
-        return found[0] if found else pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
-
-    return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(best, schema)
-
-
-def _rank(found: DataFrame, k: int, digits: int) -> DataFrame:
-    rounded = found.withColumn("similarity", F.round("similarity", digits))
+def _rank(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
-    return rounded.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, digits: int = 6) -> DataFrame:
     """The exact ``k`` nearest corpus vectors of every query, ranked; ties go to the lower id.
 
     ``queries`` has ``query_id, vector``, ``corpus`` has ``item_id, vector``; null and zero
-    vectors have no direction and take no part. The queries travel, the corpus stays: each
-    partition keeps its best ``k`` per query and only those are shuffled. Similarities are
-    rounded before they are ranked, as sums of products differ in the last bits between engines.
+    vectors have no direction and take no part. Both are cut into blocks; every block of queries
+    goes to every slot of corpus blocks, by broadcast where Spark finds the queries small, so that the
+    corpus stays where it is, else by a shuffle on the slot. A pair of blocks leaves at most ``k`` rows
+    per query, and ranking cuts them again before it shuffles. Similarities are rounded before they
+    are ranked, as sums of products differ in the last bits between engines.
     """
-    queries = queries.filter("vector IS NOT NULL").select("query_id", "vector")
-    corpus = corpus.filter("vector IS NOT NULL").select("item_id", "vector")
-    return _rank(_search(queries, corpus, k), k, digits)
+    item_type = corpus.schema["item_id"].dataType.simpleString()
+    query_type = queries.schema["query_id"].dataType.simpleString()
+    left = _blocks(queries, "query_id", QUERY_BLOCK, f"explode(sequence(0, {SLOTS - 1}))").withColumnRenamed("matrix", "q")
+    right = _blocks(corpus, "item_id", CORPUS_BLOCK, f"pmod(xxhash64(item_ids), {SLOTS})").withColumnRenamed("matrix", "c")
+    pairs = right.join(left, ["slot", "dim"]).select("query_ids", "item_ids", "dim", "q", "c")
+    return _rank(pairs.mapInPandas(_best_of_blocks(k, digits), f"query_id {query_type}, item_id {item_type}, similarity double"), k)
 
 
 def mean_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -219,11 +182,17 @@ def bucket_index(model, corpus: DataFrame) -> DataFrame:
 def ann_topk(model, index: DataFrame, queries: DataFrame, k: int = TOP_K, digits: int = 6) -> DataFrame:
     """Approximate ``k`` nearest: only vectors that share a bucket with the query are compared.
 
-    The index is cut to the buckets the queries fall into; each partition keeps its best ``k``
-    per query, so a crowded bucket costs time where it is read and never a larger shuffle.
+    Queries and index meet by table and bucket, by broadcast or by a shuffle whose crowded buckets
+    adaptive execution splits. A pair counts in the first table alone in which it shares a bucket, so
+    that it is compared once; the comparison is exact, and each task cuts to ``k`` before ranking.
     """
-    queries = with_buckets(model, queries.select("query_id", "vector"))
-    return _rank(_search(queries, index, k), k, digits)
+    asked = with_buckets(model, queries.select("query_id", "vector")).select(
+        "query_id", F.col("vector").alias("q"), F.col("buckets").alias("own"), F.posexplode("buckets").alias("table", "bucket")
+    )
+    first = F.array_position(F.zip_with("own", "buckets", lambda a, b: a == b), F.lit(True)) - 1
+    pairs = index.join(asked, ["table", "bucket"]).where(first == F.col("table"))
+    similarity = dot(F.col("q"), F.col("vector")) / (norm(F.col("q")) * norm(F.col("vector")))
+    return _rank(pairs.select("query_id", "item_id", F.round(similarity, digits).alias("similarity")), k)
 
 
 def passages(found: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -11,10 +11,6 @@ from wardline.schemas import AUDIT_COLUMNS, LEDGER
 from wardline.session import stage
 
 
-# Up to this many segments of a batch are named in the filter that prunes the ledger's folders.
-MAX_SEGMENTS = 1_000
-
-
 class DuplicateRequestError(ValueError):
     """A request id that may occur only once was to be appended again."""
 
@@ -57,11 +53,14 @@ def ledger_append(
 
 
 def _segments_of(entries: DataFrame, ledger: DataFrame, segment: Column) -> DataFrame:
-    """The part of the ledger that the entries go on from, by its folders if they are not many."""
-    names = [row[0] for row in entries.select(segment).distinct().limit(MAX_SEGMENTS + 1).collect()]
-    if len(names) > MAX_SEGMENTS or None in names:
-        return ledger
-    return ledger.filter(F.col("segment").isin(names))
+    """The part of the ledger that the entries go on from.
+
+    The batch's segments, as many as it has, are a subquery of the filter, so that the folders are pruned
+    when the scan starts. Entries without a segment go on from the folder without one.
+    """
+    named = lambda column: F.coalesce(column, F.lit(""))
+    own = entries.select(F.collect_set(named(segment)).alias("segments")).scalar()
+    return ledger.filter(F.array_contains(own, named(F.col("segment"))))
 
 
 def write_sealed(sealed: DataFrame, path: str, mode: str = "append") -> None:
