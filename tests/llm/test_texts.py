@@ -72,6 +72,21 @@ def test_near_groups_against_all_pairs(documents, texts):
     assert got == label
 
 
+def test_near_groups_of_what_all_sets_share_and_odd_rows(spark, odd, none):
+    shared = "the alpha beta of gamma delta in epsilon zeta for eta theta "
+    rows = [(i, shared + " ".join(f"the w{i % 4}x{k} v{k}" for k in range(40))) for i in range(60)]
+    rows += [(100 + i, shared * (i + 1)) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in spotsigs.near_groups(df).collect()}
+    sets = {i: plain_signatures(t) for i, t in rows}
+    for i, own in sets.items():
+        for j, other in sets.items():
+            if plain_likeness(own, other) >= 0.8:
+                assert got[i] == got[j]
+    assert {got[i] for i in range(60)} == {0, 1, 2, 3}
+    assert spotsigs.near_groups(odd).count() == 12 and spotsigs.near_groups(none).count() == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></ul></nav>
 <div class="cookie-notice">We use cookies and so do you.</div><aside>Side bar of the page</aside><article><header><h1>Head &amp; line</h1></header>
 <p>One <b>bold</b>word&nbsp;and
@@ -84,6 +99,11 @@ def test_main_text_of_a_marked_article():
     assert htmltext.main_text("") == "" and htmltext.main_text("<p") == "" and htmltext.main_text("a < b") == ""
 
 
+def test_layout_words_are_not_furniture():
+    page = '<div class="content has-sidebar no-ads"><article><p>Some words.</p></article></div><div class="sidebar">Gone.</div>'
+    assert htmltext.main_text(page) == "Some words."
+
+
 def test_main_text_by_rules_alone():
     long = "It is one of the things that you have to do in the end, and it is not what they said to us. " * 4
     page = f"<body><div><a href=x>Links and more of the links are here</a></div><p>{long}</p><p>Ok.</p><p>{long}</p><div><a href=y>next page of the list</a></div><div>tiny end</div></body>"

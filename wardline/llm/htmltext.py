@@ -57,6 +57,8 @@ _NAMES = set(
     cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login
     share sharing social related recommended comment comments commentlist discussion disqus respond reply replies""".split()
 )
+#: Words that say what a page's layout has or lacks beside this block, not what the block is.
+_LAYOUT = re.compile(r"^(?:has|with|no|without)(?=[^a-z0-9])")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=\s|/|$)", re.I | re.S)
 _ARTICLE = {"article", "main"}
 
@@ -81,7 +83,7 @@ def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
         kind = name.lower()
         if kind == "hidden" or (kind == "aria-hidden" and value == "true") or (kind == "role" and value in _ROLES):
             return True
-        if kind in ("class", "id") and tag not in ("html", "body", *_ARTICLE) and any(part in _NAMES for word in value.split() for part in re.split(r"[^a-z0-9]+", word)):
+        if kind in ("class", "id") and tag not in ("html", "body", *_ARTICLE) and any(part in _NAMES for word in value.split() if not _LAYOUT.match(word) for part in re.split(r"[^a-z0-9]+", word)):
             return True
     return False
 

@@ -6,8 +6,8 @@ is its own chain of words, so that every text with words has a signature. Likene
 coefficient of two fingerprints.
 
 ``near_groups`` joins near duplicates: equal sets are one node, sets are partitioned by length so that
-only lengths whose ratio allows the threshold meet, a set is looked up by its first signatures in a
-fixed order alone, and pairs are dropped by their sizes before they are compared.
+only lengths whose ratio allows the threshold meet, a set is looked up by its rarest signatures alone,
+and pairs are dropped by their sizes before they are compared.
 
 Null texts are empty; two texts without words are alike (1), one with and one without are not (0). Rows
 without an id have no next document and are not one: they are compared with the first. An empty table
@@ -158,16 +158,21 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     """One row per row of ``df``: id, fingerprint, and the least id that links of the threshold or more reach.
 
     A link needs a shared signature among the first few of both sets, in an order that all sets share:
-    of a set of n, those that it can lose and still reach the threshold, and one more.
+    of a set of n, those that it can lose and still reach the threshold, and one more. The order is from
+    rare to frequent signatures, counted over all sets, so that what many sets share is looked up only
+    where sets have little else; signatures of one set alone take places but find nobody.
     """
     rows = stage(df.select(F.col(id_col).cast("long").alias("id"), signatures(F.col(text_col)).alias("sigs")).withColumn("fingerprint", fingerprint(F.col("sigs"))), "spots")
     sets = stage(rows.groupBy("fingerprint").agg(F.min("id").alias("least"), F.first("sigs").alias("sigs")).withColumns({"n": F.size("sigs"), "node": F.xxhash64("fingerprint")}), "spot-sets")
     # Lengths n and m can reach the threshold only if their steps are equal or next to each other.
     step = F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(1 / threshold)).cast("int")
-    order = F.transform("sigs", lambda s: F.struct(F.hash(s, F.lit(1)).alias("o"), s.alias("s")))
-    first = F.slice(F.array_sort(order), F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))
-    keyed = sets.where("n > 0").withColumn("step", step).select("node", "n", "step", F.explode(F.transform(first, lambda x: x["s"])).alias("s"))
-    # A signature that many sets begin with links them through one of them per step, compared in a chain.
+    places = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
+    spread = sets.where("n > 0").select("node", "n", step.alias("step"), places.alias("places"), F.explode("sigs").alias("s"))
+    counts = stage(spread.groupBy("s").count().where("count > 1"), "spot-counts")
+    first = F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(1)).alias("count"), "s"))), F.lit(1), F.first("places"))
+    in_order = spread.join(counts, "s", "left").groupBy("node", "n", "step").agg(first.alias("first"))
+    keyed = stage(in_order.select("node", "n", "step", F.explode("first").alias("f")).where("f.count > 1").select("node", "n", "step", "f.s"), "spot-keys")
+    # Sets that share a key and a step are candidates; adaptive execution splits a key that many have.
     left = keyed.select(F.col("node").alias("a"), F.col("n").alias("na"), "s", "step")
     right = keyed.select(F.col("node").alias("b"), F.col("n").alias("nb"), "s", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("step"))
     pairs = left.join(right, ["step", "s"]).where(f"a <> b AND least(na, nb) >= {threshold} * greatest(na, nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
