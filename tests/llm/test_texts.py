@@ -238,3 +238,16 @@ def test_an_unbroken_megabyte_is_linear(spark):
     start = time.monotonic()
     assert pii.pseudonymised(df).select(F.length("text")).first()[0] == 1_400_003
     assert time.monotonic() - start < 30
+
+
+def test_cards_before_other_numbers(spark):
+    """A card is hidden whatever number stands before or after it; equal cards stay linked."""
+    card, amex = "4111 1111 1111 1111", "3782 822463 10005"
+    texts = [card, f"{card} 12/27", f"{card} 123", f"2222 {card}", f"3 {card} 5500 0000 0000 0004", "4111111111111111 4845168114407329", "4111111111111111 3 times", f"{amex} 4", "41111111 11111111 12", f"6 {card} 7 {card}"]
+    rows = hidden(spark, texts)
+    new = re.fullmatch(r"4\d{3} \d{4} \d{4} \d{4}", rows[0]["text"])[0]
+    assert new != card and [r["n_card"] for r in rows] == [1, 1, 1, 1, 2, 2, 1, 1, 1, 2]
+    assert [r["text"] for r in rows[1:4]] == [f"{new} 12/27", f"{new} 123", f"2222 {new}"] and rows[4]["text"].startswith(f"3 {new} 5") and rows[9]["text"] == f"6 {new} 7 {new}"
+    assert re.fullmatch(r"4\d{15} 3 times", rows[6]["text"]) and re.fullmatch(r"3\d{3} \d{6} \d{5} 4", rows[7]["text"]) and re.fullmatch(r"4\d{7} \d{8} 12", rows[8]["text"])
+    for row, text in zip(rows, texts, strict=True):
+        assert not {"4111", "4845168114407329", "3782"} & set(row["text"].split()) and len(row["text"]) == len(text)

@@ -29,10 +29,25 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,3}(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z+)])\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z.\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![0-9A-Za-z]|[.\-][0-9])",
-    "card": r"(?<![0-9A-Za-z])[2-6](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z]|[ \-][0-9])",
+    "card": r"(?<![0-9A-Za-z])[2-6](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
 KINDS = tuple(PATTERNS)
-_ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What matches nothing; stands for the cards of a text without any.
+_NO_CARD = "(?!)"
+#: The cards of a text are worked out first, as only their check digit tells where one ends; ``~cards~`` stands for them.
+_ANY = "|".join(f"(?:{p})" for p in [*(p for k, p in PATTERNS.items() if k != "card"), "~cards~"])
+#: Every place where a card can begin, with the longest text that it can have and what follows that.
+_CARD_WINDOW = r"(?<![0-9A-Za-z])(?=([2-6](?:[ \-]?[0-9]){12,18}(?:[0-9A-Za-z]|[ \-][0-9])?))"
+#: How a card can be written, in order of preference: in its usual groups, unbroken, in any groups with nothing
+#: after them, then in groups of four digits or more, the longest first.
+_CARD_FORMS = [
+    r"^[0-9]{4}(?:[ \-][0-9]{4}){3}[ \-][0-9]{3}(?![0-9A-Za-z])",
+    r"^[0-9]{4}(?:[ \-][0-9]{4}){3}(?![0-9A-Za-z])",
+    r"^[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}(?![0-9A-Za-z])",
+    r"^[0-9]{13,19}(?![0-9A-Za-z])",
+    r"^[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z]|[ \-][0-9])",
+    *(rf"^(?=[0-9]{{4,}}(?:[ \-][0-9]{{4,}})*(?![0-9]))(?:[ \-]?[0-9]){{{n}}}(?<![ \-][0-9]{{1,3}})(?![0-9A-Za-z])" for n in range(19, 12, -1)),
+]
 #: Every valid identifier has one of these; most texts have neither.
 _NECESSARY = "[0-9@]"
 _ISSUER = r"^(?:4|5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|6(?:011|5|4[4-9]))"
@@ -169,6 +184,30 @@ def _whole(pattern: str) -> str:
     return f"^(?:{pattern})$"
 
 
+def _is_card(value: Column) -> Column:
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    n = F.length(digits)
+    return n.between(13, 19) & digits.rlike(_ISSUER) & (luhn_digit(F.substring(digits, F.lit(1), n - 1)) == F.substring(digits, n, F.lit(1)))
+
+
+def _cards(text: Column) -> Column:
+    """The different valid cards of a text: of each place the first form that passes the check."""
+
+    def first_valid(window: Column) -> Column:
+        forms = F.array(*[F.regexp_extract(window, form, 0) for form in _CARD_FORMS])
+        return F.get(F.filter(F.array_distinct(forms), lambda c: (c != "") & _is_card(c)), F.lit(0))
+
+    return F.array_compact(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(_CARD_WINDOW), F.lit(1))), first_valid))
+
+
+def _pattern(cards: Column) -> Column:
+    """What to search a text with these cards for."""
+    # The longest first, as a card may be the beginning of another one.
+    longest_first = F.array_sort(F.array_distinct(cards), lambda a, b: F.length(b) - F.length(a))
+    some = F.concat(F.lit("(?<![0-9A-Za-z])(?:"), F.array_join(longest_first, "|"), F.lit(")(?![0-9A-Za-z])"))
+    return F.when(F.size(cards) > 0, F.replace(F.lit(_ANY), F.lit("~cards~"), some)).otherwise(_ANY.replace("~cards~", _NO_CARD))
+
+
 def kind_of(value: Column) -> Column:
     """The kind of a match that passes its validation, else null."""
     octets = F.split(value, r"\.")
@@ -181,7 +220,7 @@ def kind_of(value: Column) -> Column:
         "date": F.try_to_date(value, "yyyy-MM-dd").isNotNull(),
         "ssn": ~value.rlike("^(?:000|666|9)|-00-|-0000$"),
         "phone": F.length(digits).between(7, 15),
-        "card": F.length(digits).between(13, 19) & digits.rlike(_ISSUER) & (luhn_digit(F.substring(digits, F.lit(1), F.length(digits) - 1)) == F.substring(digits, F.length(digits), F.lit(1))),
+        "card": _is_card(value),
     }
     return F.coalesce(*[F.when(value.rlike(_whole(p)) & valid[kind], kind) for kind, p in PATTERNS.items()])
 
@@ -207,14 +246,15 @@ def pseudonymised(df: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY)
     text = F.col(text_col)
     # Only texts that can have an identifier are cut up.
     found = df.withColumn("__text", F.when(text.rlike(_NECESSARY), text))
-    found = found.withColumn("__values", F.regexp_extract_all("__text", F.lit(_ANY), F.lit(0)))
+    found = found.withColumn("__pattern", _pattern(_cards(F.col("__text"))))
+    found = found.withColumn("__values", F.regexp_extract_all("__text", F.col("__pattern"), F.lit(0)))
     some = F.size("__values") > 0
     found = found.withColumn("__values", F.when(some, F.transform("__values", lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))))
     new = F.transform("__values", lambda v: pseudonym(v["value"], v["kind"], key))
-    between = F.split("__text", _ANY, -1)
+    between = F.split("__text", F.col("__pattern"), -1)
     rebuilt = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     counts = {f"n_{k}": F.when(some, F.size(F.filter("__values", _is(k)))).otherwise(0) for k in KINDS}
-    return found.withColumns({text_col: F.when(F.col("__values").isNotNull(), rebuilt).otherwise(text), **counts}).drop("__text", "__values")
+    return found.withColumns({text_col: F.when(F.col("__values").isNotNull(), rebuilt).otherwise(text), **counts}).drop("__text", "__pattern", "__values")
 
 
 __all__ = ["KINDS", "PATTERNS", "feistel", "kind_of", "luhn_digit", "pseudonym", "pseudonymised"]
