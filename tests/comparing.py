@@ -8,6 +8,9 @@ import os
 
 import duckdb
 
+#: The tables that the tests read.
+SF = "/root/testdata/sf0.001"
+
 
 def plain(value):
     if isinstance(value, float):

@@ -9,8 +9,6 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 from wardline.catalog import views  # noqa: E402
 from wardline.session import build_session  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

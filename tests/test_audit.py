@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF
+from comparing import SF
 from wardline.catalog import queries
 from wardline.operators import audit
 from wardline.operators import ledger as L

@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF
+from comparing import SF
 from wardline.catalog import views
 from wardline.functions.pii import PII_PATTERNS, PiiPattern
 from wardline.functions.pii import masked as guards_masked

@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF
+from comparing import SF
 from wardline.catalog import queries
 from wardline.functions.hashing import GENESIS, entry_payload, recomputed_hash
 from wardline.operators import ledger as L

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as contract
 from comparing import duck, duck_rows, spark_rows
-from conftest import SF
+from comparing import SF
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", SF)
 

@@ -5,7 +5,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF
+from comparing import SF
 from wardline.session import stage
 from wardline.catalog import views
 from wardline.operators import reports

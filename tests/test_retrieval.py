@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF
+from comparing import SF
 from wardline.catalog import queries, views
 from wardline.operators import retrieval as R
 

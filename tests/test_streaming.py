@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from conftest import SF
+from comparing import SF
 from wardline.catalog import queries, views
 from wardline.operators import ledger as L
 from wardline.operators import reports
