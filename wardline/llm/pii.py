@@ -65,15 +65,19 @@ def _alphabet(char: Column) -> Column:
 def _shifted(half: Column, stream: Column, hex_only: bool) -> Column:
     """Each character moved within its alphabet by its own byte of the key stream (hex digits)."""
 
-    def move(char: Column, i: Column) -> Column:
-        letters = _alphabet(char)
-        if hex_only:
-            letters = F.when(char.rlike("^[a-f]$"), "abcdef").when(char.rlike("^[A-F]$"), "ABCDEF").otherwise(letters)
-        byte = F.conv(F.substring(stream, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        place = F.pmod(F.instr(letters, char) - 1 + byte, F.length(letters))
-        return F.when(F.length(letters) == 0, char).otherwise(F.substring(letters, place + 1, F.lit(1)))
+    def moved(key_stream: Column) -> Column:
+        def move(char: Column, i: Column) -> Column:
+            letters = _alphabet(char)
+            if hex_only:
+                letters = F.when(char.rlike("^[a-f]$"), "abcdef").when(char.rlike("^[A-F]$"), "ABCDEF").otherwise(letters)
+            byte = F.conv(F.substring(key_stream, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+            place = F.pmod(F.instr(letters, char) - 1 + byte, F.length(letters))
+            return F.when(F.length(letters) == 0, char).otherwise(F.substring(letters, place + 1, F.lit(1)))
 
-    return F.transform(half, move)
+        return F.transform(half, move)
+
+    # A stream that stood unbound in the lambda would be worked out for each character.
+    return _one_by_one(stream, moved)
 
 
 def feistel(text: Column, kind: str, key: str, hex_only: bool = False) -> Column:
@@ -115,23 +119,27 @@ def _luhn_weight(digit: Column, doubled: Column) -> Column:
 def _in_format(original: Column, digits: Column) -> Column:
     """``digits`` in the places of the digits of ``original``."""
 
-    def put(state: Column, char: Column) -> Column:
-        is_digit = char.rlike("^[0-9]$")
-        return F.struct(
-            F.concat(state["out"], F.when(is_digit, F.substring(digits, state["n"] + 1, F.lit(1))).otherwise(char)).alias("out"),
-            (state["n"] + is_digit.cast("int")).alias("n"),
-        )
+    def placed(new: Column) -> Column:
+        def put(state: Column, char: Column) -> Column:
+            is_digit = char.rlike("^[0-9]$")
+            return F.struct(
+                F.concat(state["out"], F.when(is_digit, F.substring(new, state["n"] + 1, F.lit(1))).otherwise(char)).alias("out"),
+                (state["n"] + is_digit.cast("int")).alias("n"),
+            )
+
+        return F.aggregate(_chars(original), F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), put)["out"]
 
-    return F.aggregate(_chars(original), F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), put)["out"]
+    return _one_by_one(digits, placed)
 
 
 def _card(value: Column, key: str) -> Column:
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    n = F.length(digits)
-    # The first digit tells the issuer and the last one checks the others.
-    inner = feistel(F.substring(digits, F.lit(2), n - 2), "card", key)
-    body = F.concat(F.substring(digits, 1, 1), inner)
-    return _in_format(value, F.concat(body, luhn_digit(body)))
+    def other(digits: Column) -> Column:
+        # The first digit tells the issuer and the last one checks the others.
+        inner = feistel(F.substring(digits, F.lit(2), F.length(digits) - 2), "card", key)
+        body = F.concat(F.substring(digits, 1, 1), inner)
+        return _one_by_one(body, lambda b: F.concat(b, luhn_digit(b)))
+
+    return _in_format(value, _one_by_one(F.regexp_replace(value, "[^0-9]", ""), other))
 
 
 def _number_feistel(left: Column, right: Column, left_size: int, right_size: int, kind: str, key: str) -> tuple[Column, Column]:
@@ -185,9 +193,11 @@ def _whole(pattern: str) -> str:
 
 
 def _is_card(value: Column) -> Column:
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    n = F.length(digits)
-    return n.between(13, 19) & digits.rlike(_ISSUER) & (luhn_digit(F.substring(digits, F.lit(1), n - 1)) == F.substring(digits, n, F.lit(1)))
+    def valid(digits: Column) -> Column:
+        n = F.length(digits)
+        return n.between(13, 19) & digits.rlike(_ISSUER) & (luhn_digit(F.substring(digits, F.lit(1), n - 1)) == F.substring(digits, n, F.lit(1)))
+
+    return _one_by_one(F.regexp_replace(value, "[^0-9]", ""), valid)
 
 
 def _cards(text: Column) -> Column:
