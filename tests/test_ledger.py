@@ -1,7 +1,9 @@
 """Chains against a plain loop, and what tampering leaves behind."""
 
 import hashlib
+import shutil
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,8 +12,11 @@ from wardline.catalog import queries
 from wardline.functions.hashing import GENESIS, entry_payload, recomputed_hash
 from wardline.operators import ledger as L
 from wardline.operators import reports
+from wardline.schemas import LEDGER
 from wardline.session import stage, work_folder
 from wardline.sources import ledger_table as T
+from wardline.sources.id_index import build_filter, may_have, stored_ids, write_ids
+from wardline.sources.manifest import ConcurrentAppendError, read_manifest
 
 
 def plain_chains(rows, block_rows=None):
@@ -120,6 +125,89 @@ def test_duplicates_are_refused_or_skipped(spark, entries_of):
     assert tuple(L.verify_chain(stored).first()) == (True, -1)
 
 
+def test_an_append_reads_no_ledger_rows(spark, entries, monkeypatch):
+    path = work_folder(spark, "test-ledger")
+    T.ledger_append(entries.filter("hash(request_id) % 3 = 0"), path, block_rows=4)
+    # Rows of the first append that nobody may read: the second one goes on from heads, ids and manifest alone.
+    stored = T.ledger_scan(spark, path).collect()
+    [first] = read_manifest(spark, path).appends
+    shutil.rmtree(f"{path}/append={first}")
+    T.ledger_append(entries.filter("hash(request_id) % 3 <> 0"), path, block_rows=4)
+    now = read_manifest(spark, path)
+    assert now.last_id == entries.count() and now.appends[0] == first
+    second = spark.read.schema(LEDGER).parquet(f"{path}/append={now.appends[1]}")
+    whole = spark.createDataFrame(stored, LEDGER).unionByName(second.select(*LEDGER.names))
+    assert sorted(r["id"] for r in whole.collect()) == list(range(1, entries.count() + 1))
+    assert L.chain_links(whole).count() == 0 and tuple(L.verify_chain(whole).first()) == (True, -1)
+
+
+def test_rows_of_a_failed_append_do_not_count(spark, entries_of, monkeypatch):
+    path = work_folder(spark, "test-ledger")
+    T.ledger_append(entries_of([("a", "t", "PASSED", None)]), path)
+
+    def fail(*args):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(T, "commit", fail)
+        with pytest.raises(OSError):
+            T.ledger_append(entries_of([("b", "t", "PASSED", None)]), path)
+    assert [r["request_id"] for r in T.ledger_scan(spark, path).collect()] == ["a"]
+    T.ledger_append(entries_of([("b", "t", "PASSED", None)]), path)
+    stored = T.ledger_scan(spark, path)
+    assert sorted((r["id"], r["request_id"]) for r in stored.collect()) == [(1, "a"), (2, "b")]
+    assert L.chain_links(stored).count() == 0
+    with pytest.raises(T.DuplicateRequestError):
+        T.ledger_append(entries_of([("b", "t", "PASSED", None)]), path)
+
+
+def test_of_two_writers_the_second_fails(spark, entries_of, monkeypatch):
+    path = work_folder(spark, "test-ledger")
+    T.ledger_append(entries_of([("a", "t", "PASSED", None)]), path)
+    old = read_manifest(spark, path)
+    T.ledger_append(entries_of([("b", "t", "PASSED", None)]), path)
+    with monkeypatch.context() as m:
+        m.setattr(T, "read_manifest", lambda *_: old)
+        with pytest.raises(ConcurrentAppendError):
+            T.ledger_append(entries_of([("c", "t", "PASSED", None)]), path)
+    assert sorted(r["request_id"] for r in T.ledger_scan(spark, path).collect()) == ["a", "b"]
+    # A file that a writer died over is passed over, and its number is not used again.
+    with open(f"{path}/_manifest/3.json", "w") as file:
+        file.write("{")
+    T.ledger_append(entries_of([("d", "t", "PASSED", None)]), path)
+    assert read_manifest(spark, path).number == 4
+    assert sorted(r["request_id"] for r in T.ledger_scan(spark, path).collect()) == ["a", "b", "d"]
+
+
+def test_id_index_against_a_plain_lookup(spark):
+    path = work_folder(spark, "test-ids")
+    appends = {"1-x": range(0, 3000, 2), "2-y": range(1, 900, 3), "3-z": []}
+    for name, numbers in appends.items():
+        rows = spark.createDataFrame([(f"q{i}",) for i in numbers] + [(None,)], "request_id string")
+        write_ids(rows, path, name)
+    batch = spark.createDataFrame([(f"q{i}",) for i in range(0, 6000, 5)] + [(None,), ("q0",)], "request_id string")
+    have = {f"q{i}" for numbers in appends.values() for i in numbers}
+    got = [r[0] for r in stored_ids(batch, path, tuple(appends)).collect()]
+    assert sorted(got) == sorted(have & {f"q{i}" for i in range(0, 6000, 5)})
+    fresh = spark.createDataFrame([("new",), (None,)], "request_id string")
+    assert stored_ids(fresh, path, tuple(appends)).count() == 0
+
+
+def test_filters_miss_nothing_and_admit_little():
+    rng = np.random.default_rng(2)
+    for n in (1, 10, 5000):
+        mine, others = rng.integers(0, 1 << 63, n, np.uint64), rng.integers(0, 1 << 63, 20_000, np.uint64)
+        bits = build_filter(mine)
+        assert may_have(bits, mine).all() and may_have(bits, others).mean() < 0.01
+
+
+def test_a_ledger_without_a_manifest_is_not_appended_to(spark, entries_of):
+    path = work_folder(spark, "test-ledger")
+    T.write_sealed(L.seal(entries_of([("a", "t", "PASSED", None)])), path)
+    with pytest.raises(ValueError, match="without a manifest"):
+        T.ledger_append(entries_of([("b", "t", "PASSED", None)]), path)
+
+
 def test_empty_store_and_genesis(spark, entries_of):
     path = work_folder(spark, "test-ledger")
     assert T.ledger_scan(spark, path).count() == 0

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from comparing import SF
 from wardline.catalog import queries, views
+from wardline.operators import ann as A
 from wardline.operators import retrieval as R
+from wardline.session import work_folder
 
 
 def brute(questions, items, k):
@@ -90,27 +92,75 @@ def test_no_questions(spark, items):
     assert R.cosine_topk(spark.createDataFrame([], "query_id long, vector array<double>"), corpus).count() == 0
 
 
-def test_buckets_find_most_neighbours_and_rank_them_exactly(spark):
-    items, questions = queries.vectors(spark, SF), queries.label_queries(spark, SF)
-    model = R.fit_buckets(items)
-    near = R.ann_topk(model, R.bucket_index(model, items), questions, 10)
-    exact = R.cosine_topk(questions, items, 10)
-    assert near.groupBy("query_id", "item_id").count().filter("count > 1").count() == 0
-    shared = near.join(exact, ["query_id", "item_id"]).count()
-    assert shared >= 0.8 * exact.count()
-    same = near.alias("n").join(exact.alias("e"), ["query_id", "item_id"])
-    assert same.filter("abs(n.similarity - e.similarity) > 1e-6").count() == 0
-
-
-def test_buckets_against_the_pairs_that_share_one(spark, items):
-    corpus = spark.createDataFrame(items, "item_id long, vector array<double>")
-    questions = spark.createDataFrame(items[:45], "query_id long, vector array<double>")
-    model = R.fit_buckets(corpus)
-    buckets = {r["item_id"]: r["buckets"] for r in R.with_buckets(model, corpus).collect()}
-    got = ranked(R.ann_topk(model, R.bucket_index(model, corpus), questions, 3))
-    for i, q in items[:45]:
-        shared = [(n, v) for n, v in items if n in buckets and any(a == b for a, b in zip(buckets[i], buckets[n], strict=True))]
-        assert got[i] == brute([(i, q)], shared, 3)[i]
+def _asked(spark, sf, name):
+    rows = queries.vectors(spark, sf).where("item_id % 20 = 0").withColumnRenamed("item_id", "query_id")
+    return {"labels": queries.label_queries(spark, sf), "rows": rows}[name]
+
+
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
+@pytest.mark.parametrize("name", ["labels", "rows"])
+def test_cells_find_most_neighbours_and_compare_few(spark, sf, name):
+    cells, blocks = queries.stored_index(spark, sf)
+    questions, n = _asked(spark, sf, name), queries.vectors(spark, sf).count()
+    exact = R.cosine_topk(questions, queries.vectors(spark, sf), 10)
+    near = A.ann_topk(cells, blocks, questions, 10)
+    both = near.alias("n").join(exact.alias("e"), ["query_id", "item_id"])
+    assert both.count() >= 0.9 * exact.count()
+    assert both.where("abs(n.similarity - e.similarity) > 2e-6").isEmpty()
+    # Of a block, what was compared is told in each of its rows.
+    per_block = A.asked_cells(cells, questions).select("cell", F.explode("query_ids").alias("query_id")).join(blocks, "cell")
+    share = F.greatest(F.lit(10), F.ceil(F.lit(cells.share) * F.size("item_ids")))
+    most = per_block.groupBy("query_id").agg(F.sum(F.least(share, F.size("item_ids"))).alias("c")).agg(F.max("c")).first()[0]
+    assert most <= 0.2 * n or n < 1000
+
+
+def test_every_vector_is_indexed_once_in_its_cell(spark, items):
+    odd = [(3000, None), (3001, [1.0, 2.0]), (3002, [float("nan")] * 8), (3003, [])]
+    corpus = spark.createDataFrame([*items, *odd, items[5]], "item_id long, vector array<double>")
+    cells = A.fit_cells(corpus, 3)
+    blocks = A.index_blocks(cells, corpus).collect()
+    directed = [i for i, v in [*items, items[5]] if np.linalg.norm(v) > 0]
+    assert sorted(i for b in blocks for i in b["item_ids"]) == sorted(directed)
+    for b in blocks:
+        rows = np.frombuffer(b["vectors"], np.float32).reshape(-1, 8)
+        assert len(rows) == len(b["item_ids"]) and set(cells.cells_of(rows)) == {b["cell"]}
+        assert len(b["codes"]) == len(cells.books) * len(rows)
+
+
+def test_all_cells_and_all_compared_is_exact(spark, items):
+    corpus = spark.createDataFrame([*items, (3000, None)], "item_id long, vector array<double>")
+    fitted = A.fit_cells(corpus, 3)
+    cells = A.Cells(fitted.centres, fitted.books, len(fitted.centres), 1.0)
+    questions = [(i, items[i][1]) for i in range(0, 45, 4)]
+    asked = spark.createDataFrame([*questions, (98, None), (99, [0.0] * 8), (97, [1.0])], "query_id long, vector array<double>")
+    assert ranked(A.ann_topk(cells, A.index_blocks(cells, corpus), asked, 3)) == brute(questions, items, 3)
+
+
+def test_clustered_vectors_need_few_cells(spark):
+    rng = np.random.default_rng(1)
+    middles = rng.normal(size=(40, 16))
+    rows = [(i, (middles[i % 40] + 0.1 * rng.normal(size=16)).tolist()) for i in range(4000)]
+    corpus = spark.createDataFrame(rows, "item_id long, vector array<double>")
+    cells = A.fit_cells(corpus, 5)
+    assert cells.probes <= 4 < len(cells.centres)
+    path = work_folder(spark, "test-cells")
+    A.write_index(cells, corpus, path)
+    again, blocks = A.read_index(spark, path)
+    assert again.to_bytes() == cells.to_bytes()
+    asked = spark.createDataFrame([(i, v) for i, v in rows[::100]], "query_id long, vector array<double>")
+    near, exact = A.ann_topk(again, blocks, asked, 5), R.cosine_topk(asked, corpus, 5)
+    assert near.join(exact, ["query_id", "item_id"]).count() >= 0.9 * exact.count()
+    # One query reads the folders of its cells alone.
+    one = A.ann_topk(again, blocks, asked.limit(1), 5)
+    one.collect()
+    assert "dynamicpruning" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_of_nothing(spark):
+    none = spark.createDataFrame([], "item_id long, vector array<double>")
+    cells = A.fit_cells(none)
+    asked = spark.createDataFrame([(1, [1.0])], "query_id long, vector array<double>")
+    assert A.ann_topk(cells, A.index_blocks(cells, none), asked).count() == 0
 
 
 def test_embedding_has_unit_length_and_finds_its_own_text(spark):

