@@ -1,6 +1,8 @@
 """Literal cases for the guards and the cascade."""
 
+import random
 import re
+import time
 from difflib import SequenceMatcher
 
 import pytest
@@ -10,6 +12,7 @@ from comparing import SF
 from wardline.catalog import views
 from wardline.functions.pii import PII_PATTERNS, PiiPattern
 from wardline.functions.pii import masked as guards_masked
+from wardline.functions.text import first_contained
 from wardline.operators import guards, outcomes
 from wardline.operators.decide import decide, ledger_entries, output_entries
 from wardline.operators.lookups import bind_policy
@@ -168,6 +171,37 @@ def test_masking_agrees_with_plain_python(spark):
         assert row["has_pii"] == bool(row["pii_types"])
 
 
+def test_runs_around_addresses_agree_with_plain_python(spark):
+    """Boundaries within a run, runs after letters of other scripts, and matches that touch each other."""
+    rng = random.Random(11)
+    pieces = [*"ab.-_%+@é1 ,", "@b.co", "a@b.com", ".com", "x@y.de-", "漢", "@", "..", "%", "_a", "\u0661"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 25))) for _ in range(6000)]
+    texts += ["a@b.com-c@d.org", ".a@b.com", "éa.b@c.de", "é.a@b.cd", "a@b.co@c.de", "%+a@b.cd%e@f.gh", "_a@b.cd", "é_a@b.cd", "a@b.cd_e@f.gh", "a@b.cde.f@g.hi"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = guards.detect_pii(guards.mask_pii(df, "text").withColumnsRenamed({"pii_types": "masked_types", "has_pii": "x"}), "text")
+    for row in found.collect():
+        assert (row["clean"], row["masked_types"]) == reference_mask(row["text"]), row["text"]
+        assert row["pii_types"] == [n for n, regex, _ in PII_PATTERNS if re.search(regex, row["text"])], row["text"]
+
+
+@pytest.mark.parametrize("run", ["a.", "a-", "a_", ".", "1.", "%a", "a@"])
+def test_masking_is_linear_in_runs(spark, run):
+    text = "x@y.com " + run * (1_000_000 // len(run)) + " é"
+    df = spark.createDataFrame([(text,)], "text string")
+    warm = spark.createDataFrame([("x@y.com a.a",)], "text string")
+    for check in (lambda d: guards.mask_pii(d, "text").select("clean", "pii_types"), lambda d: guards.detect_pii(d, "text").select("pii_types")):
+        check(warm).collect()
+        start = time.monotonic()
+        row = check(df).first()
+        assert "EMAIL" in row["pii_types"] and time.monotonic() - start < 3
+
+
+def test_the_first_term_ends_the_search(spark):
+    df = spark.createDataFrame([("b then a",), ("c",), ("",), (None,)], "t string").withColumn("terms", F.array(F.lit("x"), F.lit("a"), F.lit("b"), F.lit(None)))
+    got = df.select(first_contained(F.col("t"), F.col("terms"))).collect()
+    assert [r[0] for r in got] == ["a", None, None, None]
+
+
 def test_detection_agrees_with_plain_python(spark):
     docs = views.table(spark, SF, "documents").select("text")
     rows = guards.detect_pii(docs.unionAll(spark.createDataFrame([(t,) for t in TRICKY], "text string")), "text").collect()

@@ -1,6 +1,7 @@
 """Streams give what the tables give, and a replayed batch changes nothing."""
 
 import json
+import time
 
 import pytest
 
@@ -95,6 +96,60 @@ def test_dedup(spark, feed):
     assert spark.read.parquet(out).count() == views.prompts(spark, SF).count()
 
 
+def _feed_batch(spark, path, rows):
+    df = spark.createDataFrame(rows, "request_id string, n int, s long")
+    df.selectExpr("request_id", "n", "timestamp_seconds(s) AS ts").coalesce(1).write.mode("append").parquet(path)
+
+
+def test_late_rows_are_marked_not_lost(spark, tmp_path):
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    now, day = int(time.time()), 86400
+    batches = [
+        [("a", 1, now), ("a", 2, now + 5), ("b", 3, now)],
+        [("c", 4, now + 30 * day), ("a", 5, now), (None, 6, now), (None, 7, now)],
+        # Days behind what came before: new ids, and repeats of remembered ones.
+        [("z", 8, now - 2 * day), ("z", 9, now - 3 * day), ("a", 10, now - 9 * day), ("y", 11, 0), (None, 12, None), ("e", 13, None)],
+        [("z", 14, now), ("f", 15, now)],
+    ]
+    for rows in batches:
+        _feed_batch(spark, source, rows)
+        stream = spark.readStream.schema("request_id string, n int, ts timestamp").parquet(source)
+        jobs.run_available(jobs.stream_dedup(stream, "1 hour"), progress, out)
+    got = {r["n"]: r["late"] for r in spark.read.parquet(out).collect()}
+    assert got == {1: False, 3: False, 4: False, 6: False, 7: False, 9: True, 11: True, 12: False, 13: False, 15: False}
+
+
+def test_a_forgotten_id_comes_back_as_late(spark, tmp_path):
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    first = int(time.time())
+    for rows in ([("a", 1, first)], [("x", 2, first + 60)], [("a", 3, first)]):
+        _feed_batch(spark, source, rows)
+        stream = spark.readStream.schema("request_id string, n int, ts timestamp").parquet(source)
+        jobs.run_available(jobs.stream_dedup(stream, "2 seconds"), progress, out)
+        time.sleep(4)
+    got = {r["n"]: r["late"] for r in spark.read.parquet(out).collect()}
+    assert {1, 2, 3} == set(got) and got[3]
+
+
+def test_late_rows_reach_the_ledger_or_its_quarantine(spark, entries_of):
+    path = work_folder(spark, "test-ledger")
+    jobs.seal_batch(entries_of([("a", "t", "PASSED", None)]).selectExpr("*", "false AS late"), 0, path)
+    batch = entries_of([("a", "t", "PASSED", None), ("z", "t", "PASSED", None), ("n", "t", "PASSED", None)])
+    jobs.seal_batch(batch.selectExpr("*", "request_id <> 'n' AS late"), 1, path, on_duplicate="quarantine")
+    assert sorted(r["request_id"] for r in T.ledger_scan(spark, path).collect()) == ["a", "n", "z"]
+    assert [r["request_id"] for r in spark.read.parquet(f"{path}-quarantine").collect()] == ["a"]
+    assert L.chain_links(T.ledger_scan(spark, path)).count() == 0
+
+
+def test_ids_of_a_marked_stream_are_not_looked_up_unless_late(spark, entries_of, monkeypatch):
+    path = work_folder(spark, "test-ledger")
+    jobs.seal_batch(entries_of([("a", "t", "PASSED", None)]).selectExpr("*", "false AS late"), 0, path)
+    seen = []
+    monkeypatch.setattr(jobs, "duplicate_requests", lambda batch, others: seen.append(others) or L.duplicate_requests(batch, others))
+    jobs.seal_batch(entries_of([("b", "t", "PASSED", None)]).selectExpr("*", "false AS late"), 1, path)
+    assert seen == [None] and T.ledger_scan(spark, path).count() == 2
+
+
 def test_rows_without_an_id_all_pass(spark, tmp_path):
     spark.sql("SELECT * FROM VALUES (NULL, timestamp'2024-01-01'), (NULL, timestamp'2024-01-01'), (NULL, timestamp'2024-01-02'), ('a', timestamp'2024-01-01'), ('a', timestamp'2024-01-01') AS t(request_id, ts)").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("request_id string, ts timestamp").parquet(str(tmp_path / "in"))

@@ -520,7 +520,7 @@ def chain_heads(spark, sf):
 
 @query
 def assign_seq(spark, sf):
-    return ledger.assign_seq(entries(spark, sf)).select("id", "request_id", "tenant_id", "segment", "seq")
+    return ledger.assign_seq(stage(entries(spark, sf), "entries")).select("id", "request_id", "tenant_id", "segment", "seq")
 
 
 @query

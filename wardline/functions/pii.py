@@ -60,6 +60,22 @@ def java_regex(regex: str, boundaries: bool = True) -> str:
     return re.sub(r"\\(.)", spell, regex, flags=re.S)
 
 
+def search_regex(regex: str) -> tuple[str, str]:
+    """``java_regex(regex)``, with what to put before a replacement, searched in time linear in the text.
+
+    A pattern that begins with a boundary and a run of characters, up to one that is not of the run, would be
+    tried anew at each boundary within a run. The leftmost beginning wins, so it is tried once per run: at its
+    first boundary, or where the last match has ended. What stands before that boundary is group 1.
+    """
+    head = re.match(r"\\b(\[(?:\\.|[^\]\\])*\])\+([^\\\[\](){}.*+?|^$])", regex)
+    if not head or re.fullmatch(head[1], head[2]):
+        return java_regex(regex), ""
+    run, rest = head[1], java_regex(regex[head.end(1) + 1 :])
+    word, other = f"{run[:-1]}&&{_WORD}]", f"{run[:-1]}&&[^{_WORD[1:]}]"
+    before_boundary = f"(?<={_WORD}){word}*+|(?<!{_WORD}){other}*+"
+    return rf"(?:(?<!{run})({before_boundary})|\G{java_regex(chr(92) + 'b')}){run}++{rest}", "$1"
+
+
 def _as_patterns(patterns) -> list[PiiPattern]:
     return [PiiPattern(*p) for p in patterns]
 
@@ -99,7 +115,8 @@ def masked(text: Column, patterns=PII_PATTERNS) -> Column:
             found = [F.when(after != before, F.lit(p.type)) for p, before, after in zip(patterns, texts, texts[1:])]
             return result(texts[-1], F.concat(state["types"], F.array_compact(F.array(*found))))
         before, pattern = texts[-1], patterns[done]
-        replaced = F.regexp_replace(before, F.lit(java_regex(pattern.regex)), F.lit(f"<{pattern.type}>"))
+        regex, kept = search_regex(pattern.regex)
+        replaced = F.regexp_replace(before, F.lit(regex), F.lit(f"{kept}<{pattern.type}>"))
         after = F.when(_may_match(before, pattern), replaced).otherwise(before)
         return bind(after, lambda t: steps(state, patterns, [*texts, t]))
 
@@ -121,7 +138,7 @@ def pii_types(text: Column, patterns=PII_PATTERNS) -> Column:
     empty = F.array().cast("array<string>")
 
     def hits(t: Column, run: list[PiiPattern]) -> Column:
-        found = [F.when(_may_match(t, p) & t.rlike(java_regex(p.regex)), F.lit(p.type)) for p in run]
+        found = [F.when(_may_match(t, p) & t.rlike(search_regex(p.regex)[0]), F.lit(p.type)) for p in run]
         return F.array_compact(F.array(*found))
 
     def group(t: Column, needs: str | None, run: list[PiiPattern]) -> Column:

@@ -23,8 +23,12 @@ def contained_terms(text: Column, terms: Column) -> Column:
 
 
 def first_contained(text: Column, terms: Column) -> Column:
-    """The first term of the list that occurs in the text; null if none does."""
-    return F.get(contained_terms(text, terms), 0)
+    """The first term of the list that occurs in the text; null if none does.
+
+    No further term is searched for once one is found.
+    """
+    none = F.lit(None).cast("string")
+    return bind(text, lambda t: F.aggregate(terms, none, lambda found, term: F.coalesce(found, F.when(F.contains(t, term), term))))
 
 
 def token_count(text: Column) -> Column:

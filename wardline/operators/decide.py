@@ -129,8 +129,9 @@ def decide(
 
 
 def ledger_entries(decisions: DataFrame) -> DataFrame:
-    """What the ledger records of a decision."""
+    """What the ledger records of a decision; the mark of a late row stays with it."""
     return decisions.select(
+        *[c for c in decisions.columns if c == "late"],
         "request_id",
         "tenant_id",
         "ts",

@@ -96,11 +96,15 @@ def pii_histogram(decisions: DataFrame) -> DataFrame:
 
 
 def red_team_cases(cases: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Every labelled case with the status it got; a case without a decision was rejected (422)."""
+    """Every labelled case with the status it got; a case without a decision was rejected (422).
+
+    Cases without an id have no decision: they stay out of the join, where they would meet in one task.
+    """
     actual = F.when(F.col("allowed").isNull(), 422).when(F.col("allowed"), 200).otherwise(403)
-    judged = cases.select("case_id", "expected_status").join(
-        decisions.select(F.col("request_id").alias("case_id"), "allowed"), "case_id", "left"
-    )
+    labelled = cases.select("case_id", "expected_status")
+    decided = decisions.select(F.col("request_id").alias("case_id"), "allowed")
+    judged = labelled.where("case_id IS NOT NULL").join(decided, "case_id", "left")
+    judged = judged.unionByName(labelled.where("case_id IS NULL"), allowMissingColumns=True)
     return judged.select("case_id", "expected_status", actual.alias("actual_status")).withColumn(
         "passed", F.col("expected_status") == F.col("actual_status")
     )

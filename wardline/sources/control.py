@@ -27,10 +27,9 @@ def is_active(state: DataFrame) -> Column:
 
 
 def latest_state(control_log: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """The state after the last change, per key."""
-    return control_log.groupBy(*(keys or [])).agg(
-        F.coalesce(F.max_by("active", "ts"), F.lit(False)).alias("kill_switch_active")
-    )
+    """The state after the last change, per key; of changes at one instant, on counts."""
+    last = F.max(F.struct("ts", "active"))["active"]
+    return control_log.groupBy(*(keys or [])).agg(F.coalesce(last, F.lit(False)).alias("kill_switch_active"))
 
 
 def flag_as_of(requests: DataFrame, control_log: DataFrame) -> DataFrame:

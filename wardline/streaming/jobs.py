@@ -6,8 +6,13 @@ segment of its own, so a replayed batch overwrites its own segment and nothing e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardline.functions.pii import PII_PATTERNS
 from wardline.operators.decide import decide, ledger_entries
@@ -22,13 +27,43 @@ BATCH_ID_SPAN = 10**11
 
 
 def stream_dedup(requests: DataFrame, delay: str = "1 hour", key: str = "request_id") -> DataFrame:
-    """The first of every request id; ids are remembered for ``delay`` after their event time.
+    """The first of every request id, with ``late``: whether it is older than ``delay`` as it comes in.
 
-    Rows without an id are nobody's duplicates: they pass beside the state.
+    An id is remembered for ``delay`` after it came in, by the batches' own clock, which a replay repeats. No row is
+    dropped for being late: one whose id is remembered is a repeat, any other is put out. An id can be forgotten when
+    a repeat of it comes in only if that is late, so the ledger's sink looks up the ids of late rows alone. Rows
+    without an id are nobody's duplicates: they pass beside the state. Of rows with one id in a batch the earliest
+    is the first, one without a time the last and never late.
     """
-    marked = requests.withWatermark("ts", delay)
-    first = marked.filter(F.col(key).isNotNull()).dropDuplicatesWithinWatermark([key])
-    return first.unionByName(marked.filter(F.col(key).isNull()))
+    # A watermark on the event time would make Spark drop what is behind it: time is that of arrival here.
+    late = F.coalesce(F.col("ts") < F.col("__arrived") - F.expr(f"INTERVAL {delay}"), F.lit(False))
+    arrived = requests.withColumn("__arrived", F.current_timestamp()).withColumn("late", late)
+    hold = requests.sparkSession.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL {delay})").first()[0]
+    schema = T.StructType([*requests.schema.fields, T.StructField("late", T.BooleanType())])
+    named = arrived.where(F.col(key).isNotNull()).withWatermark("__arrived", "0 seconds").groupBy(key)
+    first = named.applyInPandasWithState(_first_of_key(schema.names, hold), schema, "seen long", "append", GroupStateTimeout.EventTimeTimeout)
+    return first.unionByName(arrived.where(F.col(key).isNull()).drop("__arrived"))
+
+
+def _first_of_key(columns: list[str], hold: int):
+    """The function of one id: its first row passes, and when it came in (in milliseconds) is remembered."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first = None
+        for batch in batches:
+            rows = batch if first is None else pd.concat([first, batch])
+            first = rows.sort_values("ts", kind="stable", na_position="last").iloc[:1]
+        if first is None or state.exists:
+            return
+        seen = int(first["__arrived"].iloc[0].timestamp() * 1000)
+        state.update((seen,))
+        state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + max(hold, 1))
+        yield first[columns]
+
+    return run
 
 
 def stream_decide(requests: DataFrame, policies: DataFrame, lexicon: DataFrame, patterns=PII_PATTERNS, default_tenant=None) -> DataFrame:
@@ -94,9 +129,9 @@ def seal_batch(
 ) -> None:
     """Seal one micro-batch into its own segment; a replay of the batch replaces it.
 
-    ``check_ids`` looks the request ids up in the rest of the ledger (not in the segment itself),
-    which reads that column of all of it: on a long ledger with frequent batches, deduplicate the
-    stream instead and check from time to time. A repeated id is an error, or its first entry is
+    ``check_ids`` looks the request ids up in the rest of the ledger (not in the segment itself), which reads
+    that column of all of it. Entries of a stream that ``stream_dedup`` has marked are looked up only where
+    they are late, and the ledger is not read while none is. A repeated id is an error, or its first entry is
     sealed if the ledger does not have the id yet: with ``on_duplicate`` ``skip`` nothing else is
     kept, with ``quarantine`` all entries of repeated ids are also written, by segment, to
     ``<path>-quarantine``.
@@ -107,6 +142,9 @@ def seal_batch(
     segment = SEGMENT % batch_id
     entries = stage(entries, "batch")
     others = ledger_scan(spark, path).filter(F.col("segment") != segment) if check_ids else None
+    if others is not None and "late" in entries.columns:
+        late = entries.where("late").select("request_id")
+        others = None if late.isEmpty() else others.join(late, "request_id", "left_semi")
     duplicates = duplicate_requests(entries, others)
     repeated = duplicates.select("request_id").take(5)
     if repeated and on_duplicate == "raise":
