@@ -78,15 +78,26 @@ _OUTPUT_REASON = (
 # Only one kind of prompt is a near match without holding a term.
 _NEAR = "lp = 'jailbraek'"
 
-_DECISIONS = f"""
-{_VALID},
+_STOPS = f"""{_VALID},
 {_masked("valid", "request_id", "prompt", ", tenant_id, ts, lp")},
 stops AS (
   SELECT *, {_first("lp", _TRIGGERS)} AS hitl_trigger, {_first("lp", _TERMS)} AS term,
     CASE WHEN {_first("lp", _TOKENS)} IS NOT NULL THEN 1 WHEN {_NEAR} THEN 2
          WHEN len(types) > 0 AND tenant_id = 'tenant_3' THEN 3
          WHEN {_first("lp", _TRIGGERS)} IS NOT NULL THEN 4 ELSE 0 END AS stop
-  FROM masked),
+  FROM masked)"""
+
+_EXPLAINED = f"""decisions AS (
+  SELECT *,
+    CASE WHEN action = 'BLOCKED' THEN concat({_percent_s(dec.EXPLAIN_BLOCKED, "reason")},
+           CASE WHEN len(types) > 0 THEN {_percent_s(dec.EXPLAIN_SCRUBBED, "array_to_string(types, ', ')")} ELSE '' END)
+      WHEN action = 'PENDING_HITL' THEN {_percent_s(dec.EXPLAIN_HITL, "reason")}
+      WHEN requires_review THEN {_percent_s(dec.EXPLAIN_FLAGGED, "review_reason")}
+      ELSE {_quoted(dec.EXPLAIN_PASSED)} END AS explanation
+  FROM decided)"""
+
+_DECISIONS = f"""
+{_STOPS},
 decided AS (
   SELECT request_id, tenant_id, ts, stop = 0 AS allowed,
     CASE stop WHEN 0 THEN 'PASSED' WHEN 4 THEN 'PENDING_HITL' ELSE 'BLOCKED' END AS action,
@@ -97,14 +108,34 @@ decided AS (
     CASE WHEN stop IN (1, 2) THEN t0 ELSE clean END AS anonymized_prompt,
     CASE WHEN stop IN (1, 2) THEN [] ELSE types END AS types
   FROM stops),
-decisions AS (
-  SELECT *,
-    CASE WHEN action = 'BLOCKED' THEN concat({_percent_s(dec.EXPLAIN_BLOCKED, "reason")},
-           CASE WHEN len(types) > 0 THEN {_percent_s(dec.EXPLAIN_SCRUBBED, "array_to_string(types, ', ')")} ELSE '' END)
-      WHEN action = 'PENDING_HITL' THEN {_percent_s(dec.EXPLAIN_HITL, "reason")}
-      WHEN requires_review THEN {_percent_s(dec.EXPLAIN_FLAGGED, "review_reason")}
-      ELSE {_quoted(dec.EXPLAIN_PASSED)} END AS explanation
-  FROM decided)"""
+{_EXPLAINED}"""
+
+# 5 to 7: the catalog's own guards that stop a request, at the start, after the identifiers and at the end.
+_INNER = r"192\.168\.[0-9.]+"
+_OWN_DECISIONS = f"""
+{_STOPS},
+halts AS (
+  SELECT *, CASE WHEN regexp_matches(t0, '{_INNER}') THEN 5 WHEN stop IN (1, 2, 3) THEN stop
+    WHEN contains(lp, 'about the contract') THEN 6 WHEN stop = 4 THEN 4
+    WHEN contains(lp, 'case ') OR contains(lp, 'lawsuit') THEN 7 ELSE 0 END AS halt,
+    regexp_extract(t0, 'report number [0-9]+') AS report
+  FROM stops),
+decided AS (
+  SELECT request_id, tenant_id, ts, halt = 0 AS allowed,
+    CASE WHEN halt = 0 THEN 'PASSED' WHEN halt IN (4, 7) THEN 'PENDING_HITL' ELSE 'BLOCKED' END AS action,
+    CASE halt WHEN 1 THEN {_TOKEN_REASON} WHEN 2 THEN {_quoted(guards.SCORE_VIOLATION)} WHEN 3 THEN {_PII_REASON}
+      WHEN 4 THEN {_percent_s(guards.HITL_REASON, "hitl_trigger")}
+      WHEN 5 THEN concat('Address of the inner network: ', regexp_extract(t0, '{_INNER}'))
+      WHEN 6 THEN 'Contracts are not discussed here.'
+      WHEN 7 THEN {_percent_s("Case named: '%s'", "CASE WHEN contains(lp, 'case ') THEN 'case ' ELSE 'lawsuit' END")}
+      ELSE {_quoted(dec.PASSED_REASON)} END AS reason,
+    halt IN (4, 7) OR (halt = 0 AND (term IS NOT NULL OR report <> '')) AS requires_review,
+    CASE WHEN halt = 0 AND term IS NOT NULL THEN {_percent_s(guards.UNFAIR_REASON, "term")}
+      WHEN halt = 0 AND report <> '' THEN {_percent_s("Report named: '%s'", "report")} END AS review_reason,
+    CASE WHEN halt IN (1, 2, 5) THEN t0 ELSE clean END AS anonymized_prompt,
+    CASE WHEN halt IN (1, 2, 5) THEN [] ELSE types END AS types
+  FROM halts),
+{_EXPLAINED}"""
 
 _ENTRY_COLUMNS = """request_id, tenant_id, ts, false AS is_output, action AS action_taken,
     CASE WHEN allowed THEN review_reason ELSE reason END AS rule_violated,
@@ -347,6 +378,11 @@ ORACLES: dict[str, str] = {
         f"""SELECT request_id, tenant_id, allowed, action, reason, requires_review, review_reason, anonymized_prompt,
         {_joined('types')} AS pii_detected, explanation FROM decisions""",
     ),
+    "decide_with_guards": _sql(
+        _OWN_DECISIONS,
+        f"""SELECT request_id, tenant_id, allowed, action, reason, requires_review, review_reason, anonymized_prompt,
+        {_joined('types')} AS pii_detected, explanation FROM decisions""",
+    ),
     "explain": _sql(_DECISIONS, "SELECT request_id, action, explanation FROM decisions"),
     "verify_output": _sql(_CHECKED, "SELECT request_id, output_allowed, output_reason FROM checked"),
     "verify_output_documents": _sql(
@@ -457,6 +493,12 @@ ORACLES: dict[str, str] = {
     "health_report": _sql(_ENTRIES, f"SELECT {_HEALTH} FROM entries"),
     "health_report_by_tenant": _sql(_ENTRIES, f"SELECT tenant_id, {_HEALTH} FROM entries GROUP BY tenant_id"),
     "verify_chain": _sql(_DAMAGED, _VERIFIED.format("intact", "ledger") + " UNION ALL " + _VERIFIED.format("damaged", "damaged")),
+    "verify_appends": _sql(
+        f"{_ENTRIES}, halves AS (SELECT {_EVENT_NO} % 2 AS half, count(*) AS n FROM entries GROUP BY 1)",
+        """SELECT runs.run, CAST(half + 1 AS INTEGER) AS append_no, CASE WHEN half + 1 = runs.run THEN 'verified' ELSE 'unchanged' END AS status,
+          CASE WHEN half + 1 = runs.run THEN n ELSE 0 END AS n_read, CAST(NULL AS BIGINT) AS first_bad_id
+        FROM halves, (SELECT unnest([1, 2, 3]) AS run) runs WHERE half + 1 <= runs.run""",
+    ),
     "hash_uniqueness": _sql(
         _DAMAGED,
         """SELECT count(*) AS total, count(DISTINCT current_hash) AS distinct_hashes

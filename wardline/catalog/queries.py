@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from wardline.catalog import views
 from wardline.operators import decide as dec
-from wardline.operators import ann, audit, guards, identity, ledger, lookups, outcomes, reports, retrieval
+from wardline.operators import ann, audit, guards, identity, ledger, lookups, outcomes, registered, reports, retrieval
 from wardline.functions.text import contained_terms, token_count
 from wardline.plans.gateway import gate, gateway_ledger
 from wardline.session import stage, work_folder
-from wardline.sources import control, corpus, ledger_table, policies, requests
+from wardline.sources import control, corpus, ledger_table, policies, requests, verified
 from wardline.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -308,6 +308,21 @@ def decide(spark, sf):
     return decisions(spark, sf).select("request_id", "tenant_id", *dec.DECISION_COLUMNS).withColumns(joined("pii_detected"))
 
 
+OWN_GUARDS = (
+    registered.pattern_guard("inner network", r"192\.168\.[0-9.]+", "Address of the inner network: %s", after="start"),
+    registered.term_guard("contracts", ["about the contract"], "Contracts are not discussed here.", after="pii"),
+    registered.term_guard("cases", ["case ", "lawsuit"], "Case named: '%s'", action=registered.REVIEW),
+    registered.pattern_guard("numbers", r"report number [0-9]+", "Report named: '%s'", action=registered.FLAG),
+)
+
+
+@query
+def decide_with_guards(spark, sf):
+    """The cascade with guards of one's own at the start, after the identifiers, at the end, and one that only marks."""
+    rows = dec.decide(views.prompts(spark, sf), views.policies(spark), views.lexicon(spark), own_guards=OWN_GUARDS)
+    return rows.select("request_id", "tenant_id", *dec.DECISION_COLUMNS).withColumns(joined("pii_detected"))
+
+
 @query
 def explain(spark, sf):
     return decisions(spark, sf).select("request_id", "action", "explanation")
@@ -476,6 +491,18 @@ def verify_chain(spark, sf):
     )
 
 
+@query
+def verify_appends(spark, sf):
+    """Two appends, each verified as it comes; a third run finds nothing new and reads no row."""
+    path, key = work_folder(spark, "ledger"), "key of the catalog's own ledger"
+    rows, runs = entries(spark, sf), []
+    for half in (0, 1):
+        ledger_table.ledger_append(rows.filter(event_no() % 2 == half), path, block_rows=SHORT_BLOCK)
+        runs.append(verified.verify_appends(spark, path, key))
+    runs.append(verified.verify_appends(spark, path, key))
+    return reduce(DataFrame.unionByName, [run.withColumn("run", F.lit(n + 1)) for n, run in enumerate(runs)])
+
+
 @query
 def hash_uniqueness(spark, sf):
     whole = sealed_ledger(spark, sf)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from wardline.operators.guards import (
     verify_output,
 )
 from wardline.operators.lookups import bind_policy
+from wardline.operators.registered import PLACES, Guard, Plan, first_finding, plan
 from wardline.sources.policies import lexicon_terms
 
 # Messages.
@@ -30,6 +33,8 @@ EXPLAIN_PASSED = "Explainability Report: The request passed all safety, privacy,
 
 # Which guard stopped a request, in the order in which they are asked.
 FORBIDDEN, SCORE, PII, HITL, NONE = 1, 2, 3, 4, 0
+# A guard of one's own: asked before identifiers are looked at, or after that.
+OWN_EARLY, OWN_LATE = 5, 6
 
 DECISION_COLUMNS = [
     "allowed",
@@ -56,21 +61,66 @@ def explanation() -> Column:
     )
 
 
+def _own(place: str) -> str:
+    return f"__own_{place}"
+
+
+def _own_findings(own: Plan, text: Column, forbidden: Column) -> list[Column]:
+    """A column per place that has guards; what a forbidden term has settled is not looked at."""
+    found = []
+    for place, some in own.places.items():
+        finding = first_finding(some, F.col("prompt"), text)
+        found.append((finding if place == "start" else F.when(~forbidden, finding)).alias(_own(place)))
+    if own.flags:
+        found.append(F.when(~forbidden, first_finding(own.flags, F.col("prompt"), text)).alias(_own("flags")))
+    return found
+
+
+def _stop(own: Plan) -> Column:
+    """Which guard stops a request: the built-in ones in their order, and after each those registered there."""
+    steps = [
+        ("start", None, None),
+        ("forbidden", F.col("forbidden_term").isNotNull(), FORBIDDEN),
+        ("score", F.col("safety_score") < F.col("threshold"), SCORE),
+        ("pii", (F.size("pii.types") > 0) & ~F.col("may_mask"), PII),
+        ("hitl", F.col("trigger").isNotNull(), HITL),
+    ]
+    cases = []
+    for place, test, code in steps:
+        if test is not None:
+            cases.append((test, code))
+        if place in own.places:
+            cases.append((F.col(_own(place)).isNotNull(), OWN_LATE if place in ("pii", "hitl") else OWN_EARLY))
+    chain = F.when(*cases[0])
+    for test, code in cases[1:]:
+        chain = chain.when(test, code)
+    return chain.otherwise(NONE)
+
+
+def _own_stop(own: Plan) -> Column | None:
+    """What the guard of one's own that stopped a request found: that of the first place with a finding."""
+    return F.coalesce(*[F.col(_own(place)) for place in PLACES if place in own.places]) if own.places else None
+
+
 def decide(
     requests: DataFrame,
     policies: DataFrame,
     lexicon: DataFrame,
     patterns=PII_PATTERNS,
     default_tenant: str | None = None,
+    own_guards: Sequence[Guard] = (),
 ) -> DataFrame:
     """Decide on every request: forbidden term, near match, identifiers, human review, bias.
 
+    ``own_guards`` are asked at their places in this cascade, in the same pass. One that stops a
+    request before identifiers are looked at leaves the prompt as it came; a later one has it masked.
+
     The first guard that stops a request settles it; bias only flags. Requests without a
     prompt are not decided on. One narrow pass: the policies are looked up by broadcast, no row is
     shuffled, and each guard runs once per row. Filters on the result do not reach the scan, so
     pick days or tenants on ``requests``.
     """
-    columns = requests.columns
+    columns, own = requests.columns, plan(own_guards)
     rows = bind_policy(requests.filter("prompt IS NOT NULL"), policies, default_tenant)
     text, policy = F.col("lower_prompt"), F.col("policy")
     rows = rows.withColumns(
@@ -91,36 +141,46 @@ def decide(
         F.when(~forbidden, masked(F.col("prompt"), patterns)).alias("pii"),
         F.when(~forbidden, first_contained(text, policy["triggers"])).alias("trigger"),
         F.when(~forbidden, first_contained(text, F.col("terms"))).alias("bias_term"),
+        *_own_findings(own, text, forbidden),
         policy["threshold"].alias("threshold"),
         policy["mask_pii"].alias("may_mask"),
         policy["fallbacks"]["token_violation"].alias("token_violation"),
         policy["fallbacks"]["pii_violation"].alias("pii_violation"),
     )
     rows = rows.withColumn("safety_score", near_match_score(F.col("near")))
-    rows = rows.withColumn(
-        "stop",
-        F.when(forbidden, FORBIDDEN)
-        .when(F.col("safety_score") < F.col("threshold"), SCORE)
-        .when((F.size("pii.types") > 0) & ~F.col("may_mask"), PII)
-        .when(F.col("trigger").isNotNull(), HITL)
-        .otherwise(NONE),
-    )
+    rows = rows.withColumn("stop", _stop(own))
 
-    stop = F.col("stop")
+    stop, finding = F.col("stop"), _own_stop(own)
     flagged = (stop == NONE) & F.col("bias_term").isNotNull()
-    # The first two guards leave the prompt as it came.
+    review_reason = F.when(flagged, fill(UNFAIR_REASON, "bias_term"))
+    if own.flags:
+        # Bias is named first, as ever.
+        marked = (stop == NONE) & F.col(_own("flags")).isNotNull()
+        review_reason = review_reason.when(marked, F.col(_own("flags"))["reason"])
+        flagged = flagged | marked
+    action = F.when(stop == NONE, "PASSED").when(stop == HITL, "PENDING_HITL")
+    reason = (
+        F.when(stop == FORBIDDEN, F.col("token_violation"))
+        .when(stop == SCORE, SCORE_VIOLATION)
+        .when(stop == PII, F.col("pii_violation"))
+        .when(stop == HITL, fill(HITL_REASON, "trigger"))
+    )
+    held = stop == HITL
+    # The first guards leave the prompt as it came.
     halted = stop.isin(FORBIDDEN, SCORE)
+    if finding is not None:
+        is_own = stop.isin(OWN_EARLY, OWN_LATE)
+        action = action.when(is_own, finding["action"])
+        reason = reason.when(is_own, finding["reason"])
+        held = held | F.when(is_own, finding["action"] == "PENDING_HITL").otherwise(False)
+        halted = halted | (stop == OWN_EARLY)
     rows = rows.withColumns(
         {
             "allowed": stop == NONE,
-            "action": F.when(stop == NONE, "PASSED").when(stop == HITL, "PENDING_HITL").otherwise("BLOCKED"),
-            "reason": F.when(stop == FORBIDDEN, F.col("token_violation"))
-            .when(stop == SCORE, SCORE_VIOLATION)
-            .when(stop == PII, F.col("pii_violation"))
-            .when(stop == HITL, fill(HITL_REASON, "trigger"))
-            .otherwise(PASSED_REASON),
-            "requires_review": (stop == HITL) | flagged,
-            "review_reason": F.when(flagged, fill(UNFAIR_REASON, "bias_term")),
+            "action": action.otherwise("BLOCKED"),
+            "reason": reason.otherwise(PASSED_REASON),
+            "requires_review": held | flagged,
+            "review_reason": review_reason,
             "anonymized_prompt": F.when(halted, F.col("prompt")).otherwise(F.col("pii.clean")),
             "pii_detected": F.when(halted, F.array().cast("array<string>")).otherwise(F.col("pii.types")),
         }

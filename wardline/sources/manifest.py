@@ -80,3 +80,9 @@ def commit(spark: SparkSession, path: str, before: Manifest, append: str, last_i
     finally:
         stream.close()
     return now
+
+
+def names_below(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies in a folder; none if there is no such folder."""
+    files, folder = _file_system(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
