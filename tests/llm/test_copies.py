@@ -195,3 +195,11 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200), (200, 150)], "a long, b long")
     labels = {r["node"]: r["label"] for r in components.components(edges).collect()}
     assert labels == {i: 0 for i in range(61)} | {100: 100, 200: 100, 150: 100}
+
+
+def test_lines_with_columns_of_any_name(spark):
+    rows = [(i, "all have this\nown " + str(i), "a", 5, "b", "c", "d") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, KEPT_TEXT string, n_lines int, __row string, __gone string, id string")
+    got = linededup.dedup_lines(df).orderBy("doc_id").collect()
+    assert got[0].__fields__ == ["doc_id", "text", "__row", "__gone", "id", "kept_text", "n_lines", "n_dropped"]
+    assert [tuple(r)[2:] for r in got] == [("b", "c", "d", f"own {i}", 2, 1) for i in range(10)]

@@ -4,6 +4,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
 
@@ -70,6 +71,27 @@ def test_packing_stage(steps):
 def test_stages_of_empty_and_odd_tables(spark, odd, none):
     for docs in (odd, none):
         docs = docs.withColumnRenamed("row", "n_chars").selectExpr("doc_id", "text", "'en' AS lang", "n_chars AS source", "cast(length(text) AS long) AS n_chars")
-        for name, apply in corpus_pipeline.STAGES[1:]:
+        for name, apply in corpus_pipeline.STAGES:
             docs = stage(apply(spark, docs, SF), "odd")
         assert docs.columns[:2] == ["doc_id", "piece"]
+
+
+#: Names that an operator gives to its results or uses inside, in either case.
+CLASHING = (
+    "score predicted Score_ __text __pattern __values __before n_card N_EMAIL __row __gone id row key lines kept_text n_lines n_dropped "
+    "__id label counts quality keep_id group_size kept text_sha256 fingerprint component_id piece start length offset sequence_id ids_crc32 held_out"
+).split()
+
+
+def test_columns_of_any_name_go_through_each_stage(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clashing = docs.select("*", *[F.concat(F.lit(f"{name} of "), F.col("doc_id").cast("string")).alias(name) for name in CLASHING])
+    plain = docs
+    for name, apply in corpus_pipeline.STAGES[:-1]:
+        plain, clashing = (stage(apply(spark, d, SF), "clash") for d in (plain, clashing))
+        assert clashing.columns == [*docs.columns, *CLASHING], name
+        assert sorted(clashing.select(docs.columns).collect()) == sorted(plain.collect()), name
+        wrong = [c for c in CLASHING if clashing.where(F.col(c) != F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string"))).count()]
+        assert wrong == [], name
+    last = [corpus_pipeline.pack_sequences(spark, d, SF) for d in (plain, clashing)]
+    assert sorted(last[0].select("doc_id", "piece", "ids_crc32").collect()) == sorted(last[1].select("doc_id", "piece", "ids_crc32").collect())

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -104,6 +105,41 @@ def test_layout_words_are_not_furniture():
     assert htmltext.main_text(page) == "Some words."
 
 
+ARTICLE = " ".join("It is what the page is about and has the words that all texts have." for _ in range(5))
+
+
+def test_what_holds_the_article_is_not_furniture():
+    for before, after in [
+        ('<div class="main-content sidebar-right"><article>', "</article></div>"),
+        ('<div class="content-with-sidebar"><article>', "</article></div>"),
+        ('<div id="social"><div class="post"><main>', "</main></div></div>"),
+        ('<form action="/x"><article>', "</article></form>"),
+        ('<form action="/x"><div class="promo">', "</div></form>"),
+        ('<div class="ad"><article><p>A short teaser of the other page.</p></article></div><article>', "</article>"),
+        ("<article>", '<div class="comments"><article><p>' + "I think that it is not so. " * 100 + "</p></article></div></article>"),
+        ("<article>", '</article><div class="related"><article><p>A teaser.</p></article></div>'),
+    ]:
+        assert htmltext.main_text(f"{before}<p>{ARTICLE}</p>{after}") == ARTICLE, before
+
+
+def test_comments_are_furniture_even_if_they_are_most_of_the_page():
+    comments = '<div class="comments"><p>' + "I think that it is not so. " * 100 + "</p></div>"
+    assert htmltext.main_text(f"<div><p>{ARTICLE}</p></div>{comments}") == ARTICLE
+    assert htmltext.main_text(f"<div><p>{ARTICLE}</p></div><div class='sidebar'><p>{ARTICLE[:200]}</p></div>") == ARTICLE
+
+
+def test_a_quote_counts_only_after_an_equals_sign():
+    for tag in ["<p title=it's>", "<p it's>", "<p \">", "<p title = 'a > b'>", '<p title="a > b" x>']:
+        assert htmltext.main_text(f"<article>{tag}{ARTICLE}</p></article>") == ARTICLE, tag
+
+
+def test_deep_and_unclosed_tags_are_linear():
+    begin = time.perf_counter()
+    for page in ("<b>" * 100_000 + "</i>" * 100_000, "<div class=ad>" * 50_000 + "x", '<p a="' * 100_000, "<p '" * 100_000):
+        assert htmltext.main_text(page) in ("", "x")
+    assert time.perf_counter() - begin < 30
+
+
 def test_main_text_by_rules_alone():
     long = "It is one of the things that you have to do in the end, and it is not what they said to us. " * 4
     page = f"<body><div><a href=x>Links and more of the links are here</a></div><p>{long}</p><p>Ok.</p><p>{long}</p><div><a href=y>next page of the list</a></div><div>tiny end</div></body>"
@@ -251,3 +287,46 @@ def test_cards_before_other_numbers(spark):
     assert re.fullmatch(r"4\d{15} 3 times", rows[6]["text"]) and re.fullmatch(r"3\d{3} \d{6} \d{5} 4", rows[7]["text"]) and re.fullmatch(r"4\d{7} \d{8} 12", rows[8]["text"])
     for row, text in zip(rows, texts, strict=True):
         assert not {"4111", "4845168114407329", "3782"} & set(row["text"].split()) and len(row["text"]) == len(text)
+
+
+def test_phones_end_before_cards_and_other_numbers(spark):
+    texts = [
+        "+1 (743) 555-3824 4111 1111 1111 1111",
+        "+1 (743) 555-3824",
+        "+1 (743) 555-3824 2019",
+        "+44 20 7946 0958 1234 5678 9012",
+        "+44 20 7946 0958 4111111111111111 x",
+    ]
+    both, alone, year, long, card = (r["text"] for r in hidden(spark, texts))
+    assert "555-3824" not in both and "4111 1111 1111 1111" not in both and both.startswith(alone + " ")
+    assert year == f"{alone} 2019"
+    assert "7946 0958" not in long and re.fullmatch(r"\+44( [0-9]+){6}", long)
+    assert "4111111111111111" not in card and "7946 0958" not in card
+    number = re.search("[0-9]{16}", card)[0]
+    assert sum(int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(number)) % 10 == 0
+
+
+def test_dates_in_timestamps_and_day_first_are_linked(spark):
+    plain, stamp, dotted, not_a_day = (r["text"] for r in hidden(spark, ["1985-12-31", "1985-12-31T10:00:00Z", "31.12.1985", "31.02.1985 1985-12-31Tx"]))
+    assert plain != "1985-12-31" and stamp == f"{plain}T10:00:00Z"
+    assert dotted == ".".join(reversed(plain.split("-"))) and not_a_day == "31.02.1985 1985-12-31Tx"
+
+
+def test_the_key_comes_from_the_session_where_it_is_not_given(spark):
+    text = ["mail a.person@example.org"]
+    given, usual = hidden(spark, text, key="another")[0]["text"], hidden(spark, text)[0]["text"]
+    df = spark.createDataFrame([(0, text[0])], "doc_id long, text string")
+    assert pii.pseudonymised(df).first()["text"] == usual
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        assert pii.pseudonymised(df).first()["text"] == given != usual
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_quality_and_counts_replace_columns_of_their_names(spark):
+    df = spark.createDataFrame([(1, "mail a@b.co", "x", 7, "y")], "doc_id long, text string, SCORE string, n_email int, predicted string")
+    model = quality.fit_from(df, spark.createDataFrame([], "doc_id long, quality int"))
+    scored = quality.scored(df, model)
+    assert scored.columns == ["doc_id", "text", "n_email", "score", "predicted"] and scored.first()["score"] == 0.0
+    assert pii.pseudonymised(df).first()["n_email"] == 1 and pii.pseudonymised(df, counts=False).first()["n_email"] == 7

@@ -24,6 +24,20 @@ def table(path: str, name: str) -> str:
     return f"{path}/{name}.parquet"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with bars added until ``df`` has no column of that name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but those named like a result, which replaces them."""
+    replaced = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in replaced]
+
+
 def texts_of(column: pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of each text; a null counts as an empty text."""
     for value in column.cast(pa.large_binary()):

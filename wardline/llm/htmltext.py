@@ -2,7 +2,9 @@
 
 A page is cut into blocks at its block-level tags. What markup names as furniture (menus, headers,
 footers, asides, forms, adverts, notices, reader comments, scripts, styles) is left out. Where a page
-marks its article, the blocks inside it are the candidates.
+marks its article, the blocks inside it are the candidates. A container that only its class or id name, or a form tag,
+makes furniture is none if it holds the page's longest article, or, on a page without articles, more than half of its
+text; what names reader comments always is.
 
 First pass: a block with many link characters is bad; a long block with many common words is good; one
 with some is near-good; one with few is bad; short blocks are undecided. Inside a marked article the
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,11 +47,11 @@ LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.15, 0.30
 LINKS_MOST = 0.25
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z))", re.S)
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-_FURNITURE = set("head nav header footer aside form button select option script style noscript template textarea title svg canvas iframe object menu dialog datalist fieldset audio video map".split())
+_FURNITURE = set("head nav header footer aside button select option script style noscript template textarea title svg canvas iframe object menu dialog datalist fieldset audio video map".split())
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar", "alertdialog"}
 #: Parts of class and id names, cut at anything but letters and digits, that name furniture.
 _NAMES = set(
@@ -57,10 +60,12 @@ _NAMES = set(
     cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login
     share sharing social related recommended comment comments commentlist discussion disqus respond reply replies""".split()
 )
+_COMMENT_NAMES = {"comment", "comments", "commentlist", "discussion", "disqus", "respond", "reply", "replies"}
 #: Words that say what a page's layout has or lacks beside this block, not what the block is.
 _LAYOUT = re.compile(r"^(?:has|with|no|without)(?=[^a-z0-9])")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=\s|/|$)", re.I | re.S)
 _ARTICLE = {"article", "main"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 @dataclass
@@ -71,48 +76,92 @@ class Block:
     linked: int
     heading: bool
     in_article: bool
+    place: int = 0
     label: str = ""
 
 
-def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
+#: What a tag is: text, furniture whatever it holds, furniture unless it holds the article, reader comments.
+_TEXT, _NEVER, _MAYBE, _COMMENTS = range(4)
+
+
+@dataclass
+class _Place:
+    """A container that may be furniture, or an outermost article, inside another one."""
+
+    parent: int
+    kind: int
+    article: bool
+    length: int = 0
+    dropped: bool = False
+
+
+def _is_furniture(tag: str, attributes: str, in_article: bool) -> int:
     if tag in _FURNITURE:
         # An article's own header holds its title.
-        return not (tag == "header" and in_article)
+        return _TEXT if tag == "header" and in_article else _NEVER
+    found = _MAYBE if tag == "form" else _TEXT
     for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
         value = next((v for v in values if v), "").lower()
         kind = name.lower()
         if kind == "hidden" or (kind == "aria-hidden" and value == "true") or (kind == "role" and value in _ROLES):
-            return True
-        if kind in ("class", "id") and tag not in ("html", "body", *_ARTICLE) and any(part in _NAMES for word in value.split() if not _LAYOUT.match(word) for part in re.split(r"[^a-z0-9]+", word)):
-            return True
-    return False
+            return _NEVER
+        if kind in ("class", "id") and tag not in ("html", "body", *_ARTICLE):
+            parts = {part for word in value.split() if not _LAYOUT.match(word) for part in re.split(r"[^a-z0-9]+", word)}
+            if parts & _NAMES:
+                found = _COMMENTS if found == _COMMENTS or parts & _COMMENT_NAMES else _MAYBE
+    # Inside a line of text there is no article to hold.
+    return _NEVER if found and tag in _INLINE else found
+
+
+def _drop_furniture(blocks: list[Block], places: list[_Place]) -> list[Block]:
+    """The blocks outside what turns out to be furniture."""
+    for block in blocks:
+        places[block.place].length += len(block.text)
+    for place in reversed(places[1:]):
+        places[place.parent].length += place.length
+    articles = [k for k, place in enumerate(places) if place.article]
+    holds = set()
+    if articles:
+        at = max(articles, key=lambda k: places[k].length)
+        while at:
+            holds.add(at)
+            at = places[at].parent
+    else:
+        holds = {k for k, place in enumerate(places) if 2 * place.length > places[0].length}
+    for k, place in enumerate(places):
+        bad = place.kind == _COMMENTS or place.kind == _MAYBE and k not in holds
+        place.dropped = k > 0 and (bad or places[place.parent].dropped)
+    return [block for block in blocks if not places[block.place].dropped]
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks without furniture, in order, their text decoded and its white space made single."""
     out: list[Block] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # tag, furniture, article
-    furniture = articles = links = heading = 0
+    open_tags: list[tuple[str, bool, bool, int]] = []  # tag, furniture, article, the place around it
+    n_open: Counter[str] = Counter()
+    places = [_Place(0, _TEXT, False)]
+    furniture = articles = links = heading = here = 0
     parts: list[str] = []
     linked: list[str] = []
 
     def flush() -> None:
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, len(" ".join("".join(linked).split())), heading > 0, articles > 0))
+            out.append(Block(text, len(" ".join("".join(linked).split())), heading > 0, articles > 0, here))
         parts.clear()
         linked.clear()
 
     def close(tag: str) -> None:
-        nonlocal furniture, articles, links, heading
-        for k in range(len(open_tags) - 1, -1, -1):
-            if open_tags[k][0] == tag:
-                for name, bad, article in open_tags[k:]:
-                    furniture -= bad
-                    articles -= article
-                    links -= name == "a"
-                    heading -= bool(re.fullmatch("h[1-6]", name))
-                del open_tags[k:]
+        nonlocal furniture, articles, links, heading, here
+        # Each tag is closed once, and a tag that is not open closes none.
+        while n_open[tag]:
+            name, bad, article, here = open_tags.pop()
+            n_open[name] -= 1
+            furniture -= bad
+            articles -= article
+            links -= name == "a"
+            heading -= name in _HEADINGS
+            if name == tag:
                 return
 
     at = 0
@@ -152,14 +201,19 @@ def blocks_of(page: str) -> list[Block]:
             close("a")
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and open_tags and open_tags[-1][0] == tag:
             close(tag)
-        bad, article = _is_furniture(tag, attributes, articles > 0), tag in _ARTICLE
-        open_tags.append((tag, bad, article))
+        kind, article = _is_furniture(tag, attributes, articles > 0), tag in _ARTICLE
+        bad = kind == _NEVER
+        open_tags.append((tag, bad, article, here))
+        n_open[tag] += 1
+        if kind in (_MAYBE, _COMMENTS) or article and not articles:
+            places.append(_Place(here, kind, article and not articles and not furniture))
+            here = len(places) - 1
         furniture += bad
         articles += article
         links += tag == "a"
-        heading += bool(re.fullmatch("h[1-6]", tag))
+        heading += tag in _HEADINGS
     flush()
-    return out
+    return _drop_furniture(out, places)
 
 
 _EDGES = re.compile(r"^\W+|\W+$")

@@ -7,7 +7,8 @@ to count documents and find the first occurrence. The filters have a fixed size:
 them, more lines become suspects, and the result stays exact.
 
 A null or empty text is one empty line. A document is a row; rows alike in everything count as
-separate documents. An empty table gives an empty result.
+separate documents. An empty table gives an empty result. Columns named like a result are replaced by it;
+all others come back as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.common import as_binary, has_bits, set_bits, shuffle_partitions, texts_of
+from wardline.llm.common import as_binary, fresh, has_bits, set_bits, shuffle_partitions, texts_of, without
 from wardline.session import stage
 
 #: Bits of each of the two filters: 4 MB each, the only thing that is broadcast.
@@ -154,15 +155,17 @@ def dedup_lines(
         hits = hits.withColumn("lines", F.when(own, F.expr("filter(lines, x -> x <> first.line)")).otherwise(F.col("lines")))
     # A row that occurs twice has its lines twice here; a set of line numbers does not mind.
     drops = stage(hits.groupBy("id", "row").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("__gone")), "line-drops")
-    marked = df.withColumn("__row", F.xxhash64(id_col, text_col))
-    joined = marked.join(drops, marked[id_col].cast("long").eqNullSafe(drops["id"]) & (marked["__row"] == drops["row"]), "left").select(*[marked[c] for c in df.columns], "__gone")
-    schema = T.StructType([*df.schema.fields, T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    row, read, kept_columns = fresh(df, "__row"), fresh(df, "__text"), without(df, "kept_text", "n_lines", "n_dropped")
+    marked = df.withColumns({row: F.xxhash64(id_col, text_col), read: as_binary(text_col)})
+    same = marked[id_col].cast("long").eqNullSafe(drops["id"]) & (marked[row] == drops["row"])
+    joined = marked.join(drops, same, "left").select(*[marked[c] for c in (*kept_columns, read)], drops["__gone"].alias(fresh(marked, "__gone")))
+    schema = T.StructType([*(df.schema[c] for c in kept_columns), T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = batch.column("__gone").to_pylist()
+            *columns, texts, gone = batch.columns
             kept, n_lines, n_dropped = [], [], []
-            for text, numbers in zip(texts_of(batch.column(text_col)), gone, strict=True):
+            for text, numbers in zip(texts_of(texts), gone.to_pylist(), strict=True):
                 n_lines.append(text.count(b"\n") + 1)
                 n_dropped.append(len(numbers or ()))
                 if numbers:
@@ -170,6 +173,6 @@ def dedup_lines(
                     text = b"\n".join(line for n, line in enumerate(text.split(b"\n")) if n not in without)
                 kept.append(text)
             new = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, *new], names=schema.names)
 
     return joined.mapInArrow(rebuild, schema)

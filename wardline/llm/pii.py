@@ -7,7 +7,11 @@ permutation depends on the key and the kind alone, so equal values stay linked a
 different values stay different.
 
 Null texts stay null; texts without identifiers come back as they are. Rows are treated one by one:
-repeated rows, ties and other columns do not matter.
+repeated rows and ties do not matter. Columns named like a count (``n_<kind>``) are replaced by it where counts are asked
+for; all others come back as they are, whatever their names.
+
+The key is a secret: give it, or name it in the session's ``KEY_SETTING``. Without either a demo key is taken,
+whose pseudonyms anyone can undo.
 """
 
 from __future__ import annotations
@@ -15,7 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.llm.common import fresh
+
 DEFAULT_KEY = "wardline-demo-key"
+KEY_SETTING = "spark.wardline.pii.key"
 ROUNDS = 4
 
 #: Patterns by kind, in order of precedence. Each begins where no such run can have begun before, so that
@@ -24,14 +31,21 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
     "secret": r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
-    "date": r"(?<![0-9A-Za-z.\-/])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z]|[.\-/][0-9])",
+    "date": r"(?<![0-9A-Za-z.\-/])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?:(?=T[0-9]{2}:)|(?![0-9A-Za-z]|[.\-/][0-9]))"
+    r"|(?<![0-9A-Za-z.\-/])[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}(?![0-9A-Za-z]|[.\-/][0-9])",
     "ssn": r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
-    "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,3}(?![0-9A-Za-z])"
+    # Numbers of the country code 1 end after ten more digits, all others after fifteen in all, whatever follows.
+    "phone": r"(?<![0-9A-Za-z])\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9A-Za-z])"
+    r"|(?<![0-9A-Za-z])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?~no card~[0-9]{2,4}){1,3}(?<!~sixteen~)(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z+)])\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z.\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![0-9A-Za-z]|[.\-][0-9])",
     "card": r"(?<![0-9A-Za-z])[2-6](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
+# A look behind takes no repeated groups: sixteen digits are spelled out.
+PATTERNS["phone"] = PATTERNS["phone"].replace("~sixteen~", r"[0-9][ .()\-]{0,3}" * 15 + "[0-9]")
 KINDS = tuple(PATTERNS)
+#: Where a phone number's next group would be the beginning of a card, the number ends.
+_BEFORE_CARD = "~no card~"
 #: What matches nothing; stands for the cards of a text without any.
 _NO_CARD = "(?!)"
 #: The cards of a text are worked out first, as only their check digit tells where one ends; ``~cards~`` stands for them.
@@ -184,12 +198,21 @@ def _date(value: Column, key: str) -> Column:
     return F.when(day.isNotNull(), common).otherwise(leap)
 
 
+def _is_dotted(date: Column) -> Column:
+    return F.substring(date, 3, 1) == "."
+
+
+def _iso(date: Column) -> Column:
+    """Year first: a date written day first (``31.12.1985``) has the pseudonym of the same day."""
+    return F.when(_is_dotted(date), F.concat_ws("-", F.substring(date, 7, 4), F.substring(date, 4, 2), F.substring(date, 1, 2))).otherwise(date)
+
+
 def _is(kind: str):
     return lambda v: v["kind"] == kind
 
 
 def _whole(pattern: str) -> str:
-    return f"^(?:{pattern})$"
+    return f"^(?:{pattern.replace(_BEFORE_CARD, '')})$"
 
 
 def _is_card(value: Column) -> Column:
@@ -215,7 +238,9 @@ def _pattern(cards: Column) -> Column:
     # The longest first, as a card may be the beginning of another one.
     longest_first = F.array_sort(F.array_distinct(cards), lambda a, b: F.length(b) - F.length(a))
     some = F.concat(F.lit("(?<![0-9A-Za-z])(?:"), F.array_join(longest_first, "|"), F.lit(")(?![0-9A-Za-z])"))
-    return F.when(F.size(cards) > 0, F.replace(F.lit(_ANY), F.lit("~cards~"), some)).otherwise(_ANY.replace("~cards~", _NO_CARD))
+    any_card = F.replace(F.lit(_ANY), F.lit("~cards~"), some)
+    any_card = F.replace(any_card, F.lit(_BEFORE_CARD), F.concat(F.lit("(?!"), some, F.lit(")")))
+    return F.when(F.size(cards) > 0, any_card).otherwise(_ANY.replace("~cards~", _NO_CARD).replace(_BEFORE_CARD, ""))
 
 
 def kind_of(value: Column) -> Column:
@@ -227,7 +252,7 @@ def kind_of(value: Column) -> Column:
         # A run of letters only, or of one figure, is a word or a rule, not a secret.
         "secret": value.rlike("[0-9]") & value.rlike("[A-Fa-f]"),
         "ip": F.forall(octets, lambda x: x.try_cast("int") <= 255),
-        "date": F.try_to_date(value, "yyyy-MM-dd").isNotNull(),
+        "date": F.try_to_date(_iso(value), "yyyy-MM-dd").isNotNull(),
         "ssn": ~value.rlike("^(?:000|666|9)|-00-|-0000$"),
         "phone": F.length(digits).between(7, 15),
         "card": _is_card(value),
@@ -242,7 +267,7 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
         "email": F.concat(feistel(F.substring(value, F.lit(1), at - 1), "email", key), F.substring(value, at, F.length(value))),
         "secret": feistel(value, "secret", key, hex_only=True),
         "ip": _ip(value, key),
-        "date": _date(value, key),
+        "date": _one_by_one(_date(_iso(value), key), lambda d: F.when(_is_dotted(value), F.concat_ws(".", F.substring(d, 9, 2), F.substring(d, 6, 2), F.substring(d, 1, 4))).otherwise(d)),
         "ssn": feistel(value, "ssn", key),
         # The country code stays where it is.
         "phone": F.concat(F.regexp_extract(value, r"^(?:\+[0-9]{1,3}(?=[ .\-(]))?", 0), feistel(F.regexp_replace(value, r"^\+[0-9]{1,3}(?=[ .\-(])", ""), "phone", key)),
@@ -251,20 +276,24 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     return F.coalesce(*[F.when(kind == k, v) for k, v in made.items()], value)
 
 
-def pseudonymised(df: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
-    """``df`` with its text under pseudonyms and ``n_<kind>``, how many values of each kind it had."""
+def pseudonymised(df: DataFrame, text_col: str = "text", key: str | None = None, counts: bool = True) -> DataFrame:
+    """``df`` with its text under pseudonyms and, with ``counts``, ``n_<kind>``: how many values of each kind it had."""
+    key = key or df.sparkSession.conf.get(KEY_SETTING, None) or DEFAULT_KEY
     text = F.col(text_col)
+    whole, pattern, values = (fresh(df, n) for n in ("__text", "__pattern", "__values"))
     # Only texts that can have an identifier are cut up.
-    found = df.withColumn("__text", F.when(text.rlike(_NECESSARY), text))
-    found = found.withColumn("__pattern", _pattern(_cards(F.col("__text"))))
-    found = found.withColumn("__values", F.regexp_extract_all("__text", F.col("__pattern"), F.lit(0)))
-    some = F.size("__values") > 0
-    found = found.withColumn("__values", F.when(some, F.transform("__values", lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))))
-    new = F.transform("__values", lambda v: pseudonym(v["value"], v["kind"], key))
-    between = F.split("__text", F.col("__pattern"), -1)
+    found = df.withColumn(whole, F.when(text.rlike(_NECESSARY), text))
+    found = found.withColumn(pattern, _pattern(_cards(F.col(whole))))
+    found = found.withColumn(values, F.regexp_extract_all(whole, F.col(pattern), F.lit(0)))
+    some = F.size(values) > 0
+    found = found.withColumn(values, F.when(some, F.transform(values, lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))))
+    new = F.transform(values, lambda v: pseudonym(v["value"], v["kind"], key))
+    between = F.split(whole, F.col(pattern), -1)
     rebuilt = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    counts = {f"n_{k}": F.when(some, F.size(F.filter("__values", _is(k)))).otherwise(0) for k in KINDS}
-    return found.withColumns({text_col: F.when(F.col("__values").isNotNull(), rebuilt).otherwise(text), **counts}).drop("__text", "__pattern", "__values")
+    results = {text_col: F.when(F.col(values).isNotNull(), rebuilt).otherwise(text)}
+    if counts:
+        results |= {f"n_{k}": F.when(some, F.size(F.filter(values, _is(k)))).otherwise(0) for k in KINDS}
+    return found.withColumns(results).drop(whole, pattern, values)
 
 
 __all__ = ["KINDS", "PATTERNS", "feistel", "kind_of", "luhn_digit", "pseudonym", "pseudonymised"]

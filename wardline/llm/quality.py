@@ -8,6 +8,7 @@ blocks, and the labels of its nearest neighbours vote, weighted by similarity.
 
 Null and empty texts have no words: their score is 0. Labels without a document, or null, are not
 used; repeated ones count once each. Without labelled documents of either kind all scores are 0.
+Columns named like a result are replaced by it; all others come back as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wardline.llm.common import as_binary, slices, texts_of
+from wardline.llm.common import as_binary, fresh, slices, texts_of, without
 
 #: Bound on the labelled documents that the space and the votes come from, the least hashes of their ids.
 MAX_LABELLED = 3000
@@ -145,24 +147,27 @@ def fit_from(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(data, got.column("label").to_numpy())
 
 
-def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with ``score`` (0 to 1) and ``predicted``."""
+def scored(df: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """``df`` with the score (0 to 1) and the prediction; columns of these names are replaced."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", score double"
+    kept = without(df, score_col, predicted_col)
+    read = fresh(df, "__text")
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(score_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             scores = []
             block: list[np.ndarray] = []
-            for text in texts_of(batch.column("__text")):
+            for text in texts_of(batch.columns[-1]):
                 block.append(term_counts(text))
                 if len(block) == _BLOCK:
                     scores.append(own.scores(np.stack(block)))
                     block = []
             if block:
                 scores.append(own.scores(np.stack(block)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*batch.schema.names[:-1], "score"])
+            new = pa.array(np.concatenate(scores) if scores else np.zeros(0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], new], names=schema.names)
 
-    rows = df.withColumn("__text", as_binary(text_col))
-    return rows.mapInArrow(run, schema).withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], as_binary(text_col).alias(read))
+    return rows.mapInArrow(run, schema).withColumn(predicted_col, F.when(F.col(f"`{score_col}`") >= THRESHOLD, 1).otherwise(0))
