@@ -1,8 +1,8 @@
 """A training corpus from raw documents: five stages, each a corpus operator.
 
 Each stage is written as Parquet below ``spark.checkpoint.dir`` and read again by the next one. Null
-and empty texts, repeated rows and further columns go the way that the operators document; an empty
-table gives an empty result.
+and empty texts and repeated rows go the way that the operators document; an empty table gives an empty
+result. Further columns of the documents, whatever their names, stay as they are up to the last stage.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import exactdedup, packing, pii, quality, simhash
-from wardline.llm.common import table
+from wardline.llm.common import fresh, table
 from wardline.llm.queries import tokenizer_path
 from wardline.session import stage
 
@@ -19,7 +19,9 @@ from wardline.session import stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality.fit_from(docs, spark.read.parquet(table(sf_dir, "labels")))
-    return quality.scored(docs, model).where(F.col("predicted") == 1).select(docs.columns)
+    score, predicted = fresh(docs, "score"), fresh(docs, "predicted")
+    judged = quality.scored(docs, model, score_col=score, predicted_col=predicted)
+    return judged.where(F.col(predicted) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +36,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data under pseudonyms; the length column follows the text."""
-    hidden = pii.pseudonymised(docs.withColumn("__before", F.length("text"))).select(*docs.columns, "__before")
+    before = fresh(docs, "__before")
+    hidden = pii.pseudonymised(docs.withColumn(before, F.length("text")), counts=False)
     if "n_chars" in docs.columns:
-        same = F.col("__before") == F.length("text")
+        same = F.col(before) == F.length("text")
         hidden = hidden.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return hidden.select(docs.columns)
+    return hidden.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
