@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline import config
-from wardline.plans.joins import lookup_join
+from wardline.plans.asof import HELD, flag_at
 from wardline.schemas import CONTROL_FILE
-from wardline.session import stage
 
 
 def control_state(spark: SparkSession, path: str = config.CONTROL_STATE) -> DataFrame:
@@ -32,23 +31,10 @@ def latest_state(control_log: DataFrame, keys: list[str] | None = None) -> DataF
     return control_log.groupBy(*(keys or [])).agg(F.coalesce(last, F.lit(False)).alias("kill_switch_active"))
 
 
-def flag_as_of(requests: DataFrame, control_log: DataFrame) -> DataFrame:
+def flag_as_of(requests: DataFrame, control_log: DataFrame, held: int = HELD) -> DataFrame:
     """Add ``kill_switch_active``: the state of the switch when each request came in.
 
-    A change holds until the next one. Changes are cut at day bounds and looked up by day, so
-    the join is an equi-join and no window runs over the requests; after the last change the
-    state is a constant. The log is a short list of an operator's actions, hence its own window;
-    it is staged, as it is read several times.
+    A change holds until the next one. A log of up to ``held`` changes is looked up by binary search, a longer one
+    merged with the requests in order of time.
     """
-    changes = stage(control_log.groupBy("ts").agg(F.bool_or("active").alias("active")), "switch")
-    spans = changes.select(
-        F.col("ts").alias("__since"), F.lead("ts").over(Window.orderBy("ts")).alias("__until"), F.col("active").alias("__active")
-    ).filter("__until IS NOT NULL")
-    by_day = spans.withColumn("__day", F.explode(F.sequence(F.to_date("__since"), F.to_date("__until"))))
-    last = changes.agg(F.max_by(F.struct("ts", "active"), "ts")).scalar()
-    holds = (F.col("ts") >= F.col("__since")) & (F.col("ts") < F.col("__until"))
-    joined = lookup_join(requests.withColumn("__day", F.to_date("ts")), by_day, ["__day"], condition=holds)
-    state = F.when(F.col("ts") >= last["ts"], last["active"]).otherwise(F.col("__active"))
-    return joined.withColumn("kill_switch_active", F.coalesce(state, F.lit(False))).drop(
-        "__day", "__since", "__until", "__active"
-    )
+    return flag_at(requests, control_log, "ts", "ts", "active", "kill_switch_active", held)
