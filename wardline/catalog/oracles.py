@@ -6,7 +6,7 @@ import json
 
 from wardline import config
 from wardline.catalog.queries import SHORT_BLOCK
-from wardline.catalog.views import CONTROL_LOG_SQL, PROMPTS_SQL, RESPONSES_SQL, REVIEWS_SQL, SAMPLES_SQL
+from wardline.catalog.views import CONTROL_LOG_SQL, PROMPTS_SQL, RESPONSES_SQL, REVIEWS_SQL, SAMPLES_SQL, SPELLINGS_SQL
 from wardline.functions.pii import PII_PATTERNS
 from wardline.operators import decide as dec
 from wardline.operators import guards, outcomes, retrieval
@@ -75,10 +75,54 @@ _OUTPUT_REASON = (
     f"CASE WHEN len(types) > 0 THEN {_percent_s(guards.OUTPUT_BLOCKED, 'array_to_string(types, chr(44) || chr(32))')}"
     f" ELSE {_quoted(guards.OUTPUT_CLEAN)} END"
 )
-# Only one kind of prompt is a near match without holding a term.
-_NEAR = "lp = 'jailbraek'"
+def _candidate(text: str) -> str:
+    """The text if any term shares enough characters with it to reach the ratio, else null."""
+    shared = (
+        f"list_sum(list_transform(list_distinct(string_split(t, '')), lambda c:"
+        f" least(len(t) - len(replace(t, c, '')), len({text}) - len(replace({text}, c, '')))))"
+    )
+    near = (
+        f"5 * least(len(t), len({text})) > 2 * (len(t) + len({text}))"
+        f" AND 5 * {shared} > 2 * (len(t) + len({text}))"
+    )
+    short = f"len({text}) < {1.5 * max(map(len, _TOKENS))}"
+    return f"CASE WHEN {short} THEN CASE WHEN len(list_filter({_list(_TOKENS)}, lambda t: {near})) > 0 THEN {text} END END"
+
+
+def _block(a: str, b: str) -> str:
+    """The longest block that both texts have, the first one of that length in ``a``, at its first place in ``b``."""
+    part = f"substr({a}, i, n)"
+    found = f"CASE WHEN contains({b}, {part}) THEN {{'n': n, 'i': -i, 'j': -instr({b}, {part})}} END"
+    by_length = f"list_transform(range(1, len({a}) - i + 2), lambda n: {found})"
+    return f"list_max(flatten(list_transform(range(1, len({a}) + 1), lambda i: {by_length})))"
+
+
+def _near_texts(source: str) -> str:
+    """CTEs over the texts ``lp`` of ``source``, down to ``near``, those whose ratio with a term is above 4/5.
+
+    The ratio counts the characters of the longest common block and, in the same way, of what lies left and
+    right of it in both.
+    """
+    left = "{'a': substr(a, 1, -k.i - 1), 'b': substr(b, 1, -k.j - 1)}"
+    right = "{'a': substr(a, -k.i + k.n), 'b': substr(b, -k.j + k.n)}"
+    return f"""
+candidates AS (SELECT DISTINCT {_candidate("lp")} AS lp FROM {source}),
+blocks AS (
+  SELECT lp, term, term AS a, lp AS b, {_block("term", "lp")} AS k
+  FROM candidates, (SELECT unnest({_list(_TOKENS)}) AS term) WHERE lp IS NOT NULL
+  UNION ALL
+  SELECT lp, term, rest.a, rest.b, {_block("rest.a", "rest.b")}
+  FROM (SELECT lp, term, unnest([{left}, {right}]) AS rest FROM blocks WHERE k IS NOT NULL)
+  WHERE rest.a <> '' AND rest.b <> ''),
+near AS (
+  SELECT DISTINCT lp FROM (SELECT lp, term, coalesce(sum(k.n), 0) AS m FROM blocks GROUP BY lp, term)
+  WHERE 5 * m > 2 * (len(term) + len(lp)))"""
 
-_STOPS = f"""{_VALID},
+
+_NEAR = "lp IN (SELECT lp FROM near)"
+_VALID_NEAR = f"{_VALID}, {_near_texts('valid')}"
+
+_STOPS = f"""{_VALID_NEAR},
 {_masked("valid", "request_id", "prompt", ", tenant_id, ts, lp")},
 stops AS (
   SELECT *, {_first("lp", _TRIGGERS)} AS hitl_trigger, {_first("lp", _TERMS)} AS term,
@@ -237,20 +281,6 @@ nearest AS (
 _NEAREST_DOCUMENTS = _nearest(2, "(SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))")
 
 
-def _candidate(text: str) -> str:
-    """The text if any term shares enough characters with it to reach the ratio, else null."""
-    shared = (
-        f"list_sum(list_transform(list_distinct(string_split(t, '')), lambda c:"
-        f" least(len(t) - len(replace(t, c, '')), len({text}) - len(replace({text}, c, '')))))"
-    )
-    near = (
-        f"5 * least(len(t), len({text})) > 2 * (len(t) + len({text}))"
-        f" AND 5 * {shared} > 2 * (len(t) + len({text}))"
-    )
-    short = f"len({text}) < {1.5 * max(map(len, _TOKENS))}"
-    return f"CASE WHEN {short} THEN CASE WHEN len(list_filter({_list(_TOKENS)}, lambda t: {near})) > 0 THEN {text} END END"
-
-
 _TOKEN_COUNT = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda t: t <> ''))"
 _PREVIEW = """id, concat(substr(request_id, 1, 18), '...') AS request_id, tenant_id, action_taken,
   coalesce(rule_violated, '—') AS rule_violated, review_status, concat(substr(current_hash, 1, 14), '…') AS hash_preview"""
@@ -329,9 +359,13 @@ ORACLES: dict[str, str] = {
     "safety_candidates_documents": _sql(
         "docs AS (SELECT doc_id, lower(text) AS lp FROM documents)", f"SELECT doc_id, {_candidate('lp')} AS candidate FROM docs"
     ),
-    "safety_score": _sql(_VALID, f"SELECT request_id, CASE WHEN {_NEAR} THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS safety_score FROM valid"),
+    "safety_score": _sql(_VALID_NEAR, f"SELECT request_id, CASE WHEN {_NEAR} THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS safety_score FROM valid"),
+    "safety_score_spellings": _sql(
+        f"spelled AS ({SPELLINGS_SQL}), valid AS (SELECT *, lower(prompt) AS lp FROM spelled), {_near_texts('valid')}",
+        f"SELECT event_id, prompt, CASE WHEN {_NEAR} THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS safety_score FROM valid",
+    ),
     "guard_threshold": _sql(
-        _VALID,
+        _VALID_NEAR,
         f"SELECT request_id, CASE WHEN {_NEAR} THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS safety_score, {_NEAR} AS below_threshold FROM valid",
     ),
     "mask_pii": _sql(

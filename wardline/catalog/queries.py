@@ -239,6 +239,14 @@ def safety_score(spark, sf):
     return guards.safety_score(bound_prompts(spark, sf)).select("request_id", "safety_score")
 
 
+@query
+def safety_score_spellings(spark, sf):
+    """Near spellings of the policy's terms, on both sides of the ratio's limit."""
+    spelled = views.view(spark, sf, views.SPELLINGS_SQL).withColumn("tenant_id", F.lit("tenant_0"))
+    bound = lookups.bind_policy(spelled, views.policies(spark))
+    return guards.safety_score(bound).select("event_id", "prompt", "safety_score")
+
+
 @query
 def guard_threshold(spark, sf):
     return guards.guard_threshold(bound_prompts(spark, sf)).select("request_id", "safety_score", "below_threshold")

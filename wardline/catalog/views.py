@@ -59,6 +59,24 @@ UNION ALL
 SELECT concat('ghost-', CAST(event_id AS STRING)), 'APPROVED', ts FROM events WHERE event_type = 'error'
 """
 
+# Terms of the policy, cut, lengthened, garbled and turned by up to six characters: some ratios are just under, at
+# and just over the limit (a term of nine letters without its last three has 0.8).
+_TERMS = ["jailbreak", "phishing", "exploit payload", "Build a Bomb", "self-harm", "deepfake", "unauthorized access", "malware"]
+SPELLINGS_SQL = f"""
+SELECT event_id,
+       CASE CAST(event_id % 5 AS INT)
+         WHEN 0 THEN substr(term, 1, CAST(length(term) - n AS INT))
+         WHEN 1 THEN concat(substr(term, 1, n), term)
+         WHEN 2 THEN replace(term, substr(term, n + 1, 1), 'x')
+         WHEN 3 THEN concat(substr(term, n + 1), substr(term, 1, n))
+         ELSE concat(substr(term, 1, n), '-', substr(term, n + 2), 'é')
+       END AS prompt
+FROM (
+  SELECT event_id, CAST(user_id % 7 AS INT) AS n,
+         CASE CAST(event_id % {len(_TERMS)} AS INT) {" ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(_TERMS))} END AS term
+  FROM events) spelled
+"""
+
 SAMPLES_SQL = """
 SELECT CAST(CAST(ts AS DATE) AS STRING) AS run,
        CASE event_type WHEN 'signup' THEN 403 WHEN 'error' THEN 500 WHEN 'purchase' THEN 503 ELSE 200 END AS status,
