@@ -1,6 +1,7 @@
 """Exact copies, repeated lines and SimHash groups against plain Python."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -114,6 +115,37 @@ def test_lines_of_odd_rows(odd, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 3, 40])
+@pytest.mark.parametrize("min_docs", [2, 10])
+def test_lines_that_are_not_sent_are_found_by_the_join(documents, texts, min_docs, hot, monkeypatch):
+    monkeypatch.setattr(linededup, "HOT", hot)
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_text"]) for r in linededup.dedup_lines(documents, min_docs=min_docs).collect()}
+    ids = sorted(texts)
+    assert [got[i] for i in ids] == plain_lines([texts[i] for i in ids], min_docs)
+
+
+@pytest.mark.parametrize("hot", [1, 2, 100])
+def test_first_occurrences_stay_either_way(spark, hot, monkeypatch):
+    monkeypatch.setattr(linededup, "HOT", hot)
+    rng = random.Random(5)
+    texts = {i: "\n".join(f"{'Line' if rng.random() < 0.5 else 'line'} {rng.randrange(12)}" for _ in range(rng.randrange(6))) for i in range(60)}
+    seen, expected = Counter(), {}
+    for text in texts.values():
+        seen.update({line.lower() for line in text.split("\n") if line})
+    kept_before = set()
+    for i, text in sorted(texts.items()):
+        kept = []
+        for line in text.split("\n"):
+            key = line.lower()
+            if not key or seen[key] < 2 or key not in kept_before:
+                kept.append(line)
+            kept_before.add(key)
+        expected[i] = "\n".join(kept)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["kept_text"] for r in linededup.dedup_lines(df, min_docs=2, keep_first=True).collect()}
+    assert got == expected
+
+
 def test_first_occurrence_stays(spark):
     df = spark.createDataFrame([(3, "A\nq"), (1, "z\na\nA"), (2, "a ")], "doc_id long, text string")
     rows = {r["doc_id"]: r["kept_text"] for r in linededup.dedup_lines(df, min_docs=2, keep_first=True).collect()}
