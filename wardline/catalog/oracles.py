@@ -287,6 +287,23 @@ _PREVIEW = """id, concat(substr(request_id, 1, 18), '...') AS request_id, tenant
 _ITEM = """id, request_id, concat(substr(request_id, 1, 22), '...') AS request_preview,
   coalesce(rule_violated, 'None') AS rule, action_taken = 'PENDING_HITL' AS is_hitl,
   CASE WHEN action_taken = 'PENDING_HITL' THEN '🛑 HITL PAUSE:' ELSE '⚠ REVIEW:' END AS label"""
+
+
+def _weighed(name: str, source: str, key: str) -> str:
+    """CTEs down to ``name`` with ``key, term, weight``: counts times rarity among the documents, of unit length."""
+    return f"""
+{name}_words AS (SELECT {key}, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nd}}]+')) AS term FROM {source}),
+{name}_raw AS (
+  SELECT {key}, term, count(*) * rarity AS weight FROM {name}_words JOIN rarity USING (term) GROUP BY {key}, term, rarity),
+{name} AS (SELECT {key}, term, weight / sqrt(sum(weight * weight) OVER (PARTITION BY {key})) AS weight FROM {name}_raw)"""
+
+
+_RARITY = """
+rarity AS (
+  SELECT term, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS rarity
+  FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+')) AS term FROM documents)
+  GROUP BY term HAVING count(*) < (SELECT count(*) FROM documents))"""
+
 _REVIEWED = f"""
 {_LEDGER},
 reviews AS ({REVIEWS_SQL}),
@@ -460,6 +477,19 @@ ORACLES: dict[str, str] = {
         f"""SELECT request_id, tenant_id, {len(_TOKENS)} AS n_forbidden, {len(_TRIGGERS)} AS n_triggers,
           tenant_id <> 'tenant_3' AS mask_pii, 0.8::DOUBLE AS threshold FROM valid""",
     ),
+    "embed_tfidf": _sql(
+        f"{_RARITY}, {_weighed('items', 'documents', 'doc_id')}",
+        """SELECT doc_id, CAST(count(term) AS INT) AS n_features, coalesce(round(max(weight), 6), 0.0::DOUBLE) AS greatest_weight
+        FROM documents LEFT JOIN items USING (doc_id) GROUP BY doc_id""",
+    ),
+    "question_passages": _sql(
+        f"""{_RARITY}, {_weighed('items', 'documents', 'doc_id')}, {_weighed('asked', 'benchmark', 'item_id')},
+        scored AS (
+          SELECT a.item_id AS query_id, doc_id AS item_id, round(sum(a.weight * i.weight), 6) AS similarity
+          FROM asked a JOIN items i USING (term) GROUP BY a.item_id, doc_id),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS INT) AS rank FROM scored)""",
+        "SELECT * FROM ranked WHERE rank <= 2",
+    ),
     "kill_switch_gate": _sql(f"{_PROMPTS}, {_CONTROL}", "SELECT request_id, kill_switch_active FROM gated"),
     "pair_responses": _sql(
         f"{_VALID}, {_CHECKED}",

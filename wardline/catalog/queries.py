@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wardline.catalog import views
 from wardline.operators import decide as dec
-from wardline.operators import ann, audit, guards, identity, ledger, lookups, outcomes, registered, reports, retrieval
+from wardline.operators import ann, audit, guards, identity, ledger, lexical, lookups, outcomes, registered, reports, retrieval
 from wardline.functions.text import contained_terms, token_count
 from wardline.plans.gateway import gate, gateway_ledger
 from wardline.session import stage, work_folder
@@ -648,21 +648,29 @@ def format_passages(spark, sf):
     return retrieval.format_passages(label_queries(spark, sf), ranked)
 
 
+def _embedded(spark, sf):
+    """The documents' terms, how rare each is, and the documents' vectors."""
+    counted = lexical.count_terms(views.texts(spark, sf, "documents"), "doc_id")
+    rarity = lexical.fit_rarity(counted)
+    return counted, rarity, lexical.embed_terms(counted, rarity, "doc_id")
+
+
 @query
 def embed_tfidf(spark, sf):
-    docs = views.texts(spark, sf, "documents").select("doc_id", "text")
-    embedded = retrieval.embed(retrieval.fit_tfidf(docs), docs)
-    return embedded.select("doc_id", F.size(F.filter("vector", lambda x: x != 0)).alias("n_features"))
+    counted, _, vectors = _embedded(spark, sf)
+    most = F.round(F.array_max(F.transform("vector", lambda t: t["weight"])), 6)
+    told = vectors.select("doc_id", F.size("vector").alias("n_features"), most.alias("most"))
+    whole = counted.select("doc_id").join(told, "doc_id", "left")
+    return whole.select("doc_id", F.coalesce("n_features", F.lit(0)).alias("n_features"), F.coalesce("most", F.lit(0.0)).alias("greatest_weight"))
 
 
 @query
 def question_passages(spark, sf):
     """The passages nearest to every benchmark text under the lexical embedding."""
-    docs = views.texts(spark, sf, "documents").select("doc_id", "text")
-    model = retrieval.fit_tfidf(docs)
-    questions = retrieval.embed(model, views.table(spark, sf, "benchmark")).select(F.col("item_id").alias("query_id"), "vector")
-    items = retrieval.embed(model, docs).select(F.col("doc_id").alias("item_id"), "vector")
-    return retrieval.cosine_topk(questions, items)
+    _, rarity, vectors = _embedded(spark, sf)
+    asked = lexical.count_terms(views.table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id")
+    questions = lexical.embed_terms(asked, rarity, "query_id")
+    return lexical.lexical_topk(questions, vectors.withColumnRenamed("doc_id", "item_id"))
 
 
 # Streams
