@@ -6,8 +6,8 @@ terms can be told apart.
 
 The search is exact and stops early. A term's greatest weight in any text bounds what it can add to a similarity;
 the terms of a question that can add most give a first list of texts, whose *k*-th similarity is a limit. Terms
-that could not lift a text to the limit even together are not looked up, and a text is only compared
-in full where its similarity so far and what those terms could add reach the limit.
+that could not lift a text to the limit even together are not looked up. The *k*-th similarity without them is a closer
+limit, and a text is only compared in full where its similarity so far and what those terms could add reach it.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ from wardline.session import stage
 WORD = r"[\p{L}\p{Nd}]+"
 #: Terms of a question, by what they can add, that the limit is taken from.
 SEEDS = 3
+#: Terms are not looked up where they add less than this share of the limit, together. With more, fewer texts are looked
+#: up and more of them are compared in full; from 1 on the result would not be exact.
+SHARE = 0.25
 
 
 def term_counts(text: Column) -> Column:
@@ -37,7 +40,7 @@ def term_counts(text: Column) -> Column:
 
         return F.when(F.size(words) > 0, bind(starts, runs))
 
-    return bind(F.array_sort(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))), counted)
+    return bind(F.sort_array(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))), counted)
 
 
 def count_terms(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -79,27 +82,37 @@ def lexical_topk(questions: DataFrame, items: DataFrame, k: int = TOP_K, digits:
     items, asked = stage(items, "items"), _long(questions, "query_id").withColumnRenamed("weight", "q")
     postings = _long(items, "item_id")
     most = postings.groupBy("term").agg(F.max("weight").alias("most"))
-    # What each term of a question can add at most, and the question's terms that can add no more than it, together.
+    # What each term of a question can add at most, and it with all that can add less. As texts have unit length, terms
+    # together never add more than the length of the question's weights for them.
     upwards = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
     downwards = Window.partitionBy("query_id").orderBy(F.desc("bound"), F.desc("term"))
     bounds = asked.join(most, "term").withColumn("bound", F.col("q") * F.col("most"))
-    terms = stage(bounds.withColumns({"up_to": F.sum("bound").over(upwards), "place": F.row_number().over(downwards)}), "question-terms")
+    lengths = F.sqrt(F.sum(F.col("q") * F.col("q")).over(upwards))
+    up_to = F.least(F.sum("bound").over(upwards), lengths)
+    placed = bounds.withColumns({"up_to": up_to, "length": lengths, "place": F.row_number().over(downwards)})
+    terms = stage(placed, "question-terms")
 
     def partial(some: DataFrame) -> DataFrame:
         found = postings.join(some.select("query_id", "term", "q"), "term")
-        return found.groupBy("query_id", "item_id").agg(F.sum(F.col("q") * F.col("weight")).alias("similarity"))
+        shared = F.sum(F.col("weight") * F.col("weight")).alias("shared")
+        return found.groupBy("query_id", "item_id").agg(F.sum(F.col("q") * F.col("weight")).alias("similarity"), shared)
 
     seeded = rank_found(partial(terms.where(F.col("place") <= SEEDS)), k).where(F.col("rank") == k)
     # Rounding may lift what is less than a unit of the last digit below the limit.
     slack = 2.0 * 10.0**-digits
     limits = stage(seeded.select("query_id", (F.col("similarity") - slack).alias("limit")), "limits")
     limited = terms.join(limits, "query_id", "left").withColumn("limit", F.coalesce("limit", F.lit(0.0)))
-    left_out = F.col("up_to") < F.col("limit")
+    left_out = F.col("up_to") < SHARE * F.col("limit")
     rest = limited.groupBy("query_id").agg(
-        F.max("limit").alias("limit"), F.coalesce(F.max(F.when(left_out, F.col("up_to"))), F.lit(0.0)).alias("rest")
+        F.max("limit").alias("limit"), *[F.coalesce(F.max(F.when(left_out, F.col(c))), F.lit(0.0)).alias(n) for c, n in (("up_to", "rest"), ("length", "lacking"))]
     )
-    reached = partial(limited.where(~left_out)).join(rest, "query_id").where(F.col("similarity") + F.col("rest") >= F.col("limit"))
-    compared = stage(reached.select("query_id", "item_id"), "compared")
+    reached = stage(partial(limited.where(~left_out)).join(rest, "query_id"), "reached")
+    # With most terms looked up, the k-th similarity so far is a closer limit than that of the first terms.
+    closer = rank_found(reached, k).where(F.col("rank") == k).select("query_id", (F.col("similarity") - slack).alias("closer"))
+    # What a text has of its unit length outside the terms that were looked up bounds the others too.
+    most_left = F.least("rest", F.col("lacking") * F.sqrt(F.greatest(1 - F.col("shared"), F.lit(0.0))))
+    near = reached.join(closer, "query_id", "left").where(F.col("similarity") + most_left >= F.greatest("limit", "closer"))
+    compared = stage(near.select("query_id", "item_id"), "compared")
     full = _long(compared.join(items, "item_id").select(F.struct("query_id", "item_id").alias("pair"), "vector"), "pair")
     scores = (
         full.select("pair.query_id", "pair.item_id", "term", "weight")
