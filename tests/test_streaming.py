@@ -131,6 +131,24 @@ def test_a_forgotten_id_comes_back_as_late(spark, tmp_path):
     assert {1, 2, 3} == set(got) and got[3]
 
 
+def test_no_id_has_a_call_of_its_own(spark, feed):
+    plan = jobs.stream_dedup(read_feed(spark, feed), "1 hour")._jdf.queryExecution().analyzed().toString()
+    assert "WithState" not in plan and "DeduplicateWithinWatermark" in plan
+
+
+@pytest.mark.parametrize("size", [1, 1 << 25])
+def test_the_earliest_row_of_an_id_is_its_first_in_a_batch(spark, tmp_path, monkeypatch, size):
+    """Also where a task finds it in parts; an id's last rows have no time, of equal times one passes."""
+    monkeypatch.setattr(jobs, "FIRST_BYTES", size)
+    rows = [(f"i{i}", i * 100 + n, None if n == 5 else 1_700_000_000 + (n * 7) % 5 - 2 * (n == 3)) for n in range(6) for i in range(3000)]
+    _feed_batch(spark, str(tmp_path / "in"), [*rows, ("none", 1, None), ("none", 2, None), ("same", 3, 5), ("same", 4, 5)])
+    stream = spark.readStream.schema("request_id string, n int, ts timestamp").parquet(str(tmp_path / "in"))
+    jobs.run_available(jobs.stream_dedup(stream, "40 days"), str(tmp_path / "progress"), str(tmp_path / "out"))
+    got = {r["request_id"]: r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got.pop("none") in (1, 2) and got.pop("same") in (3, 4)
+    assert got == {f"i{i}": i * 100 + 3 for i in range(3000)}
+
+
 def test_late_rows_reach_the_ledger_or_its_quarantine(spark, entries_of):
     path = work_folder(spark, "test-ledger")
     jobs.seal_batch(entries_of([("a", "t", "PASSED", None)]).selectExpr("*", "false AS late"), 0, path)

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardline.functions.pii import PII_PATTERNS
 from wardline.operators.decide import decide, ledger_entries
@@ -24,6 +24,8 @@ from wardline.sources.ledger_table import DuplicateRequestError, ledger_scan
 SEGMENT = "b%d"
 # Ids of a batch start here times the batch number: they grow over batches and never meet.
 BATCH_ID_SPAN = 10**11
+# Rows of a batch wait for one another in a task up to this size, or up to that of the first rows found so far.
+FIRST_BYTES = 1 << 25
 
 
 def stream_dedup(requests: DataFrame, delay: str = "1 hour", key: str = "request_id") -> DataFrame:
@@ -34,38 +36,52 @@ def stream_dedup(requests: DataFrame, delay: str = "1 hour", key: str = "request
     a repeat of it comes in only if that is late, so the ledger's sink looks up the ids of late rows alone. Rows
     without an id are nobody's duplicates: they pass beside the state. Of rows with one id in a batch the earliest
     is the first, one without a time the last and never late.
+
+    No id has a call of its own: a task finds the first rows of its ids at once, and Spark's own deduplication
+    remembers the ids.
     """
     # A watermark on the event time would make Spark drop what is behind it: time is that of arrival here.
-    late = F.coalesce(F.col("ts") < F.col("__arrived") - F.expr(f"INTERVAL {delay}"), F.lit(False))
-    arrived = requests.withColumn("__arrived", F.current_timestamp()).withColumn("late", late)
+    late = F.coalesce(F.col("ts") < F.current_timestamp() - F.expr(f"INTERVAL {delay}"), F.lit(False))
+    rows = requests.withColumn("late", late)
     hold = requests.sparkSession.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL {delay})").first()[0]
-    schema = T.StructType([*requests.schema.fields, T.StructField("late", T.BooleanType())])
-    named = arrived.where(F.col(key).isNotNull()).withWatermark("__arrived", "0 seconds").groupBy(key)
-    first = named.applyInPandasWithState(_first_of_key(schema.names, hold), schema, "seen long", "append", GroupStateTimeout.EventTimeTimeout)
-    return first.unionByName(arrived.where(F.col(key).isNull()).drop("__arrived"))
-
-
-def _first_of_key(columns: list[str], hold: int):
-    """The function of one id: its first row passes, and when it came in (in milliseconds) is remembered."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        first = None
+    named = rows.where(F.col(key).isNotNull()).repartition(key)
+    first = named.mapInArrow(_first_of_ids(key), named.schema).withColumn("__arrived", F.current_timestamp())
+    # Spark forgets an id once the watermark, which stays behind by this time, is ahead of its arrival by it again.
+    kept = first.withWatermark("__arrived", f"{max(hold + 1, 0) // 2} milliseconds").dropDuplicatesWithinWatermark([key])
+    return kept.drop("__arrived").unionByName(rows.where(F.col(key).isNull()))
+
+
+def _first_of_ids(key: str):
+    """The function of a task that has all rows of its ids in a batch: the earliest row of each id."""
+
+    def first(rows: pa.Table) -> pa.Table:
+        # Rows are picked by their places, so that only ids and times are sorted, never texts.
+        order = pc.sort_indices(rows.select([key, "ts"]), sort_keys=[(key, "ascending"), ("ts", "ascending")], null_placement="at_end")
+        ids = rows.column(key).take(order)
+        begins = np.ones(len(ids), bool)
+        begins[1:] = pc.not_equal(ids[1:], ids[:-1]).to_numpy()
+        kept = np.zeros(len(ids), bool)
+        kept[order.to_numpy()[begins]] = True
+        return rows.filter(pa.array(kept))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting, size = None, [], 0
         for batch in batches:
-            rows = batch if first is None else pd.concat([first, batch])
-            first = rows.sort_values("ts", kind="stable", na_position="last").iloc[:1]
-        if first is None or state.exists:
-            return
-        seen = int(first["__arrived"].iloc[0].timestamp() * 1000)
-        state.update((seen,))
-        state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + max(hold, 1))
-        yield first[columns]
+            waiting.append(batch)
+            size += batch.nbytes
+            if size >= max(FIRST_BYTES, 0 if held is None else held.nbytes):
+                held, waiting, size = first(_joined(held, waiting)), [], 0
+        if held is not None or waiting:
+            yield from first(_joined(held, waiting)).to_batches(max_chunksize=10_000)
 
     return run
 
 
+def _joined(held: pa.Table | None, waiting: list[pa.RecordBatch]) -> pa.Table:
+    """What was there before stands first: of rows alike in id and time the first one wins."""
+    return pa.Table.from_batches(([] if held is None else held.to_batches()) + waiting)
+
+
 def stream_decide(requests: DataFrame, policies: DataFrame, lexicon: DataFrame, patterns=PII_PATTERNS, default_tenant=None) -> DataFrame:
     """Decisions on a stream of requests, by the plan that serves tables."""
     return decide(requests, policies, lexicon, patterns, default_tenant)
