@@ -103,6 +103,21 @@ def test_few_texts_are_compared_in_full(spark, monkeypatch):
     assert staged["compared"].count() < 0.2 * len(corpus) * len(asked)
 
 
+def test_only_postings_of_the_questions_are_kept(spark, monkeypatch):
+    corpus = [f"w{i % 7} w{i % 11} lone{i}" for i in range(200)]
+    questions, items = embedded(spark, corpus, ["w1 w2 lone5", "w3"])
+    staged, real = {}, L.stage
+
+    def kept(df, purpose):
+        staged[purpose] = real(df, purpose)
+        return staged[purpose]
+
+    monkeypatch.setattr(L, "stage", kept)
+    assert nearest(questions, items, 2).keys() == {0, 1}
+    assert "items" not in staged
+    assert {r["term"] for r in staged["postings"].collect()} == {"w1", "w2", "w3", "lone5"}
+
+
 def test_empty_tables(spark):
     questions, items = embedded(spark, ["a b", "c"], ["a"])
     assert L.lexical_topk(questions.limit(0), items).count() == 0

@@ -61,9 +61,10 @@ def embed_terms(counted: DataFrame, rarity: DataFrame, key: str) -> DataFrame:
     Rows of one key are one text; terms that the corpus has not are left out.
     """
     long = counted.select(key, F.explode("counts").alias("c")).select(key, "c.term", "c.n")
-    weighed = long.join(rarity, "term").withColumn("weight", F.col("n") * F.col("rarity"))
+    # A task holds its share of the terms, so that the texts' words need not be sorted.
+    weighed = long.join(rarity.hint("shuffle_hash"), "term").withColumn("weight", F.col("n") * F.col("rarity"))
     one = weighed.groupBy(key).agg(
-        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"), F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("all")
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"), F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("all")
     )
     unit = F.transform("all", lambda t: F.struct(t["term"].alias("term"), (t["weight"] / F.col("length")).alias("weight")))
     return one.select(key, unit.alias("vector"))
@@ -79,8 +80,9 @@ def lexical_topk(questions: DataFrame, items: DataFrame, k: int = TOP_K, digits:
     Similarities are rounded before they are ranked, ties go to the lower id. Only texts that share a weighted term
     with a question are found; a question may find fewer than ``k``, or none.
     """
-    items, asked = stage(items, "items"), _long(questions, "query_id").withColumnRenamed("weight", "q")
-    postings = _long(items, "item_id")
+    asked = stage(_long(questions, "query_id").withColumnRenamed("weight", "q"), "asked")
+    # All that a similarity is made of. The texts' other terms are read once and not kept.
+    postings = stage(_long(items, "item_id").join(asked.select("term").distinct(), "term", "left_semi"), "postings")
     most = postings.groupBy("term").agg(F.max("weight").alias("most"))
     # What each term of a question can add at most, and it with all that can add less. As texts have unit length, terms
     # together never add more than the length of the question's weights for them.
@@ -101,21 +103,23 @@ def lexical_topk(questions: DataFrame, items: DataFrame, k: int = TOP_K, digits:
     # Rounding may lift what is less than a unit of the last digit below the limit.
     slack = 2.0 * 10.0**-digits
     limits = stage(seeded.select("query_id", (F.col("similarity") - slack).alias("limit")), "limits")
-    limited = terms.join(limits, "query_id", "left").withColumn("limit", F.coalesce("limit", F.lit(0.0)))
+    # Stored, so that Spark knows their size and sends few terms to the postings instead of shuffling these.
+    limited = stage(terms.join(limits, "query_id", "left").withColumn("limit", F.coalesce("limit", F.lit(0.0))), "limited-terms")
     left_out = F.col("up_to") < SHARE * F.col("limit")
     rest = limited.groupBy("query_id").agg(
         F.max("limit").alias("limit"), *[F.coalesce(F.max(F.when(left_out, F.col(c))), F.lit(0.0)).alias(n) for c, n in (("up_to", "rest"), ("length", "lacking"))]
     )
     reached = stage(partial(limited.where(~left_out)).join(rest, "query_id"), "reached")
-    # With most terms looked up, the k-th similarity so far is a closer limit than that of the first terms.
-    closer = rank_found(reached, k).where(F.col("rank") == k).select("query_id", (F.col("similarity") - slack).alias("closer"))
+    # With most terms looked up, the k-th similarity so far is a closer limit than that of the first terms. Where it is
+    # not above that one, it limits nothing.
+    ranked = rank_found(reached.where(F.col("similarity") > F.col("limit")), k).where(F.col("rank") == k)
+    closer = stage(ranked.select("query_id", (F.col("similarity") - slack).alias("closer")), "closer")
     # What a text has of its unit length outside the terms that were looked up bounds the others too.
     most_left = F.least("rest", F.col("lacking") * F.sqrt(F.greatest(1 - F.col("shared"), F.lit(0.0))))
     near = reached.join(closer, "query_id", "left").where(F.col("similarity") + most_left >= F.greatest("limit", "closer"))
     compared = stage(near.select("query_id", "item_id"), "compared")
-    full = _long(compared.join(items, "item_id").select(F.struct("query_id", "item_id").alias("pair"), "vector"), "pair")
     scores = (
-        full.select("pair.query_id", "pair.item_id", "term", "weight")
+        compared.join(postings, "item_id")
         .join(asked, ["query_id", "term"])
         .groupBy("query_id", "item_id")
         .agg(F.round(F.sum(F.col("q") * F.col("weight")), digits).alias("similarity"))
