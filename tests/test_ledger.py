@@ -332,3 +332,16 @@ def test_lists_are_newest_first(chain):
     assert [r["id"] for r in reports.ledger_recent(chain, 3).orderBy("id").collect()] == [8, 9, 10]
     pending = chain.withColumn("review_status", F.when(F.col("id") % 2 == 0, "PENDING_REVIEW").otherwise("CLOSED"))
     assert {r["id"] for r in reports.review_queue(pending, 2).collect()} == {8, 10}
+
+
+def test_deciding_does_not_follow_the_files(spark, tmp_path):
+    """One file with one row group is one task; deciding on its rows is not."""
+    from wardline.catalog import queries
+    from wardline.session import spread
+
+    spark.range(200_000).selectExpr("id", "sha2(string(id), 512) AS text").coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows = spread(spark.read.parquet(str(tmp_path / "one")))
+    assert rows.rdd.getNumPartitions() > 1 and rows.select("id").distinct().count() == rows.count() == 200_000
+    for name in ("decisions", "entries"):
+        plan = getattr(queries, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "RebalancePartitions" in plan
